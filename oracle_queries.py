@@ -413,3 +413,48 @@ ORDER BY total_cost_usd DESC NULLS LAST, user_email LIMIT 20""",
         ),
     }
     return sql
+
+
+# --- ingest: the same events after a round trip through damaged log files -------
+# g is the number of the envelope an event is sent in.
+
+ENVELOPES = "g AS (SELECT DISTINCT event_id // 4 AS g FROM events)"
+
+STORED = """
+SELECT id, "timestamp", event_timestamp, event_name, organization_id, session_id, user_id,
+       user_email, user_practice, user_profile, terminal_type, model, input_tokens, output_tokens,
+       cache_creation_tokens, cache_read_tokens, cost_usd, duration_ms, prompt_length, tool_name,
+       decision, decision_source, success, host_name, os_type, service_version
+FROM e"""
+
+SUMMARY = """
+SELECT (SELECT count(*) FROM g) + (SELECT count(*) FROM g WHERE g % 50 = 1)
+         + (SELECT count(*) FROM g WHERE g % 40 = 3) + (SELECT count(*) FROM g WHERE g % 60 = 5)
+         + (SELECT count(*) FROM g WHERE g % 30 = 7) AS lines_processed,
+       (SELECT count(*) FROM events) + (SELECT count(*) FROM g WHERE g % 45 = 4)
+         + (SELECT count(*) FROM events WHERE event_id // 4 % 30 = 7)
+         + (SELECT count(*) FROM g WHERE g % 30 = 7 AND g % 45 = 4) AS events_inserted,
+       (SELECT count(*) FROM g WHERE g % 40 = 3) + (SELECT count(*) FROM g WHERE g % 35 = 2)
+         + (SELECT count(*) FROM g WHERE g % 30 = 7 AND g % 35 = 2) AS events_skipped"""
+
+QUARANTINE = """
+SELECT 'line is not a JSON object' AS reason, CAST(NULL AS VARCHAR) AS id, count(*) AS n
+FROM g WHERE g % 40 = 3 HAVING count(*) > 0
+UNION ALL
+SELECT 'event cannot be read', 'bad-' || g, CAST(1 + (g % 30 = 7)::INT AS BIGINT)
+FROM g WHERE g % 35 = 2"""
+
+
+def ingest_sql() -> dict[str, str]:
+    """Queries over the loaded tables."""
+    stored = _with(EVENTS, STORED)
+    sessions = _with(f"{EVENTS},{SESSION_WHO}", SESSION_SQL)
+    return {
+        "ingest_events": stored,
+        "stream_ingest": stored,
+        "ingest_summary": _with(ENVELOPES, SUMMARY),
+        "ingest_quarantine": _with(ENVELOPES, QUARANTINE),
+        "employees_upsert": _with(EMPLOYEES, "SELECT * FROM m"),
+        "stream_cost_by_hour": analytics_sql()["cost_over_time_hour"],
+        "stream_session_rollup": sessions,
+    }

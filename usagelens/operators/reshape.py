@@ -71,16 +71,22 @@ def decisions_long(events: DataFrame) -> DataFrame:
 def duration_histogram(events: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Sessions per equal-width duration bin and practice; the last bin is closed.
 
-    Durations are counted by value first, and the range is found by two scalar
-    subqueries over those counts.
+    Durations are counted by value first. The range comes from a scalar subquery
+    over the same counts, grouped so that their shuffle is reused, not repeated.
     """
     counts = (
         sessions.hundredths(sessions.session_durations(events))
         .groupBy("user_practice", "h")
         .agg(F.count("*").alias("c"))
+        .where("c > 0")
     )
-    low, high = counts.select(F.min("h")).scalar(), counts.select(F.max("h")).scalar()
-    ranged = counts.select("user_practice", "h", "c", low.alias("low"), high.alias("high"))
+    span = (
+        counts.groupBy("user_practice")
+        .agg(F.min("h").alias("low"), F.max("h").alias("high"))
+        .agg(F.struct(F.min("low").alias("low"), F.max("high").alias("high")))
+        .scalar()
+    )
+    ranged = counts.withColumn("span", span).select("user_practice", "h", "c", "span.*")
     width = F.nullif(F.col("high") - F.col("low"), F.lit(0))
     index = F.floor((F.col("h") - F.col("low")) * bins / width)
     binned = F.least(F.coalesce(index, F.lit(0)), F.lit(bins - 1)) + 1

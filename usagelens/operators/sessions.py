@@ -21,17 +21,17 @@ from usagelens.functions.columns import (
 from usagelens.functions.stats import correlation_p_value, exact_percentiles
 
 
-def session_stats(events: DataFrame, limit: int | None = None) -> DataFrame:
-    """One row per session, dearest first; practice and email come from its earliest event.
+def session_profiles(events: DataFrame) -> DataFrame:
+    """One row per session, unordered; also the running profile of a stream.
 
-    Start and end are the smallest and largest timestamp *texts*. With ``limit``
-    the sort becomes a top-k.
+    Practice and email come from the earliest event. Start and end are the smallest
+    and largest timestamp *texts*.
     """
     who = F.min_by(
         F.struct("user_practice", "user_email"),
         earliest_key(F.col("event_ts"), F.col("user_practice"), F.col("user_email")),
     )
-    result = (
+    return (
         events.where(F.col("session_id").isNotNull())
         .groupBy("session_id")
         .agg(
@@ -56,9 +56,13 @@ def session_stats(events: DataFrame, limit: int | None = None) -> DataFrame:
             "session_cost_usd",
             "session_tokens",
         )
-        .orderBy(F.desc("session_cost_usd"), "session_id")
     )
-    return result if limit is None else result.limit(limit)
+
+
+def session_stats(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Session profiles, dearest first; with ``limit`` the sort becomes a top-k."""
+    ordered = session_profiles(events).orderBy(F.desc("session_cost_usd"), "session_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def session_features(events: DataFrame) -> DataFrame:

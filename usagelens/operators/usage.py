@@ -6,7 +6,7 @@ or hour is combined before the shuffle, and only the columns named here are read
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.functions.columns import (
     API_ERROR,
@@ -85,6 +85,22 @@ def token_usage_by_model(events: DataFrame) -> DataFrame:
     )
 
 
+PERIOD_COLUMNS = ("cost_usd", "total_tokens", "api_calls")
+
+
+def period_sums() -> list[Column]:
+    """Sums of one period, for batches and streams."""
+    return [
+        rounded(money_sum(F.col("cost_usd")), 6).alias("cost_usd"),
+        F.sum(tokens()).alias("total_tokens"),
+        F.count("*").alias("api_calls"),
+    ]
+
+
+def period_label(start: Column, unit: str) -> Column:
+    return F.date_format(start, PERIOD_FORMATS[unit]).alias("period")
+
+
 def cost_over_time(events: DataFrame, granularity: str = "hour") -> DataFrame:
     """Cost, tokens and calls per hour, or per day for any other granularity.
 
@@ -95,17 +111,8 @@ def cost_over_time(events: DataFrame, granularity: str = "hour") -> DataFrame:
     return (
         events.where(is_event(API_REQUEST) & F.col("event_timestamp").isNotNull())
         .groupBy(F.date_trunc(unit, "event_ts").alias("start"))
-        .agg(
-            rounded(money_sum(F.col("cost_usd")), 6).alias("cost_usd"),
-            F.sum(tokens()).alias("total_tokens"),
-            F.count("*").alias("api_calls"),
-        )
-        .select(
-            F.date_format("start", PERIOD_FORMATS[unit]).alias("period"),
-            "cost_usd",
-            "total_tokens",
-            "api_calls",
-        )
+        .agg(*period_sums())
+        .select(period_label(F.col("start"), unit), *PERIOD_COLUMNS)
         .orderBy("period")
     )
 

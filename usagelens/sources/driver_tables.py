@@ -102,3 +102,140 @@ def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("L"), (key % 10 + 1).cast("string")).alias("level"),
         F.col("n_name").alias("location"),
     )
+
+
+# --- the same events as raw input files ---------------------------------------
+# Four events share an envelope. Some lines and events are damaged by rule, so that
+# the load has something to refuse: every rule below is a remainder of the envelope
+# number, which the SQL checks repeat.
+
+EVENTS_PER_LINE = 4
+BLANK, CUT_OFF, CONTROL, UNREADABLE, UNDATED, RESENT = (
+    (50, 1),
+    (40, 3),
+    (60, 5),
+    (35, 2),
+    (45, 4),
+    (30, 7),
+)
+_ATTRIBUTES = {
+    "event.name": "event_name",
+    "event.timestamp": "event_timestamp",
+    "organization.id": "organization_id",
+    "session.id": "session_id",
+    "user.id": "user_id",
+    "user.email": "user_email",
+    "terminal.type": "terminal_type",
+    "model": "model",
+    "input_tokens": "input_tokens",
+    "output_tokens": "output_tokens",
+    "cache_creation_tokens": "cache_creation_tokens",
+    "cache_read_tokens": "cache_read_tokens",
+    "cost_usd": "cost_usd",
+    "duration_ms": "duration_ms",
+    "prompt_length": "prompt_length",
+    "tool_name": "tool_name",
+    "decision": "decision",
+    "source": "decision_source",
+    "success": "success",
+}
+_RESOURCE = {
+    "user.practice": "user_practice",
+    "user.profile": "user_profile",
+    "host.name": "host_name",
+    "os.type": "os_type",
+    "service.version": "service_version",
+}
+
+
+def _hits(rule: tuple[int, int]) -> Column:
+    return F.col("g") % rule[0] == rule[1]
+
+
+def _object(keys: dict[str, str]) -> Column:
+    return F.struct(*[F.col(c).alias(k) for k, c in keys.items()])
+
+
+def _messages(rows: DataFrame) -> DataFrame:
+    """Events as the raw objects of an envelope; absent values are left out of the JSON."""
+    message = F.to_json(
+        F.struct(
+            F.concat(F.lit("telemetry."), F.col("event_name")).alias("body"),
+            _object(_ATTRIBUTES).alias("attributes"),
+            _object(_RESOURCE).alias("resource"),
+        )
+    )
+    number = F.col("id").cast("bigint")
+    return rows.select(
+        F.floor(number / EVENTS_PER_LINE).alias("g"),
+        number.alias("n"),
+        F.struct("id", "timestamp", message.alias("message")).alias("event"),
+    )
+
+
+def _lines(messages: DataFrame) -> DataFrame:
+    """Envelopes of up to four events, with an unreadable or undated one added by rule."""
+    gathered = F.sort_array(F.collect_list(F.struct("n", "event")))
+    made_up = "struct<id:string,timestamp:bigint,message:string>"
+
+    def added(prefix: str, stamp: Column, message: str) -> Column:
+        name = F.concat(F.lit(prefix), F.col("g").cast("string"))
+        return F.array(F.struct(name.alias("id"), stamp.alias("timestamp"), F.lit(message).alias("message")))
+
+    none = F.array().cast(f"array<{made_up}>")
+    unreadable = F.when(_hits(UNREADABLE), added("bad-", F.lit(1).cast("bigint"), "nope"))
+    undated = F.when(_hits(UNDATED), added("undated-", F.lit(None).cast("bigint"), "{}"))
+    return (
+        messages.groupBy("g")
+        .agg(gathered.alias("gathered"))
+        .select(
+            "g",
+            F.concat(
+                F.transform("gathered", lambda e: e["event"]),
+                F.coalesce(unreadable, none),
+                F.coalesce(undated, none),
+            ).alias("logEvents"),
+        )
+    )
+
+
+def _envelope(kind: str) -> Column:
+    body = F.struct(F.lit(kind).alias("messageType"), F.col("logEvents"))
+    return F.to_json(body, {"ignoreNullFields": "false"})
+
+
+def write_logs(spark: SparkSession, sf_dir: str, path: str) -> list[str]:
+    """Write the events as raw log files; returns the folders in the order they are loaded.
+
+    The second folder sends some envelopes again at another cost: those copies lose.
+    """
+    rows = events(spark, sf_dir)
+    first = _lines(_messages(rows))
+    sent = _envelope("DATA_MESSAGE")
+    extra = F.array_compact(
+        F.array(
+            F.when(_hits(BLANK), F.lit("   ")),
+            F.when(_hits(CUT_OFF), F.substring(sent, 1, 25)),
+            F.when(_hits(CONTROL), _envelope("CONTROL_MESSAGE")),
+        )
+    )
+    lines = first.select(F.explode(F.concat(F.array(sent), extra)).alias("value"))
+    again = _lines(_messages(rows.withColumn("cost_usd", F.lit(9999.0)))).where(_hits(RESENT))
+    folders = [f"{path}/1-sent", f"{path}/2-sent-again"]
+    lines.write.text(folders[0])
+    again.select(sent.alias("value")).write.text(folders[1])
+    return folders
+
+
+def write_employee_files(spark: SparkSession, sf_dir: str, path: str) -> list[str]:
+    """Write the employees as CSV: a padded first version, then corrections for a third of them."""
+    staff = employees(spark, sf_dir)
+    third = F.pmod(F.xxhash64("email"), F.lit(3)) == 0
+    padded = F.concat(F.lit("  "), F.col("full_name"), F.lit(" "))
+    old_level = F.when(third, "L0").otherwise(F.col("level"))
+    folders = [f"{path}/1-staff", f"{path}/2-corrections"]
+    staff.withColumns({"full_name": padded, "level": old_level}).write.csv(
+        folders[0], header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    staff.where(third).write.csv(folders[1], header=True)
+    return folders
