@@ -408,6 +408,16 @@ ORDER BY total_cost_usd DESC NULLS LAST, user_email LIMIT 20""",
             f"SELECT {_r('r2', 4)} AS r2, {_r('slope', 6)} AS slope_per_day, "
             f"{_r('intercept', 6)} AS intercept FROM fit WHERE days >= 3",
         ),
+        "cost_forecast_document": _with(
+            f"{EVENTS},{COST_DAILY}, f AS ({_forecast('cost_usd', 7)})",
+            f"""
+SELECT CAST(to_json({{'meta': (SELECT {{'r2': {_r('r2', 4)}, 'slope_per_day': {_r('slope', 6)},
+                                      'intercept': {_r('intercept', 6)}}} FROM fit),
+                     'data': list(f ORDER BY "date")}}) AS VARCHAR) AS value FROM f""",
+        ),
+        "tool_usage_records": _with(
+            EVENTS, f"SELECT CAST(to_json(t) AS VARCHAR) AS value FROM ({TOOL_USE}) AS t"
+        ),
         "token_forecast_fit": _with(
             f"{EVENTS},{TOKEN_DAILY}", f"SELECT {_r('r2', 4)} AS r2 FROM fit WHERE days >= 3"
         ),

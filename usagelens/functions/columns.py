@@ -92,7 +92,7 @@ def weekday_number(day: Column) -> Column:
 
 def weekday_name(day: Column) -> Column:
     """English name of a ``dayofweek`` number."""
-    return F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), day)
+    return F.when(day.isNotNull(), F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), day))
 
 
 def minutes_between(start: Column, end: Column, places: int) -> Column:

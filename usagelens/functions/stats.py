@@ -102,14 +102,18 @@ def student_t_two_sided(r: float, n: int) -> float | None:
     """Probability of a correlation at least as strong as ``r`` among ``n`` unrelated pairs."""
     if r is None or n is None or n < 3 or math.isnan(r):
         return None
-    if abs(r) >= 1.0:
-        return 0.0
+    if abs(r) >= 1.0 or r == 0.0:
+        return 0.0 if r else 1.0
     a, b, x = (n - 2) / 2.0, 0.5, 1.0 - r * r
     front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+        math.lgamma(a + b)
+        - math.lgamma(a)
+        - math.lgamma(b)
+        + a * math.log1p(-r * r)
+        + math.log(abs(r))
     )
     if front == 0.0:
-        return 1.0 if r == 0 else 0.0
+        return 0.0
     if x < (a + 1.0) / (a + b + 2.0):
         return min(1.0, front * _beta_fraction(a, b, x) / a)
     return max(0.0, 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b)

@@ -11,11 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime options that affect results (UTC calendar, ANSI, JSON keys) or skew."""
+    """Set the options that affect results (UTC calendar, ANSI, JSON keys), skew and stream state.
+
+    The state of a stream is kept on the executors' disks, so it may outgrow memory.
+    """
     conf = spark.conf
     conf.set("spark.sql.session.timeZone", "UTC")
     conf.set("spark.sql.ansi.enabled", "true")
     conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -73,11 +73,29 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _STRIP, "")
 
 
+def _open_event(event: Column) -> Column:
+    """The parts of a raw event, its message parsed.
+
+    Bare NaN and Infinity are no JSON; quoting them keeps the rest of the message.
+    """
+    message = event["message"]
+    quoted = F.regexp_replace(message, _BARE_NUMBERS, '$1"$2"')
+    return F.struct(
+        event["id"].alias("id"),
+        event["timestamp"].alias("timestamp"),
+        (F.map_contains_key(event, "id") & F.map_contains_key(event, "timestamp")).alias("keyed"),
+        message.alias("message"),
+        F.coalesce(F.try_parse_json(message), F.try_parse_json(quoted)).alias("msg"),
+    )
+
+
 def unnest(lines: DataFrame) -> DataFrame:
     """One row per event, and one row (without ``pos``) per line that holds none.
 
     ``bad_line`` marks lines that are not a JSON object; blank lines and envelopes
-    of another type are neither bad nor do they carry events.
+    of another type are neither bad nor do they carry events. Messages are parsed
+    inside the generator: later filters cannot move below it, so no message is
+    parsed twice.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     text = strip(F.col("value"))
@@ -91,7 +109,7 @@ def unnest(lines: DataFrame) -> DataFrame:
         "line_no",
         "text",
         bad.alias("bad_line"),
-        F.posexplode_outer(F.when(~bad, events)).alias("pos", "event"),
+        F.posexplode_outer(F.transform(F.when(~bad, events), _open_event)).alias("pos", "event"),
     )
 
 
@@ -112,14 +130,8 @@ def parse_events(unnested: DataFrame) -> DataFrame:
     objects or absent, and its name is a string.
     """
     event = F.col("event")
-    message = event["message"]
-    # Bare NaN and Infinity are no JSON; quoting them keeps the rest of the message.
-    parsed = F.coalesce(
-        F.try_parse_json(message),
-        F.try_parse_json(F.regexp_replace(message, _BARE_NUMBERS, '$1"$2"')),
-    )
     opened = (
-        unnested.withColumn("msg", parsed)
+        unnested.withColumn("msg", event["msg"])
         .withColumn("attributes", _member("msg", "attributes"))
         .withColumn("resource", _member("msg", "resource"))
         .withColumn(
@@ -128,8 +140,7 @@ def parse_events(unnested: DataFrame) -> DataFrame:
     )
     name_ok = F.col("name").isNull() | (F.schema_of_variant("name") == "STRING")
     valid = (
-        F.map_contains_key(event, "id")
-        & F.map_contains_key(event, "timestamp")
+        event["keyed"]
         & F.col("msg").isNotNull()
         & (F.col("attributes").isNotNull() | F.col("resource").isNotNull() | _is_object("msg"))
         & (F.col("attributes").isNull() | _is_object("attributes"))
@@ -150,7 +161,7 @@ def parse_events(unnested: DataFrame) -> DataFrame:
         "decision_source": F.coalesce(
             F.nullif(source, F.lit("")), _member("attributes", "decision_source", kind="string")
         ),
-        "raw_message": message,
+        "raw_message": event["message"],
     }
     columns["event_ts"] = columns["event_timestamp"].try_cast("timestamp")
     return opened.select(

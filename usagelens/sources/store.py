@@ -27,23 +27,26 @@ def ensure_table(spark: SparkSession, path: str) -> DataFrame:
     return read_events(spark, path)
 
 
-def _contested(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Ids that come more than once in ``rows`` or are stored already.
+def _id_counts(rows: DataFrame) -> DataFrame:
+    """How often each id comes in ``rows``; a hot id is counted before the shuffle.
 
-    Only ids move here. A hot id is counted before the shuffle, and the raw
-    messages stay where they were read.
+    One id that occurs nowhere else keeps the counted stage from being empty:
+    adaptive execution drops empty stages together with the figures observed there.
     """
-    # One id that occurs nowhere else keeps the counted stage from being empty:
-    # adaptive execution drops empty stages together with the figures observed there.
     extra = rows.sparkSession.range(1).select(F.lit(uuid.uuid4().hex).alias("id"))
     ids = rows.where(F.col("id").isNotNull()).select("id").unionByName(extra)
-    ids = ids.groupBy("id").agg(F.count("*").alias("copies"))
-    known = stored.where(F.col("id").isNotNull()).select("id", F.lit(True).alias("known"))
-    return (
-        ids.join(known, "id", "left")
-        .where((F.col("copies") > 1) | F.col("known"))
-        .select("id", F.coalesce("known", F.lit(False)).alias("known"))
-    )
+    return ids.groupBy("id").agg(F.count("*").alias("copies"))
+
+
+def _contested(ids: DataFrame, stored: DataFrame) -> DataFrame:
+    """Ids that come more than once or are stored already, and whether they are stored.
+
+    Only ids move here. ``ids`` is a written table, so the optimizer knows its size: a
+    small load is broadcast to the scan of the stored ids, which are then not shuffled.
+    """
+    repeated = ids.where(F.col("copies") > 1).select("id", F.lit(False).alias("known"))
+    known = stored.select("id").join(ids, "id", "left_semi").select("id", F.lit(True).alias("known"))
+    return repeated.unionByName(known).groupBy("id").agg(F.max("known").alias("known"))
 
 
 def _first_per_id(rows: DataFrame, contested: DataFrame) -> DataFrame:
@@ -68,7 +71,7 @@ def _first_per_id(rows: DataFrame, contested: DataFrame) -> DataFrame:
     return alone.unionByName(winners)
 
 
-def _write(rows: DataFrame, path: str, load_id: str) -> None:
+def write_load(rows: DataFrame, path: str, load_id: str) -> None:
     """Write one load. Repeating a load replaces what its earlier attempt wrote.
 
     The rebalance hint lets adaptive execution split large and merge small
@@ -100,13 +103,14 @@ def append_lines(lines: DataFrame, path: str, load_id: str) -> dict[str, int]:
 
     figures = Observation()
     observed = staged.observe(figures, *envelopes.counts()).where(envelopes.storable())
-    contested = written(_contested(observed, earlier), "contested")
+    ids = written(_id_counts(observed), "ids")
+    contested = written(_contested(ids, earlier), "contested")
 
     rows = staged.where(envelopes.storable())
     fresh = rows.select(schema.PARSED_COLUMNS)
     if not contested.isEmpty():
         fresh = _first_per_id(rows, contested)
-    _write(fresh, path, load_id)
+    write_load(fresh, path, load_id)
     added = read_events(spark, path).where(F.col("load_id") == load_id).count()
     return {**figures.get, "rows_written": added}
 

@@ -14,10 +14,10 @@ from pyspark.sql.streaming import DataStreamReader, DataStreamWriter, StreamingQ
 from usagelens.functions.columns import API_REQUEST, is_event
 from usagelens.operators.sessions import session_profiles
 from usagelens.operators.usage import PERIOD_COLUMNS, period_label, period_sums
-from usagelens.schema import EVENTS
+from usagelens.schema import PARSED_COLUMNS
 from usagelens.session import configure
 from usagelens.sources import envelopes
-from usagelens.sources.store import append_lines
+from usagelens.sources.store import append_lines, write_load
 
 
 def _reader(spark: SparkSession, files_per_batch: int | None) -> DataStreamReader:
@@ -46,8 +46,9 @@ def ingest_stream(
 
     A batch is stored as the load ``<name>-<batch>``. When a batch is run again after
     a failure it replaces what its first run wrote, and ids already stored by other
-    loads are skipped, so every id is stored once. Without ``every`` the query stops
-    when the files at hand are done.
+    loads are skipped, so every id is stored once. Each batch reads the id column of
+    the table; see ``ingest_stream_with_state`` for tables too large for that. Without
+    ``every`` the query stops when the files at hand are done.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -57,41 +58,66 @@ def ingest_stream(
     return _started(writer, every)
 
 
-def parsed_stream(lines: DataFrame) -> DataFrame:
-    """Complete events of a stream of lines, for live reports; malformed input drops out."""
+def ingest_stream_with_state(
+    lines: DataFrame,
+    table: str,
+    checkpoint: str,
+    name: str = "stream",
+    every: str | None = None,
+    delay: str | None = None,
+) -> StreamingQuery:
+    """Append the events of a stream that alone fills its table.
+
+    Seen ids are kept as stream state instead of being looked up in the table, so the
+    work of a batch depends on the batch only. Of copies that come in the same batch
+    any one may be stored. With a ``delay`` ids are forgotten after that time.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        write_load(batch, table, f"{name}-{batch_id:09d}")
+
+    writer = (
+        once_per_id(parsed_stream(lines, delay), bounded=delay is not None)
+        .writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+    )
+    return _started(writer, every)
+
+
+def parsed_stream(lines: DataFrame, delay: str | None = None) -> DataFrame:
+    """Complete events of a stream of lines, for live reports; malformed input drops out.
+
+    ``delay`` sets the watermark that bounds the state of everything built on it.
+    """
     placed = lines.select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.lit(0).cast("bigint").alias("line_no"),
     )
-    staged = envelopes.stage(placed).where(envelopes.storable())
-    return staged.select([c for c in EVENTS.names if c != "ingested_at"])
+    staged = envelopes.stage(placed).where(envelopes.storable()).select(PARSED_COLUMNS)
+    return staged.withWatermark("event_ts", delay) if delay else staged
 
 
-def once_per_id(events: DataFrame, delay: str | None = None) -> DataFrame:
+def once_per_id(events: DataFrame, bounded: bool = False) -> DataFrame:
     """Drop repeated ids of a stream; events without an id all stay.
 
-    Exact without ``delay``, with one state row per id ever seen. With a ``delay``
-    state is kept only that long, so a copy arriving later is counted again.
+    Exact by default, with one state row per id ever seen. ``bounded`` keeps ids only
+    as long as the watermark of the stream, so a copy that comes later counts again.
     """
-    key = F.coalesce("id", F.uuid())
-    keyed = events.withColumn("_key", key)
-    if delay is None:
-        return keyed.dropDuplicates(["_key"]).drop("_key")
-    return keyed.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    keyed = events.withColumn("_key", F.coalesce("id", F.uuid()))
+    once = keyed.dropDuplicatesWithinWatermark if bounded else keyed.dropDuplicates
+    return once(["_key"]).drop("_key")
 
 
-def _bounded(events: DataFrame, delay: str | None) -> DataFrame:
-    return events.withWatermark("event_ts", delay) if delay else events
+def live_cost(events: DataFrame, granularity: str = "hour") -> DataFrame:
+    """Cost, tokens and calls per hour or day of a stream of events.
 
-
-def live_cost(events: DataFrame, granularity: str = "hour", delay: str | None = None) -> DataFrame:
-    """Cost, tokens and calls per hour or day of a stream of events."""
+    Periods close when the stream has a watermark and passes them.
+    """
     unit = "hour" if granularity == "hour" else "day"
-    calls = events.where(is_event(API_REQUEST) & F.col("event_ts").isNotNull())
     return (
-        _bounded(calls, delay)
+        events.where(is_event(API_REQUEST) & F.col("event_ts").isNotNull())
         .groupBy(F.window("event_ts", f"1 {unit}").alias("w"))
         .agg(*period_sums())
         .select(period_label(F.col("w.start"), unit), *PERIOD_COLUMNS)
