@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from usagelens import schema
 from usagelens.session import written
@@ -20,12 +20,10 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     raw = spark.read.csv(path, header=True, escape='"')
     place = raw.select("*", "_metadata.file_path", "_metadata.file_block_start")
-    given = {name.strip(): name for name in raw.columns}
 
-    def cell(name: str):
-        if name not in given:
-            return F.lit("").alias(name)
-        return F.coalesce(strip(F.col(f"`{given[name]}`")), F.lit("")).alias(name)
+    def cell(name: str) -> Column:
+        text = strip(F.col(name)) if name in raw.columns else F.lit("")
+        return F.coalesce(text, F.lit("")).alias(name)
 
     return place.select(
         *[cell(c) for c in _COLUMNS],

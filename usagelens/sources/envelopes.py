@@ -6,6 +6,8 @@ shuffle, and is the same for a batch and for a micro-batch of a stream.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from usagelens import schema
@@ -48,7 +50,8 @@ RESOURCES = {
 # Position of a row in the load; also the order in which rows of one id compete.
 ORDER = ("file", "block", "line_no", "pos")
 
-_STRIP = r"^\s+|\s+$"
+# Every character that counts as white space.
+_WHITE_SPACE = "".join(filter(str.isspace, map(chr, range(0x3001))))
 _BARE_NUMBERS = r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,}\]])"
 
 
@@ -70,32 +73,14 @@ def with_place(lines: DataFrame) -> DataFrame:
 
 def strip(text: Column) -> Column:
     """Remove white space of every kind from both ends."""
-    return F.regexp_replace(text, _STRIP, "")
-
-
-def _open_event(event: Column) -> Column:
-    """The parts of a raw event, its message parsed.
-
-    Bare NaN and Infinity are no JSON; quoting them keeps the rest of the message.
-    """
-    message = event["message"]
-    quoted = F.regexp_replace(message, _BARE_NUMBERS, '$1"$2"')
-    return F.struct(
-        event["id"].alias("id"),
-        event["timestamp"].alias("timestamp"),
-        (F.map_contains_key(event, "id") & F.map_contains_key(event, "timestamp")).alias("keyed"),
-        message.alias("message"),
-        F.coalesce(F.try_parse_json(message), F.try_parse_json(quoted)).alias("msg"),
-    )
+    return F.btrim(text, F.lit(_WHITE_SPACE))
 
 
 def unnest(lines: DataFrame) -> DataFrame:
-    """One row per event, and one row (without ``pos``) per line that holds none.
+    """One row per raw event, and one row (without ``pos``) per line that holds none.
 
     ``bad_line`` marks lines that are not a JSON object; blank lines and envelopes
-    of another type are neither bad nor do they carry events. Messages are parsed
-    inside the generator: later filters cannot move below it, so no message is
-    parsed twice.
+    of another type are neither bad nor do they carry events.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     text = strip(F.col("value"))
@@ -109,17 +94,27 @@ def unnest(lines: DataFrame) -> DataFrame:
         "line_no",
         "text",
         bad.alias("bad_line"),
-        F.posexplode_outer(F.transform(F.when(~bad, events), _open_event)).alias("pos", "event"),
+        F.posexplode_outer(F.when(~bad, events)).alias("pos", "event"),
     )
 
 
-def _member(whole: str, *keys: str, kind: str = "variant") -> Column:
-    """A value inside a parsed message; absent keys and wrong types give NULL."""
-    return F.try_variant_get(whole, "$" + "".join(f'["{k}"]' for k in keys), kind)
+def claimed_ids(unnested: DataFrame) -> DataFrame:
+    """Ids of events that may be stored, found without parsing a message."""
+    event = F.col("event")
+    return unnested.where(event["id"].isNotNull() & event["timestamp"].isNotNull()).select(
+        event["id"].alias("id")
+    )
+
 
+def _member(*keys: str, kind: str = "variant") -> Column:
+    """A value inside the parsed message; absent keys and wrong types give NULL."""
+    return F.try_variant_get("msg", "$" + "".join(f'["{k}"]' for k in keys), kind)
 
-def _is_object(part: str) -> Column:
-    return F.try_variant_get(part, "$", "map<string,variant>").isNotNull()
+
+def _is_object(*path: str, usual: tuple[str, ...] = ()) -> Column:
+    """Whether a part of the message is an object: cheaply so where it has a usual key."""
+    found = [_member(*path, key).isNotNull() for key in usual]
+    return reduce(Column.__or__, [*found, _member(*path, kind="map<string,variant>").isNotNull()])
 
 
 def parse_events(unnested: DataFrame) -> DataFrame:
@@ -130,21 +125,25 @@ def parse_events(unnested: DataFrame) -> DataFrame:
     objects or absent, and its name is a string.
     """
     event = F.col("event")
+    message = event["message"]
+    # Bare NaN and Infinity are no JSON; quoting them keeps the rest of the message.
+    quoted = F.regexp_replace(message, _BARE_NUMBERS, '$1"$2"')
+    parsed = F.coalesce(F.try_parse_json(message), F.try_parse_json(quoted))
+    # Later filters cannot move below a generator, so no message is parsed twice.
     opened = (
-        unnested.withColumn("msg", event["msg"])
-        .withColumn("attributes", _member("msg", "attributes"))
-        .withColumn("resource", _member("msg", "resource"))
-        .withColumn(
-            "name", F.coalesce(_member("attributes", "event.name"), _member("msg", "body"))
-        )
+        unnested.select("*", F.explode(F.array(parsed)).alias("msg"))
+        .withColumn("attributes", _member("attributes"))
+        .withColumn("resource", _member("resource"))
+        .withColumn("name", F.coalesce(_member("attributes", "event.name"), _member("body")))
     )
     name_ok = F.col("name").isNull() | (F.schema_of_variant("name") == "STRING")
     valid = (
-        event["keyed"]
+        F.map_contains_key(event, "id")
+        & F.map_contains_key(event, "timestamp")
         & F.col("msg").isNotNull()
-        & (F.col("attributes").isNotNull() | F.col("resource").isNotNull() | _is_object("msg"))
-        & (F.col("attributes").isNull() | _is_object("attributes"))
-        & (F.col("resource").isNull() | _is_object("resource"))
+        & (F.col("attributes").isNotNull() | F.col("resource").isNotNull() | _is_object())
+        & (F.col("attributes").isNull() | _is_object("attributes", usual=("event.name",)))
+        & (F.col("resource").isNull() | _is_object("resource", usual=("user.practice", "host.name")))
         & name_ok
     )
     name = F.coalesce(F.try_variant_get("name", "$", "string"), F.lit(NAMELESS))
@@ -161,7 +160,7 @@ def parse_events(unnested: DataFrame) -> DataFrame:
         "decision_source": F.coalesce(
             F.nullif(source, F.lit("")), _member("attributes", "decision_source", kind="string")
         ),
-        "raw_message": event["message"],
+        "raw_message": message,
     }
     columns["event_ts"] = columns["event_timestamp"].try_cast("timestamp")
     return opened.select(

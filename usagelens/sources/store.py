@@ -27,21 +27,10 @@ def ensure_table(spark: SparkSession, path: str) -> DataFrame:
     return read_events(spark, path)
 
 
-def _id_counts(rows: DataFrame) -> DataFrame:
-    """How often each id comes in ``rows``; a hot id is counted before the shuffle.
-
-    One id that occurs nowhere else keeps the counted stage from being empty:
-    adaptive execution drops empty stages together with the figures observed there.
-    """
-    extra = rows.sparkSession.range(1).select(F.lit(uuid.uuid4().hex).alias("id"))
-    ids = rows.where(F.col("id").isNotNull()).select("id").unionByName(extra)
-    return ids.groupBy("id").agg(F.count("*").alias("copies"))
-
-
 def _contested(ids: DataFrame, stored: DataFrame) -> DataFrame:
     """Ids that come more than once or are stored already, and whether they are stored.
 
-    Only ids move here. ``ids`` is a written table, so the optimizer knows its size: a
+    A hot id is counted before the shuffle. ``ids`` is a written table, so the optimizer knows its size: a
     small load is broadcast to the scan of the stored ids, which are then not shuffled.
     """
     repeated = ids.where(F.col("copies") > 1).select("id", F.lit(False).alias("known"))
@@ -49,26 +38,19 @@ def _contested(ids: DataFrame, stored: DataFrame) -> DataFrame:
     return repeated.unionByName(known).groupBy("id").agg(F.max("known").alias("known"))
 
 
-def _first_per_id(rows: DataFrame, contested: DataFrame) -> DataFrame:
-    """Rows of uncontested ids as they are, and the first row of each new contested id.
+def _first_rows(unnested: DataFrame, contested: DataFrame) -> DataFrame:
+    """The first complete row of each contested id that is not stored yet.
 
-    ``contested`` is a written table, so the optimizer knows its size: small ones
-    are broadcast and no event row is shuffled; large ones are sort-merge joined.
-    Copies of one id collapse in a partial aggregate before they are shuffled.
+    Other events are dropped before their messages are parsed, and copies of one id
+    collapse in a partial aggregate before they are shuffled.
     """
-    marks = contested.select(F.col("id").alias("contested_id"), "known")
-    same = F.col("id") == F.col("contested_id")
-    alone = rows.join(marks, same, "left_anti").select(schema.PARSED_COLUMNS)
+    fresh = contested.where(~F.col("known")).select(F.col("id").alias("fresh_id"))
+    chosen = unnested.join(fresh, F.col("event")["id"] == F.col("fresh_id"), "left_semi")
+    rows = envelopes.parse_events(chosen).where(envelopes.storable())
     first = F.min_by(
         F.struct(*schema.PARSED_COLUMNS), F.struct(*[F.col(c) for c in envelopes.ORDER])
     )
-    winners = (
-        rows.join(marks.where(~F.col("known")), same)
-        .groupBy("contested_id")
-        .agg(first.alias("row"))
-        .select("row.*")
-    )
-    return alone.unionByName(winners)
+    return rows.groupBy("id").agg(first.alias("row")).select("row.*")
 
 
 def write_load(rows: DataFrame, path: str, load_id: str) -> None:
@@ -99,20 +81,23 @@ def append_lines(lines: DataFrame, path: str, load_id: str) -> dict[str, int]:
     spark = lines.sparkSession
     configure(spark)
     earlier = ensure_table(spark, path).where(F.col("load_id") != load_id)
-    staged = envelopes.stage(lines)
+    unnested = envelopes.unnest(lines)
+    ids = envelopes.claimed_ids(unnested).groupBy("id").agg(F.count("*").alias("copies"))
+    contested = written(_contested(written(ids, "ids"), earlier), "contested")
 
     figures = Observation()
-    observed = staged.observe(figures, *envelopes.counts()).where(envelopes.storable())
-    ids = written(_id_counts(observed), "ids")
-    contested = written(_contested(ids, earlier), "contested")
-
-    rows = staged.where(envelopes.storable())
+    staged = envelopes.parse_events(unnested)
+    rows = staged.observe(figures, *envelopes.counts()).where(envelopes.storable())
     fresh = rows.select(schema.PARSED_COLUMNS)
     if not contested.isEmpty():
-        fresh = _first_per_id(rows, contested)
+        # Its size on disk is known: a small table is broadcast and no row is shuffled.
+        fresh = fresh.join(contested, "id", "left_anti").select(schema.PARSED_COLUMNS)
+        fresh = fresh.unionByName(_first_rows(unnested, contested))
     write_load(fresh, path, load_id)
     added = read_events(spark, path).where(F.col("load_id") == load_id).count()
-    return {**figures.get, "rows_written": added}
+    # Adaptive execution drops an empty stage together with the figures observed in it.
+    counted = figures.get if added else staged.agg(*envelopes.counts()).first().asDict()
+    return {**counted, "rows_written": added}
 
 
 def ingest_jsonl(
