@@ -72,7 +72,7 @@ def test_event_type_prunes_folders(tables, name):
     assert "PartitionFilters: [isnotnull(event_name" in text
 
 
-@pytest.mark.parametrize("name", [n for n in ON_EVENTS if n not in ("sessions",)])
+@pytest.mark.parametrize("name", list(ON_EVENTS))
 def test_raw_rows_meet_a_hash_aggregate(tables, name):
     """The aggregate next to the scan hashes; it does not sort raw rows."""
     lines = plan(ON_EVENTS[name](tables[0])).splitlines()

@@ -80,6 +80,16 @@ def test_session_takes_who_from_its_earliest_event(make_events):
     assert features.duration_min == 60.0
 
 
+def test_session_bounds_are_smallest_and_largest_texts(make_events):
+    texts = [at(9), at(8), "2024-03-04T07:30:00+01:00", "soon", None, "2024-03-04 10:00:00"]
+    rows = [{"session_id": "s", "event_timestamp": text} for text in texts]
+    row = sessions.session_stats(make_events(rows)).first()
+    known = [text for text in texts if text is not None]
+    assert (row.session_start, row.session_end) == (min(known), max(known))
+    running = sessions.running_profiles(make_events(rows)).first()
+    assert running == row
+
+
 def test_durations_that_round_to_zero_drop_out(make_events):
     rows = [
         {"session_id": "short", "event_timestamp": "2024-03-04T10:00:00.000Z"},

@@ -21,12 +21,94 @@ from usagelens.functions.columns import (
 from usagelens.functions.stats import correlation_p_value, exact_percentiles
 
 
-def session_profiles(events: DataFrame) -> DataFrame:
-    """One row per session, unordered; also the running profile of a stream.
+# The usual form of a timestamp text, as a LIKE pattern and as a format.
+USUAL_TEXT = "____-__-__T__:__:__.___Z"
+USUAL_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
-    Practice and email come from the earliest event. Start and end are the smallest
-    and largest timestamp *texts*.
+
+def _parts(events: DataFrame, *extra: Column) -> DataFrame:
+    """Sums per session, practice and email: nearly one row per session.
+
+    All buffers are fixed-width, so raw events meet a hash aggregate and are not
+    sorted; the text columns are grouping keys here, and only the few rows left of
+    each session are compared to find its earliest practice and email.
+    """
+    cost, prompt = F.col("cost_usd"), is_event(USER_PROMPT)
+    length = F.when(prompt, F.col("prompt_length"))
+    return (
+        events.where(F.col("session_id").isNotNull())
+        .groupBy("session_id", "user_practice", "user_email", *extra)
+        .agg(
+            F.min("event_ts").alias("first_ts"),
+            F.max("event_ts").alias("last_ts"),
+            F.sum(money_micros(cost)).alias("micros"),
+            F.sum(money_rest(cost)).alias("rest"),
+            F.sum(tokens()).alias("tokens"),
+            F.count_if(is_event(API_REQUEST)).alias("calls"),
+            F.count_if(prompt).alias("prompts"),
+            F.count_if(is_event(TOOL_DECISION)).alias("decisions"),
+            F.sum(length).alias("length"),
+            F.count(length).alias("lengths"),
+        )
+    )
+
+
+def _who() -> Column:
+    """Practice and email of the earliest event, from the parts of a session."""
+    earliest = earliest_key(F.col("first_ts"), F.col("user_practice"), F.col("user_email"))
+    return F.min_by(F.struct("user_practice", "user_email"), earliest).alias("who")
+
+
+def _total_cost() -> Column:
+    return money_from_parts(F.sum("micros"), F.sum("rest"))
+
+
+def session_stats(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per session, dearest first; practice and email come from its earliest event.
+
+    Start and end are the smallest and largest timestamp *texts*. Texts of the usual
+    form sort like their instants and are written back from those; any other text is
+    a grouping key of its own. With ``limit`` the sort becomes a top-k.
     """
+    text = F.col("event_timestamp")
+    usual = text.like(USUAL_TEXT) & F.col("event_ts").isNotNull()
+    other = F.when(~usual, text).alias("other_text")
+
+    def shown(instant: str) -> Column:
+        return F.coalesce("other_text", F.date_format(instant, USUAL_FORMAT))
+
+    ordered = (
+        _parts(events, other)
+        .groupBy("session_id")
+        .agg(
+            _who(),
+            F.min(shown("first_ts")).alias("session_start"),
+            F.max(shown("last_ts")).alias("session_end"),
+            F.sum("prompts").alias("prompts"),
+            F.sum("calls").alias("api_calls"),
+            F.sum("decisions").alias("tool_decisions"),
+            rounded(_total_cost(), 6).alias("session_cost_usd"),
+            F.sum("tokens").alias("session_tokens"),
+        )
+        .select("session_id", "who.*", *PROFILE_COLUMNS)
+        .orderBy(F.desc("session_cost_usd"), "session_id")
+    )
+    return ordered if limit is None else ordered.limit(limit)
+
+
+PROFILE_COLUMNS = (
+    "session_start",
+    "session_end",
+    "prompts",
+    "api_calls",
+    "tool_decisions",
+    "session_cost_usd",
+    "session_tokens",
+)
+
+
+def running_profiles(events: DataFrame) -> DataFrame:
+    """Session profiles in a single aggregate, as a stream needs them; unordered."""
     who = F.min_by(
         F.struct("user_practice", "user_email"),
         earliest_key(F.col("event_ts"), F.col("user_practice"), F.col("user_email")),
@@ -44,62 +126,19 @@ def session_profiles(events: DataFrame) -> DataFrame:
             rounded(money_sum(F.col("cost_usd")), 6).alias("session_cost_usd"),
             F.sum(tokens()).alias("session_tokens"),
         )
-        .select(
-            "session_id",
-            "who.user_practice",
-            "who.user_email",
-            "session_start",
-            "session_end",
-            "prompts",
-            "api_calls",
-            "tool_decisions",
-            "session_cost_usd",
-            "session_tokens",
-        )
+        .select("session_id", "who.*", *PROFILE_COLUMNS)
     )
 
 
-def session_stats(events: DataFrame, limit: int | None = None) -> DataFrame:
-    """Session profiles, dearest first; with ``limit`` the sort becomes a top-k."""
-    ordered = session_profiles(events).orderBy(F.desc("session_cost_usd"), "session_id")
-    return ordered if limit is None else ordered.limit(limit)
-
-
 def session_features(events: DataFrame) -> DataFrame:
-    """Inputs of the session outlier model, one row per session.
-
-    Events are summed per (session, practice, email) with fixed-width buffers, so
-    the first aggregate is a hash aggregate without sorting raw rows; choosing the
-    earliest practice and email then touches about one row per session.
-    """
-    cost, prompt = F.col("cost_usd"), is_event(USER_PROMPT)
-    length = F.when(prompt, F.col("prompt_length"))
-    parts = (
-        events.where(F.col("session_id").isNotNull())
-        .groupBy("session_id", "user_practice", "user_email")
-        .agg(
-            F.min("event_ts").alias("first_ts"),
-            F.max("event_ts").alias("last_ts"),
-            F.sum(money_micros(cost)).alias("micros"),
-            F.sum(money_rest(cost)).alias("rest"),
-            F.sum(tokens()).alias("tokens"),
-            F.count_if(is_event(API_REQUEST)).alias("calls"),
-            F.count_if(prompt).alias("prompts"),
-            F.sum(length).alias("length"),
-            F.count(length).alias("lengths"),
-        )
-    )
-    who = F.min_by(
-        F.struct("user_practice", "user_email"),
-        earliest_key(F.col("first_ts"), F.col("user_practice"), F.col("user_email")),
-    )
-    total = money_from_parts(F.sum("micros"), F.sum("rest")).cast("double")
+    """Inputs of the session outlier model, one row per session."""
     mean_length = F.sum("length") / F.nullif(F.sum("lengths"), F.lit(0))
     return (
-        parts.groupBy("session_id")
+        _parts(events)
+        .groupBy("session_id")
         .agg(
-            who.alias("who"),
-            F.coalesce(total, F.lit(0.0)).alias("total_cost"),
+            _who(),
+            F.coalesce(_total_cost().cast("double"), F.lit(0.0)).alias("total_cost"),
             F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
             F.sum("calls").alias("api_calls"),
             F.sum("prompts").alias("prompts"),

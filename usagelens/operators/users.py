@@ -36,17 +36,17 @@ def prompt_length_distribution(events: DataFrame) -> DataFrame:
 def user_rollup(events: DataFrame) -> DataFrame:
     """Activity per email, with NULL where a user has no cost, tokens or prompt lengths.
 
-    Raw events collapse into (email, session, practice) first. A user with a third
-    of all events is thereby spread over their sessions, and the distinct session
-    count and the earliest practice are found on the collapsed rows.
+    Events are summed per (email, session) first, which spreads a user with a third
+    of all events over their sessions and leaves one row per session to count. The
+    practice of the earliest event is found apart, over (email, practice), so that
+    both aggregates of raw events can hash.
     """
     cost, prompt = F.col("cost_usd"), is_event(USER_PROMPT)
     length = F.when(prompt, F.col("prompt_length"))
-    parts = (
-        events.where(filled("user_email"))
-        .groupBy("user_email", "session_id", "user_practice")
+    known = events.where(filled("user_email"))
+    activity = (
+        known.groupBy("user_email", "session_id")
         .agg(
-            F.min("event_ts").alias("first_ts"),
             F.sum(money_micros(cost)).alias("micros"),
             F.sum(money_rest(cost)).alias("rest"),
             F.sum(tokens()).alias("tokens"),
@@ -55,18 +55,24 @@ def user_rollup(events: DataFrame) -> DataFrame:
             F.sum(length).alias("length"),
             F.count(length).alias("lengths"),
         )
+        .groupBy("user_email")
+        .agg(
+            F.count("session_id").alias("sessions"),
+            money_from_parts(F.sum("micros"), F.sum("rest")).alias("cost"),
+            F.sum("tokens").alias("tokens"),
+            F.sum("calls").alias("api_calls"),
+            F.sum("prompts").alias("prompts"),
+            (F.sum("length") / F.nullif(F.sum("lengths"), F.lit(0))).alias("mean_prompt_len"),
+        )
     )
-    return parts.groupBy("user_email").agg(
-        F.min_by("user_practice", earliest_key(F.col("first_ts"), F.col("user_practice"))).alias(
-            "user_practice"
-        ),
-        F.countDistinct("session_id").alias("sessions"),
-        money_from_parts(F.sum("micros"), F.sum("rest")).alias("cost"),
-        F.sum("tokens").alias("tokens"),
-        F.sum("calls").alias("api_calls"),
-        F.sum("prompts").alias("prompts"),
-        (F.sum("length") / F.nullif(F.sum("lengths"), F.lit(0))).alias("mean_prompt_len"),
+    earliest = earliest_key(F.col("first_ts"), F.col("user_practice"))
+    practice = (
+        known.groupBy("user_email", "user_practice")
+        .agg(F.min("event_ts").alias("first_ts"))
+        .groupBy("user_email")
+        .agg(F.min_by("user_practice", earliest).alias("user_practice"))
     )
+    return activity.join(practice, "user_email")
 
 
 def top_users_by_cost(events: DataFrame, limit: int = 20) -> DataFrame:
@@ -101,11 +107,9 @@ def user_features(events: DataFrame) -> DataFrame:
 
 
 def terminal_type_distribution(events: DataFrame) -> DataFrame:
-    """Distinct sessions and users per terminal, counted over the distinct triples."""
+    """Distinct sessions and users per terminal."""
     return (
         events.where(F.col("terminal_type").isNotNull())
-        .select("terminal_type", "session_id", "user_id")
-        .distinct()
         .groupBy("terminal_type")
         .agg(
             F.countDistinct("session_id").alias("sessions"),

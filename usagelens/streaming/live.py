@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamReader, DataStreamWriter, StreamingQuery
 
 from usagelens.functions.columns import API_REQUEST, is_event
-from usagelens.operators.sessions import session_profiles
+from usagelens.operators.sessions import running_profiles
 from usagelens.operators.usage import PERIOD_COLUMNS, period_label, period_sums
 from usagelens.schema import PARSED_COLUMNS
 from usagelens.session import configure
@@ -126,7 +126,7 @@ def live_cost(events: DataFrame, granularity: str = "hour") -> DataFrame:
 
 def live_sessions(events: DataFrame) -> DataFrame:
     """Running profile of every session of a stream, one state row per session."""
-    return session_profiles(events)
+    return running_profiles(events)
 
 
 def keep_changes(
