@@ -461,7 +461,9 @@ def ingest_sql() -> dict[str, str]:
     sessions = _with(f"{EVENTS},{SESSION_WHO}", SESSION_SQL)
     return {
         "ingest_events": stored,
+        "ingest_in_two_loads": stored,
         "stream_ingest": stored,
+        "stream_ingest_with_state": stored,
         "ingest_summary": _with(ENVELOPES, SUMMARY),
         "ingest_quarantine": _with(ENVELOPES, QUARANTINE),
         "employees_upsert": _with(EMPLOYEES, "SELECT * FROM m"),

@@ -42,6 +42,18 @@ def test_forest_does_not_depend_on_partitions(spark):
     assert results[0] == results[1]
 
 
+def test_every_tree_gets_its_sample_from_a_large_table(spark):
+    """One hash per row: slices of about twice the sample, no row in two of them."""
+    rows = 200_000
+    keys = spark.range(rows).select(F.col("id").cast("string").alias("key"), F.lit(1.0).alias("a"))
+    drawn = outliers._draw(keys, "key", ("a",), outliers.SAMPLE, rows).persist()
+    sizes = [r["count"] for r in drawn.groupBy("tree").count().collect()]
+    assert len(sizes) == outliers.TREES
+    assert min(sizes) >= outliers.SAMPLE and max(sizes) < 3 * outliers.SAMPLE
+    assert drawn.select("key").distinct().count() == sum(sizes)
+    drawn.unpersist()
+
+
 def test_few_rows_are_never_flagged(spark):
     scored = outliers.isolation_forest(planted(spark).limit(9), "key", INPUTS).collect()
     assert len(scored) == 9

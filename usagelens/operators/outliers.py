@@ -52,20 +52,27 @@ def _average_path(n: int) -> float:
 
 
 def _draw(features: DataFrame, key: str, inputs: Sequence[str], sample: int, rows: int) -> DataFrame:
-    """Candidate rows of every tree, with the hash that orders them.
+    """Candidate rows of every tree, with the number that orders them.
 
-    A row is a candidate where its hash falls below twice the sampling rate, which
-    leaves each tree about twice the rows it needs; only candidates are shuffled.
+    Each tree gets about twice the rows it needs, and only these are shuffled. Where
+    the trees together need no more rows than there are, one hash per row decides:
+    the numbers from 0 to 1 are cut into a slice per tree. Smaller tables are drawn
+    from with a hash per row and tree.
     """
-    rate = min(1.0, 2.0 * sample / rows)
+    rate = 2.0 * sample / rows
 
-    def hashed(tree: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), tree, F.col(key)), 11) / float(1 << 53)
+    def hashed(*salt: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(key), *salt), 11) / float(1 << 53)
 
-    trees = F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: hashed(t) < rate)
     point = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in inputs])
+    if TREES * rate <= 1.0:
+        drawn = features.select(hashed().alias("h"), F.col(key).alias("key"), point.alias("point"))
+        tree = F.floor(F.col("h") / rate).cast("int")
+        return drawn.where(F.col("h") < TREES * rate).withColumn("tree", tree)
+    every = F.sequence(F.lit(0), F.lit(TREES - 1))
+    trees = F.filter(every, lambda t: hashed(t) < rate)
     drawn = features.select(F.col(key), point.alias("point"), F.explode(trees).alias("tree"))
-    return drawn.select("tree", hashed(F.col("tree")).alias("h"), F.col(key).alias("key"), "point")
+    return drawn.select(hashed(F.col("tree")).alias("h"), F.col(key).alias("key"), "point", "tree")
 
 
 def _grow(sample: int):
@@ -84,7 +91,9 @@ def _grow(sample: int):
             low, high = points[members].min(axis=0), points[members].max(axis=0)
             varied = np.flatnonzero(high > low)
             if depth >= limit or len(members) <= 1 or len(varied) == 0:
-                nodes.append((tree, node, -1, 0.0, node, node, depth + _average_path(len(members))))
+                # A leaf sends everything to itself.
+                length = depth + _average_path(len(members))
+                nodes.append((tree, node, 0, np.inf, node, node, length))
                 continue
             feature = int(rng.choice(varied))
             split = float(rng.uniform(low[feature], high[feature]))
@@ -100,8 +109,13 @@ def _grow(sample: int):
 def _scorer(features: DataFrame, forest: pd.DataFrame, sample: int):
     """A vectorised column function giving each row's strength in whole billionths."""
     trees = [
-        tuple(t[c].to_numpy() for c in ("feature", "split", "low", "high", "length"))
-        for _, t in forest.sort_values("node").groupby("tree")
+        (
+            tree["feature"].to_numpy(dtype="int64"),
+            tree["split"].to_numpy(),
+            tree[["low", "high"]].to_numpy(dtype="int64").ravel(),
+            tree["length"].to_numpy(),
+        )
+        for _, tree in forest.sort_values("node").groupby("tree")
     ]
     shared = features.sparkSession.sparkContext.broadcast(trees)
     depth = int(np.ceil(np.log2(max(sample, 2))))
@@ -109,16 +123,15 @@ def _scorer(features: DataFrame, forest: pd.DataFrame, sample: int):
 
     @F.pandas_udf("bigint")
     def strength(points: pd.DataFrame) -> pd.Series:
-        x = points.to_numpy(dtype="float64")
-        rows = np.arange(len(x))
-        total = np.zeros(len(x))
-        for feature, split, low, high, length in shared.value:
-            node = np.zeros(len(x), dtype="int64")
+        values = points.to_numpy(dtype="float64").ravel()
+        first = np.arange(len(points)) * points.shape[1]
+        total = np.zeros(len(points))
+        for feature, split, children, length in shared.value:
+            node = np.zeros(len(points), dtype="int64")
             for _ in range(depth):
-                # Leaves name feature -1 and lead to themselves either way.
-                below = x[rows, feature[node]] <= split[node]
-                node = np.where(below, low[node], high[node])
-            total += length[node]
+                above = values.take(first + feature.take(node)) > split.take(node)
+                node = children.take(2 * node + above)
+            total += length.take(node)
         return pd.Series(np.rint(2.0 ** (-total / len(shared.value) / usual) * _UNIT).astype("int64"))
 
     return strength
