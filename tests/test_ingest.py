@@ -109,6 +109,9 @@ def test_rows_without_id_are_all_kept(spark, write, tmp_path):
     table = str(tmp_path / "events")
     lines = [envelope(event(None, named("a")), event(None, named("a")))]
     assert store.ingest_jsonl(spark, write(lines), table)["rows_written"] == 2
+    lines += [envelope(event("twice", named("b")), event("twice", named("c")))]
+    assert store.ingest_jsonl(spark, write(lines), table)["rows_written"] == 3
+    assert store.ingest_jsonl(spark, write(lines), table)["rows_written"] == 2
 
 
 def test_incomplete_rows_do_not_claim_their_id(spark, write, tmp_path):

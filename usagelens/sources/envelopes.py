@@ -98,14 +98,6 @@ def unnest(lines: DataFrame) -> DataFrame:
     )
 
 
-def claimed_ids(unnested: DataFrame) -> DataFrame:
-    """Ids of events that may be stored, found without parsing a message."""
-    event = F.col("event")
-    return unnested.where(event["id"].isNotNull() & event["timestamp"].isNotNull()).select(
-        event["id"].alias("id")
-    )
-
-
 def _member(*keys: str, kind: str = "variant") -> Column:
     """A value inside the parsed message; absent keys and wrong types give NULL."""
     return F.try_variant_get("msg", "$" + "".join(f'["{k}"]' for k in keys), kind)
@@ -182,27 +174,46 @@ def storable() -> Column:
     return F.col("valid") & F.col("timestamp").isNotNull() & F.col("event_name").isNotNull()
 
 
-def counts() -> list[Column]:
-    """Load figures over a staged frame: every line, readable events, skipped lines and events."""
-    event = F.col("pos").isNotNull()
-    return [
-        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("lines_processed"),
-        F.count_if("valid").alias("events_inserted"),
-        (F.count_if("bad_line") + F.count_if(event & ~F.col("valid"))).alias("events_skipped"),
-    ]
+def figures() -> dict[str, Column]:
+    """Which rows of a staged frame each load figure counts.
+
+    Lines of every kind, readable events, and skipped lines and events.
+    """
+    unread = F.col("pos").isNotNull() & ~F.col("valid")
+    return {
+        "lines_processed": F.coalesce("pos", F.lit(0)) == 0,
+        "events_inserted": F.col("valid"),
+        "events_skipped": F.col("bad_line") | unread,
+    }
 
 
 def summary(lines: DataFrame) -> DataFrame:
     """The load figures as one row, without writing anything."""
-    return stage(lines).agg(*counts())
+    return stage(lines).agg(*[F.count_if(c).alias(name) for name, c in figures().items()])
+
+
+def tallies(staged: DataFrame) -> DataFrame:
+    """Rows per load figure and per storable id, in one aggregate.
+
+    ``id`` is NULL in the rows of the figures. Figures and hot ids collapse before the
+    shuffle, and as plain counts they stay right when tasks are run again.
+    """
+    nothing = F.lit(None).cast("string")
+    kinds = [
+        F.when(c, F.struct(F.lit(name).alias("kind"), nothing.alias("id")))
+        for name, c in figures().items()
+    ]
+    claim = F.struct(F.lit("id").alias("kind"), F.col("id").alias("id"))
+    kinds.append(F.when(storable() & F.col("id").isNotNull(), claim))
+    marked = staged.select(F.explode(F.array_compact(F.array(*kinds))).alias("mark"))
+    return marked.groupBy("mark.kind", "mark.id").agg(F.count("*").alias("copies"))
 
 
 def quarantine(lines: DataFrame) -> DataFrame:
     """Lines and events that were skipped, with the reason."""
-    bad, unread = F.col("bad_line"), F.col("pos").isNotNull() & ~F.col("valid")
-    reason = F.when(bad, "line is not a JSON object").otherwise("event cannot be read")
+    reason = F.when(F.col("bad_line"), "line is not a JSON object").otherwise("event cannot be read")
     return (
         stage(lines)
-        .where(bad | unread)
+        .where(figures()["events_skipped"])
         .select("file", F.col("text").alias("line"), "pos", "id", reason.alias("reason"))
     )

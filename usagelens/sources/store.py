@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from usagelens import schema
 from usagelens.session import configure, written
@@ -30,8 +30,8 @@ def ensure_table(spark: SparkSession, path: str) -> DataFrame:
 def _contested(ids: DataFrame, stored: DataFrame) -> DataFrame:
     """Ids that come more than once or are stored already, and whether they are stored.
 
-    A hot id is counted before the shuffle. ``ids`` is a written table, so the optimizer knows its size: a
-    small load is broadcast to the scan of the stored ids, which are then not shuffled.
+    ``ids`` is a written table, so the optimizer knows its size: a small load is
+    broadcast to the scan of the stored ids, which are then not shuffled.
     """
     repeated = ids.where(F.col("copies") > 1).select("id", F.lit(False).alias("known"))
     known = stored.select("id").join(ids, "id", "left_semi").select("id", F.lit(True).alias("known"))
@@ -82,22 +82,22 @@ def append_lines(lines: DataFrame, path: str, load_id: str) -> dict[str, int]:
     configure(spark)
     earlier = ensure_table(spark, path).where(F.col("load_id") != load_id)
     unnested = envelopes.unnest(lines)
-    ids = envelopes.claimed_ids(unnested).groupBy("id").agg(F.count("*").alias("copies"))
-    contested = written(_contested(written(ids, "ids"), earlier), "contested")
-
-    figures = Observation()
     staged = envelopes.parse_events(unnested)
-    rows = staged.observe(figures, *envelopes.counts()).where(envelopes.storable())
-    fresh = rows.select(schema.PARSED_COLUMNS)
+    tallies = written(envelopes.tallies(staged), "tallies")
+    ids = tallies.where(F.col("kind") == "id").select("id", "copies")
+    contested = written(_contested(ids, earlier), "contested")
+
+    fresh = staged.where(envelopes.storable()).select(schema.PARSED_COLUMNS)
     if not contested.isEmpty():
         # Its size on disk is known: a small table is broadcast and no row is shuffled.
         fresh = fresh.join(contested, "id", "left_anti").select(schema.PARSED_COLUMNS)
         fresh = fresh.unionByName(_first_rows(unnested, contested))
     write_load(fresh, path, load_id)
+
+    figures = dict.fromkeys(envelopes.figures(), 0)
+    figures |= {r.kind: r.copies for r in tallies.where(F.col("kind") != "id").collect()}
     added = read_events(spark, path).where(F.col("load_id") == load_id).count()
-    # Adaptive execution drops an empty stage together with the figures observed in it.
-    counted = figures.get if added else staged.agg(*envelopes.counts()).first().asDict()
-    return {**counted, "rows_written": added}
+    return {**figures, "rows_written": added}
 
 
 def ingest_jsonl(
