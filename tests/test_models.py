@@ -61,7 +61,8 @@ def test_few_rows_are_never_flagged(spark):
 
 
 def test_equal_rows_are_not_flagged(spark):
-    same = spark.range(50).select(F.col("id").cast("string").alias("key"), *[F.lit(1.0).alias(c) for c in INPUTS])
+    ones = [F.lit(1.0).alias(c) for c in INPUTS]
+    same = spark.range(50).select(F.col("id").cast("string").alias("key"), *ones)
     assert not any(r.is_anomaly for r in outliers.isolation_forest(same, "key", INPUTS).collect())
 
 

@@ -7,7 +7,7 @@ import pytest
 from usagelens.operators import reshape, sessions, tools, usage, users, workforce
 from usagelens.plans import catalog
 from usagelens.schema import EMPLOYEES
-from usagelens.sources.records import to_records
+from usagelens.sources.records import to_records, write_records
 
 
 def at(hour, minute=0, day=4):
@@ -173,7 +173,9 @@ def test_workforce_reports_with_and_without_broadcast(spark, make_events, staff,
 
 
 def test_top_users_break_ties_by_email(make_events):
-    rows = [{"event_name": "api_request", "user_email": e, "cost_usd": 1.0} for e in ("b", "a", "c", "")]
+    rows = [
+        {"event_name": "api_request", "user_email": e, "cost_usd": 1.0} for e in ("b", "a", "c", "")
+    ]
     top = users.top_users_by_cost(make_events(rows), limit=2).collect()
     assert [r.user_email for r in top] == ["a", "b"]
 
@@ -258,3 +260,14 @@ def test_bad_requests(make_events, name, params):
 def test_records_keep_nulls_and_drop_nan(spark):
     df = spark.createDataFrame([(1, float("nan"), None)], "a int, b double, c string")
     assert json.loads(to_records(df).first().value) == {"a": 1, "b": None, "c": None}
+
+
+def test_written_records_read_back(spark, tmp_path):
+    path = str(tmp_path / "records")
+    df = spark.createDataFrame([(1, float("nan"), None), (2, 0.5, "x")], "a int, b double, c string")
+    write_records(df, path)
+    lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    assert sorted(lines, key=lambda r: r["a"]) == [
+        {"a": 1, "b": None, "c": None},
+        {"a": 2, "b": 0.5, "c": "x"},
+    ]

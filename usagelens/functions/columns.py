@@ -63,11 +63,6 @@ def rounded(value: Column, places: int) -> Column:
     return F.round(value, places).cast("double")
 
 
-def rounded_even(value: Column, places: int) -> Column:
-    """Round half to even, as array libraries do."""
-    return F.bround(value, places).cast("double")
-
-
 # --- ratios ------------------------------------------------------------------
 
 
