@@ -36,6 +36,8 @@ def exact_percentiles(
         .groupBy(*keys, F.col(value).alias("v"))
         .agg(F.count("*").alias("c"))
         .withColumn("b", F.shiftright("v", bits))
+        # The join below asks this of one side only; asked of both, they share a shuffle.
+        .where(F.col("b").isNotNull())
     )
     by_bucket = Window.partitionBy(*keys).orderBy("b")
     buckets = (

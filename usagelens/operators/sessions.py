@@ -205,16 +205,23 @@ def _strength() -> Column:
     return F.when(r.isNotNull(), F.coalesce(*above, F.lit(WEAKEST)))
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Events of a session at a known instant; others cannot change a duration."""
+    return events.where(F.col("session_id").isNotNull() & F.col("event_ts").isNotNull())
+
+
+def _spans(events: DataFrame, *keys: str) -> DataFrame:
+    return events.groupBy("session_id", *keys).agg(
+        F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts")
+    )
+
+
 def session_durations(events: DataFrame) -> DataFrame:
     """Sessions lasting more than 0.00 minutes after rounding, with their duration."""
-    parts = (
-        events.where(F.col("session_id").isNotNull() & F.col("event_timestamp").isNotNull())
-        .groupBy("session_id", "user_practice")
-        .agg(F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
-    )
     practice = F.min_by("user_practice", earliest_key(F.col("first_ts"), F.col("user_practice")))
     return (
-        parts.groupBy("session_id")
+        _spans(_timed(events), "user_practice")
+        .groupBy("session_id")
         .agg(
             practice.alias("user_practice"),
             minutes_between(F.min("first_ts"), F.max("last_ts"), 2).alias("duration_min"),
@@ -233,10 +240,13 @@ DURATION_PERCENTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p9
 
 
 def session_duration_stats(events: DataFrame) -> DataFrame:
-    """Mean, spread and percentiles of the session duration in minutes; no row without sessions."""
-    stats = exact_percentiles(
-        hundredths(session_durations(events)), "h", DURATION_PERCENTILES | {"max": 1.0}
-    )
+    """Mean, spread and percentiles of the session duration in minutes; no row without sessions.
+
+    The practice of a session plays no part here, so one aggregate per session is enough.
+    """
+    minutes = minutes_between(F.col("first_ts"), F.col("last_ts"), 2).alias("duration_min")
+    lasting = _spans(_timed(events)).select(minutes).where(F.col("duration_min") > 0)
+    stats = exact_percentiles(hundredths(lasting), "h", DURATION_PERCENTILES | {"max": 1.0})
     return stats.where(F.col("n") > 0).select(
         *[
             F.round(F.col(name) / 100, 2).alias(name)
