@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from usagelens.llm import packing, quality, toxicity
+from usagelens.llm import mixing, packing, quality, toxicity
 from usagelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,17 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(toxicity.scored(docs, toxicity.fit(docs, seen)), "toxic_score", _fold(4) == 2)
 
 
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    return mixing.mixed(docs).select(
+        "doc_id",
+        mixing.source_name().alias("source"),
+        F.col("mix_block").alias("block"),
+        F.col("mix_slot").alias("slot"),
+        F.col("mix_position").alias("position"),
+    )
+
+
 def _scores(rows: DataFrame, score: str, held_out: Column) -> DataFrame:
     return rows.select(
         "doc_id",
@@ -53,8 +64,9 @@ def queries() -> dict[str, Query]:
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": mixing.sql()}
