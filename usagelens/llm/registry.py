@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from usagelens.llm import mixing, packing, quality, toxicity
+from usagelens.llm import fingerprints, mixing, packing, quality, toxicity
 from usagelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fingerprints.fingerprinted(table(spark, sf, "documents"))
+    return rows.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed(
+        "edited", "edited_sha256"
+    )
+
+
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     seen = labels.where(_fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
@@ -61,6 +68,7 @@ def _scores(rows: DataFrame, score: str, held_out: Column) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_fingerprints": op5_fingerprints,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
