@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from usagelens.llm import fingerprints, mixing, packing, quality, toxicity
+from usagelens.llm import fingerprints, mixing, packing, pii, quality, toxicity
 from usagelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digests(pii.extracted(table(spark, sf, "documents")))
+
+
 def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     rows = fingerprints.fingerprinted(table(spark, sf, "documents"))
     return rows.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed(
@@ -68,6 +72,7 @@ def _scores(rows: DataFrame, score: str, held_out: Column) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_pii": op4_pii,
         "op5_fingerprints": op5_fingerprints,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
