@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from usagelens.llm.tables import arrow_schema, record_batch, texts
+from usagelens.llm.tables import arrow_schema, record_batch, spread_join, texts
 from usagelens.session import written
 
 #: Kinds in the order of their listing.
@@ -46,8 +46,6 @@ _AROUND = r"\w+|[^\w\s]"
 
 #: Seeds a pattern needs, rounds of scoring, and the score at which a candidate is taken.
 SUPPORT, ROUNDS, BELIEVED = 5, 3, 0.8
-#: Parts into which the edges of one pattern or instance are spread for a join.
-_SPREAD = 16
 
 FOUND = (
     "row_id long, doc_id long, base array<struct<kind: string, start: long, end: long>>, "
@@ -176,16 +174,6 @@ def found(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, schema)
 
 
-def _spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """Inner join in which the rows of one key in ``many`` are spread over several parts."""
-    parts = F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))).alias("part")
-    return (
-        many.withColumn("part", F.pmod(F.xxhash64(by), F.lit(_SPREAD)).cast("int"))
-        .join(few.select("*", parts), [*keys, "part"])
-        .drop("part")
-    )
-
-
 def believed(rows: DataFrame) -> DataFrame:
     """``kind`` and ``instance`` of the loose candidates that end above the threshold.
 
@@ -206,7 +194,7 @@ def believed(rows: DataFrame) -> DataFrame:
         .select("pattern")
         .distinct()
     )
-    graph = _spread_join(edges, strong, ["pattern"], "instance")
+    graph = spread_join(edges, strong, ["pattern"], "instance")
     graph = written(graph.withColumn("score", F.col("seed")), "pii-graph")
     for _ in range(ROUNDS):
         share = graph.groupBy("pattern", "kind").agg(
@@ -218,11 +206,11 @@ def believed(rows: DataFrame) -> DataFrame:
         )
         doubt = F.log(1 - F.least(F.col("trust"), F.lit(0.999)))
         scores = (
-            _spread_join(graph, trust, ["pattern", "kind"], "instance")
+            spread_join(graph, trust, ["pattern", "kind"], "instance")
             .groupBy("kind", "instance")
             .agg((1 - F.exp(F.sum(doubt))).alias("belief"))
         )
-        graph = _spread_join(graph, scores, ["kind", "instance"], "pattern").select(
+        graph = spread_join(graph, scores, ["kind", "instance"], "pattern").select(
             "kind",
             "pattern",
             "instance",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from usagelens.llm import fingerprints, mixing, packing, pii, quality, toxicity
+from usagelens.llm import fingerprints, html, mixing, near, packing, pii, quality, toxicity
 from usagelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near.classes(table(spark, sf, "documents")).select("doc_id", "class_id", "copies")
+
+
 def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(pii.extracted(table(spark, sf, "documents")))
 
@@ -34,6 +38,11 @@ def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_html(spark: SparkSession, sf: str) -> DataFrame:
+    rows = html.main_text(table(spark, sf, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     seen = labels.where(_fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
@@ -72,8 +81,10 @@ def _scores(rows: DataFrame, score: str, held_out: Column) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_near_duplicates": op2_near_duplicates,
         "op4_pii": op4_pii,
         "op5_fingerprints": op5_fingerprints,
+        "op6_html": op6_html,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,

@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema as arrow_schema
 
 from usagelens.session import configure
 
 #: Rows in one Arrow batch: whole texts are long, so batches hold few of them.
 BATCH_ROWS = 512
+#: Parts into which the rows of one key are spread for a join.
+_SPREAD = 16
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,7 +36,7 @@ def map_columns(
 ) -> DataFrame:
     """Apply ``function`` to each Arrow batch, as lists or arrays by column name."""
     fields = df.sparkSession.createDataFrame([], schema).schema
-    arrow = _arrow_schema(fields)
+    arrow = arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,10 +53,13 @@ def record_batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def _arrow_schema(fields) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(fields)
-
-
-arrow_schema = _arrow_schema
+def spread_join(
+    many: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner"
+) -> DataFrame:
+    """Join in which the rows of one key in ``many`` are spread over several parts by ``by``."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))).alias("part")
+    return (
+        many.withColumn("part", F.pmod(F.xxhash64(by), F.lit(_SPREAD)).cast("int"))
+        .join(few.select("*", parts), [*keys, "part"], how)
+        .drop("part")
+    )
