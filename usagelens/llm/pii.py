@@ -9,12 +9,11 @@ believed to be of one kind, an instance as good as its patterns together. Loose
 candidates that end above a threshold join the base spans; base spans always stay.
 """
 
-from __future__ import annotations
-
 import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -48,7 +47,7 @@ _AROUND = r"\w+|[^\w\s]"
 SUPPORT, ROUNDS, BELIEVED = 5, 3, 0.8
 
 FOUND = (
-    "row_id long, doc_id long, base array<struct<kind: string, start: long, end: long>>, "
+    "row_id long, doc_id long, key binary, base array<struct<kind: string, start: long, end: long>>, "
     "mentions array<struct<kind: string, start: long, end: long, seed: boolean, "
     "instance: long, patterns: array<string>>>"
 )
@@ -164,14 +163,20 @@ def found(docs: DataFrame) -> DataFrame:
             n = batch.num_rows
             columns = {
                 "row_id": list(range(next_row, next_row + n)),
-                "doc_id": batch.column(0).to_pylist(),
+                "doc_id": batch.column(0),
+                "key": batch.column(2),
                 "base": bases,
                 "mentions": mentions,
             }
             next_row += n
             yield record_batch(columns, arrow)
 
-    return texts(docs).mapInArrow(run, schema)
+    keyed = texts(docs)
+    return keyed.select("doc_id", "text", _key(keyed["text"])).mapInArrow(run, schema)
+
+
+def _key(text):
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
 def believed(rows: DataFrame) -> DataFrame:
@@ -225,7 +230,9 @@ def believed(rows: DataFrame) -> DataFrame:
 
 
 def extracted(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``base`` and ``spans`` of every row: arrays of (kind, start, end).
+    """``doc_id``, ``key`` (a digest of the text), ``base`` and ``spans`` of every row.
+
+    Spans are arrays of (kind, start, end).
 
     ``spans`` holds the base spans and the discovered ones, by start and then kind; offsets
     are code points, ends exclusive. Null and empty texts have none; repeated rows are
@@ -257,7 +264,9 @@ def extracted(docs: DataFrame) -> DataFrame:
         by_place,
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
-    return rows.join(added, "row_id", "left").select("doc_id", "base", plain.alias("spans"))
+    return rows.join(added, "row_id", "left").select(
+        "doc_id", "key", "base", plain.alias("spans")
+    )
 
 
 def listed(spans: str):
@@ -283,30 +292,38 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets.
 
     Columns and rows stay; ``n_chars``, where present, is the new length. Null texts
-    stay null. Overlapping spans become one replacement, named after the first.
+    stay null. Of overlapping spans the first gives the name, and all are covered.
     """
-    spans = extracted(docs).where("size(spans) > 0").select(
-        F.col("doc_id").alias("pii_doc"), F.col("spans").alias("pii_spans")
-    ).groupBy("pii_doc").agg(F.collect_set("pii_spans").alias("pii_all"))
-    # Rows that share an id have their own texts, so each takes the spans that its text bears.
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("pii_doc"), "left")
+    spans = (
+        extracted(docs)
+        .where("size(spans) > 0")
+        .select(F.col("doc_id").alias("pii_id"), F.col("key").alias("pii_key"), "spans")
+        .dropDuplicates(["pii_id", "pii_key"])
+        .withColumnRenamed("spans", "pii_spans")
+    )
 
-    @F.udf("string")
-    def replace(text, options):
-        if not text or not options:
-            return text
-        own = base_spans(text)
-        chosen = [o for o in options if [tuple(s) for s in o if tuple(s) in own] == own] or [own]
-        return without(text, max(chosen, key=len))
+    @F.pandas_udf("string")
+    def replace(text: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series(
+            [t if f is None or t is None else without(t, f) for t, f in zip(text, found)]
+        )
 
-    text = replace("text", "pii_all")
-    out = joined.withColumn("text", text).drop("pii_doc", "pii_all")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("pii_id"))
+    keyed = docs.withColumn("pii_text", _key(F.col("text")))
+    joined = keyed.join(spans, same & (F.col("pii_text") == F.col("pii_key")), "left")
+    out = joined.withColumn("text", replace(F.col("text").cast("string"), "pii_spans"))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        same = F.col("pii_spans").isNull()
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(length))
+    return out.select(docs.columns)
 
 
 def without(text: str, spans: list) -> str:
+    """``text`` with the spans, given in order, replaced."""
     parts, at = [], 0
-    for kind, start, end in spans:
+    for span in spans:
+        kind, start, end = span["kind"], span["start"], span["end"]
         if start >= at:
             parts += [text[at:start], f"[{kind.upper()}]"]
         at = max(at, end)

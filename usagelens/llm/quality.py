@@ -7,13 +7,12 @@ the logistic of the difference of the two Gaussian log-densities, each from a
 Mahalanobis distance through a Cholesky factor that is computed once.
 """
 
-from __future__ import annotations
-
 import math
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from usagelens.llm.tables import map_columns, texts
@@ -166,8 +165,6 @@ def scored(docs: DataFrame, model: Discriminant) -> DataFrame:
 
 def score_column(model: Discriminant):
     """The score as a column function of a text column, for filters that keep all columns."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         vectors = np.array([statistics(t or "") for t in text]).reshape(-1, len(STATISTICS))

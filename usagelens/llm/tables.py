@@ -49,10 +49,14 @@ def map_columns(
 
 def record_batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], type=f.type) for f in schema], schema=schema
+        [_array(columns[f.name], f.type) for f in schema], schema=schema
     )
 
 
+def _array(values, kind: pa.DataType) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
+
 def spread_join(
     many: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner"
 ) -> DataFrame:
