@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from usagelens.llm import fingerprints, html, mixing, near, packing, pii, quality, toxicity
+from usagelens.llm import fingerprints, html, mixing, near, packing, pii, quality, substrings, toxicity
 from usagelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,14 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = substrings.deduplicated(table(spark, sf, "documents"))
+    one = lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))
+    return rows.select(
+        "doc_id", F.concat_ws(",", F.transform("removed", one)).alias("removed"), "text"
+    )
+
+
 def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near.classes(table(spark, sf, "documents")).select("doc_id", "class_id", "copies")
 
@@ -81,6 +89,7 @@ def _scores(rows: DataFrame, score: str, held_out: Column) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substrings": op1_substrings,
         "op2_near_duplicates": op2_near_duplicates,
         "op4_pii": op4_pii,
         "op5_fingerprints": op5_fingerprints,
