@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from usagelens.llm import fingerprints, html, mixing, near, packing, pii, quality, substrings, toxicity
+from usagelens.llm import fingerprints, html, mixing, near, neighbours, packing, pii, quality, substrings, toxicity
 from usagelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near.classes(table(spark, sf, "documents")).select("doc_id", "class_id", "copies")
 
 
+def op3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(pii.extracted(table(spark, sf, "documents")))
 
@@ -91,6 +95,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_substrings": op1_substrings,
         "op2_near_duplicates": op2_near_duplicates,
+        "op3_neighbours": op3_neighbours,
         "op4_pii": op4_pii,
         "op5_fingerprints": op5_fingerprints,
         "op6_html": op6_html,
