@@ -20,11 +20,11 @@ from usagelens.llm.tables import map_columns, texts
 #: Rows of each class that the model is trained on, at most (by hash of the id).
 SAMPLE = 1500
 BUCKET_BITS, WIDTH, FIRST_EPOCHS, EPOCHS, RATE = 18, 8, 12, 40, 0.1
-#: N-grams that keep a vector after the first epochs: those with the largest logits.
-CUT = 300
+#: N-grams that keep a vector after each of the first bouts: those that speak most for class 1.
+CUTS = (1000, 400, 150)
 BUCKETS = 1 << BUCKET_BITS
 #: N-grams of fewer sample texts than this keep a zero vector.
-SEEN_IN = 20
+SEEN_IN = 8
 SHORTEST, LONGEST = 4, 6
 #: The mean is multiplied by this before the softmax: a text holds few telling words.
 SHARPNESS = 40.0
@@ -104,7 +104,7 @@ def train(samples: list[set[str]], labels: np.ndarray, seed: int = 7) -> Model:
 
     rows = np.unique(gram)
     table = rng.normal(0, 0.01, (len(rows), WIDTH)).astype(np.float32)
-    for epochs, cut in ((FIRST_EPOCHS, CUT), (EPOCHS, 0)):
+    for epochs, cut in (*((FIRST_EPOCHS, c) for c in CUTS), (EPOCHS, 0)):
         position = np.searchsorted(rows, gram)
         rarity = np.sqrt(len(samples) / seen_in[rows]).astype(np.float32)[:, None]
         up = _Mean(position, word_of_gram, 1 / np.maximum(per_word, 1), len(rows), len(order))
@@ -115,12 +115,12 @@ def train(samples: list[set[str]], labels: np.ndarray, seed: int = 7) -> Model:
             error = ((1 / (1 + np.exp(-logit)) - labels) * share).astype(np.float32)
             gradient = rarity * up.backward(pool.backward(error[:, None] * out[None, :]))
             out_gradient = mean.T @ error
-            moving = 0.8 * moving + gradient / (np.abs(gradient).max() + 1e-12)
+            moving = 0.8 * moving + gradient / (np.abs(gradient).max(initial=0) + 1e-12)
             table = table - RATE * moving
             out = out - RATE * out_gradient / (np.abs(out_gradient).max() + 1e-12)
             bias -= RATE * 20 * float(error.sum())
         if cut:
-            chosen = np.sort(np.argsort(-np.abs(table @ out), kind="stable")[:cut])
+            chosen = np.sort(np.argsort(-(table @ out), kind="stable")[:cut])
             rows, table = rows[chosen], table[chosen]
             kept = np.isin(gram, rows)
             gram, word_of_gram = gram[kept], word_of_gram[kept]
