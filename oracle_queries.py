@@ -77,10 +77,10 @@ e AS (
 
 EMPLOYEES = """
 m AS (
-  SELECT 'u' || c_custkey || '@example.org' AS email, c_name AS full_name,
+  SELECT 'u' || c_custkey || CASE WHEN c_custkey % 13 = 12 THEN '@example.com' ELSE '@example.org' END
+           AS email, c_name AS full_name,
          c_mktsegment AS practice, 'L' || (c_custkey % 10 + 1) AS "level", n_name AS location
-  FROM customer JOIN nation ON c_nationkey = n_nationkey
-  WHERE c_custkey % 13 <> 12)"""
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 JOINED = f"{EVENTS},{EMPLOYEES}, j AS (SELECT e.*, m.* FROM e JOIN m ON e.user_email = m.email)"
 

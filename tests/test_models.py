@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -43,14 +44,15 @@ def test_forest_does_not_depend_on_partitions(spark):
 
 
 def test_every_tree_gets_its_sample_from_a_large_table(spark):
-    """One hash per row: slices of about twice the sample, no row in two of them."""
+    """About twice the sample each; trees draw independently, a row at most once each."""
     rows = 200_000
     keys = spark.range(rows).select(F.col("id").cast("string").alias("key"), F.lit(1.0).alias("a"))
     drawn = outliers._draw(keys, "key", ("a",), outliers.SAMPLE, rows).persist()
     sizes = [r["count"] for r in drawn.groupBy("tree").count().collect()]
     assert len(sizes) == outliers.TREES
     assert min(sizes) >= outliers.SAMPLE and max(sizes) < 3 * outliers.SAMPLE
-    assert drawn.select("key").distinct().count() == sum(sizes)
+    assert drawn.select("key", "tree").distinct().count() == sum(sizes)
+    assert drawn.select("key").distinct().count() < sum(sizes)
     drawn.unpersist()
 
 
@@ -204,3 +206,13 @@ def test_token_forecast_of_equal_days(make_events):
     flat = daily(make_events, {1: 1.0, 2: 1.0, 3: 1.0})
     assert forecast.token_forecast_fit(flat).first().r2 == 1.0
     assert {r.total_tokens for r in forecast.token_forecast(flat, 3).collect()} == {2.0}
+
+
+def test_neighbouring_numbers_split():
+    """A split between two adjacent doubles leaves a row on either side."""
+    low = 1.0
+    high = float(np.nextafter(low, 2.0))
+    drawn = pd.DataFrame({"h": [0.1, 0.2], "key": ["a", "b"], "point": [[low], [high]]})
+    for tree in range(200):
+        nodes = outliers._grow(256)(drawn.assign(tree=tree))
+        assert len(nodes) == 3

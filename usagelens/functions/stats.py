@@ -80,7 +80,10 @@ def exact_percentiles(
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (Lentz's method)."""
+    """Continued fraction of the incomplete beta function (Lentz's method).
+
+    NaN if it has not converged after a million steps.
+    """
     tiny = 1e-300
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
@@ -95,8 +98,10 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = 1.0 + num / c
             c = c if abs(c) > tiny else tiny
             h *= c * d
-        if abs(c * d - 1.0) < 1e-15 or m > 1_000_000:
+        if abs(c * d - 1.0) < 1e-15:
             return h
+        if m > 1_000_000:
+            return math.nan
         m += 1
 
 
@@ -117,8 +122,10 @@ def student_t_two_sided(r: float, n: int) -> float | None:
     if front == 0.0:
         return 0.0
     if x < (a + 1.0) / (a + b + 2.0):
-        return min(1.0, front * _beta_fraction(a, b, x) / a)
-    return max(0.0, 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b)
+        value = front * _beta_fraction(a, b, x) / a
+    else:
+        value = 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return None if math.isnan(value) else min(1.0, max(0.0, value))
 
 
 def correlation_p_value(r: Column, n: Column) -> Column:

@@ -5,8 +5,6 @@ whatever the data: samples are shuffled by tree, the grown nodes are shared with
 all tasks, and each row is scored where it lies.
 """
 
-from __future__ import annotations
-
 from collections.abc import Sequence
 
 import numpy as np
@@ -54,24 +52,35 @@ def _average_path(n: int) -> float:
 def _draw(features: DataFrame, key: str, inputs: Sequence[str], sample: int, rows: int) -> DataFrame:
     """Candidate rows of every tree, with the number that orders them.
 
-    Each tree gets about twice the rows it needs, and only these are shuffled. Where
-    the trees together need no more rows than there are, one hash per row decides:
-    the numbers from 0 to 1 are cut into a slice per tree. Smaller tables are drawn
-    from with a hash per row and tree.
+    Each tree gets about twice the rows it needs, and only these are shuffled. A row
+    belongs to each tree with the same chance, independently: one hash of its key decides
+    to how many, by the binomial distribution, and seeds the choice of which. The work
+    grows with the rows and with the few memberships, whatever the size of the table.
     """
-    rate = 2.0 * sample / rows
+    rate = min(1.0, 2.0 * sample / rows)
+    chance, upto = (1 - rate) ** TREES, []
+    for k in range(TREES):
+        upto.append(chance)
+        chance = chance * (TREES - k) / (k + 1) * rate / (1 - rate) if rate < 1 else 0.0
+    limits = np.cumsum(upto)
+
+    @F.pandas_udf("array<int>")
+    def trees_of(code: pd.Series) -> pd.Series:
+        codes = code.to_numpy().astype("uint64")
+        counts = np.searchsorted(limits, (codes >> np.uint64(11)) / float(1 << 53), side="right")
+        return pd.Series(
+            [
+                np.random.default_rng(c).choice(TREES, n, replace=False) if n else []
+                for c, n in zip(codes.tolist(), counts.tolist())
+            ]
+        )
 
     def hashed(*salt: Column) -> Column:
         return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(key), *salt), 11) / float(1 << 53)
 
     point = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in inputs])
-    if TREES * rate <= 1.0:
-        drawn = features.select(hashed().alias("h"), F.col(key).alias("key"), point.alias("point"))
-        tree = F.floor(F.col("h") / rate).cast("int")
-        return drawn.where(F.col("h") < TREES * rate).withColumn("tree", tree)
-    every = F.sequence(F.lit(0), F.lit(TREES - 1))
-    trees = F.filter(every, lambda t: hashed(t) < rate)
-    drawn = features.select(F.col(key), point.alias("point"), F.explode(trees).alias("tree"))
+    trees = F.explode(trees_of(F.xxhash64(F.lit(SEED), F.col(key)))).alias("tree")
+    drawn = features.select(F.col(key), point.alias("point"), trees)
     return drawn.select(hashed(F.col("tree")).alias("h"), F.col(key).alias("key"), "point", "tree")
 
 
@@ -96,7 +105,10 @@ def _grow(sample: int):
                 nodes.append((tree, node, 0, np.inf, node, node, length))
                 continue
             feature = int(rng.choice(varied))
-            split = float(rng.uniform(low[feature], high[feature]))
+            part = rng.random()
+            split = (1 - part) * low[feature] + part * high[feature]
+            # Between neighbouring numbers rounding may reach the upper one.
+            split = float(np.clip(split, low[feature], np.nextafter(high[feature], low[feature])))
             below = points[members, feature] <= split
             nodes.append((tree, node, feature, split, free, free + 1, 0.0))
             waiting += [(free, members[below], depth + 1), (free + 1, members[~below], depth + 1)]

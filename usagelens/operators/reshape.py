@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from usagelens.functions.stats import exact_percentiles
 from usagelens.operators import sessions, tools, usage, users, workforce
+from usagelens.session import written
 
 HISTOGRAM_BINS = 50
 
@@ -15,9 +16,11 @@ def practice_level_pivot(
 ) -> DataFrame:
     """Mean cost per user, practices down and levels across; absent pairs are 0.
 
-    Name the ``levels`` to save the small job that looks them up in the result.
+    Without ``levels`` the cells are written once, and their levels are looked up there.
     """
     cells = workforce.avg_cost_per_user_by_practice_level(events, employees)
+    if levels is None:
+        cells = written(cells, "pivot-cells")
     value = F.first("avg_cost_per_user")
     return cells.groupBy("practice").pivot("level", levels).agg(value).na.fill(0.0).orderBy("practice")
 

@@ -47,10 +47,12 @@ def user_engagement_clusters(events: DataFrame, n_clusters: int = 4) -> DataFram
         return kmeans.copy({kmeans.seed: seed}).fit(points)
 
     # The restarts are independent Spark jobs and share the cluster.
-    with ThreadPoolExecutor(RESTARTS) as pool:
-        models = list(pool.map(run, range(SEED, SEED + RESTARTS)))
-    best = min(models, key=lambda model: model.summary.trainingCost)
-    points.unpersist()
+    try:
+        with ThreadPoolExecutor(RESTARTS) as pool:
+            models = list(pool.map(run, range(SEED, SEED + RESTARTS)))
+        best = min(models, key=lambda model: model.summary.trainingCost)
+    finally:
+        points.unpersist()
 
     cost = INPUTS.index("total_cost")
     centers = [center[cost] for center in best.clusterCenters()]

@@ -15,6 +15,9 @@ from usagelens.functions.columns import (
     USER_PROMPT,
     is_event,
     money_avg,
+    money_from_parts,
+    money_micros,
+    money_rest,
     money_sum,
     percent,
     rounded,
@@ -27,27 +30,26 @@ from usagelens.functions.columns import (
 def kpi_summary(events: DataFrame) -> DataFrame:
     """One row of headline figures.
 
-    Each distinct count is a subquery that reads its own column only. Counting all
-    three in one aggregate would send every event through the plan four times.
+    Events are summed per (session, user, practice) in one pass, and the three distinct
+    counts are taken of the few rows left.
     """
-
-    def distinct(column: str) -> Column:
-        return events.agg(F.countDistinct(column)).scalar()
-
-    sums = events.agg(
-        F.coalesce(money_sum(F.col("cost_usd")).cast("double"), F.lit(0.0)).alias("total_cost_usd"),
-        F.coalesce(F.sum(tokens()), F.lit(0)).alias("total_tokens"),
-        F.count_if(is_event(API_REQUEST)).alias("total_api_calls"),
-        F.count_if(is_event(USER_PROMPT)).alias("total_prompts"),
+    cost = F.col("cost_usd")
+    parts = events.groupBy("session_id", "user_id", "user_practice").agg(
+        F.sum(money_micros(cost)).alias("micros"),
+        F.sum(money_rest(cost)).alias("rest"),
+        F.sum(tokens()).alias("tokens"),
+        F.count_if(is_event(API_REQUEST)).alias("calls"),
+        F.count_if(is_event(USER_PROMPT)).alias("prompts"),
     )
-    return sums.select(
-        distinct("session_id").alias("total_sessions"),
-        distinct("user_id").alias("total_users"),
-        distinct("user_practice").alias("total_practices"),
-        "total_cost_usd",
-        "total_tokens",
-        "total_api_calls",
-        "total_prompts",
+    money = money_from_parts(F.sum("micros"), F.sum("rest")).cast("double")
+    return parts.agg(
+        F.countDistinct("session_id").alias("total_sessions"),
+        F.countDistinct("user_id").alias("total_users"),
+        F.countDistinct("user_practice").alias("total_practices"),
+        F.coalesce(money, F.lit(0.0)).alias("total_cost_usd"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
+        F.coalesce(F.sum("calls"), F.lit(0)).alias("total_api_calls"),
+        F.coalesce(F.sum("prompts"), F.lit(0)).alias("total_prompts"),
     )
 
 

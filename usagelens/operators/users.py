@@ -37,16 +37,19 @@ def user_rollup(events: DataFrame) -> DataFrame:
     """Activity per email, with NULL where a user has no cost, tokens or prompt lengths.
 
     Events are summed per (email, session) first, which spreads a user with a third
-    of all events over their sessions and leaves one row per session to count. The
-    practice of the earliest event is found apart, over (email, practice), so that
-    both aggregates of raw events can hash.
+    of all events over their sessions and leaves one row per session to count. That
+    aggregate of raw events also tells practices apart and keeps their earliest instant,
+    so it can hash, and the practice of the earliest event follows from the few rows left.
     """
     cost, prompt = F.col("cost_usd"), is_event(USER_PROMPT)
     length = F.when(prompt, F.col("prompt_length"))
     known = events.where(filled("user_email"))
-    activity = (
-        known.groupBy("user_email", "session_id")
+    sums = ("micros", "rest", "tokens", "calls", "prompts", "length", "lengths")
+    earliest = earliest_key(F.col("first_ts"), F.col("user_practice"))
+    return (
+        known.groupBy("user_email", "session_id", "user_practice")
         .agg(
+            F.min("event_ts").alias("first_ts"),
             F.sum(money_micros(cost)).alias("micros"),
             F.sum(money_rest(cost)).alias("rest"),
             F.sum(tokens()).alias("tokens"),
@@ -55,8 +58,11 @@ def user_rollup(events: DataFrame) -> DataFrame:
             F.sum(length).alias("length"),
             F.count(length).alias("lengths"),
         )
+        .groupBy("user_email", "session_id")
+        .agg(F.min(earliest).alias("first"), *[F.sum(c).alias(c) for c in sums])
         .groupBy("user_email")
         .agg(
+            F.min("first").alias("first"),
             F.count("session_id").alias("sessions"),
             money_from_parts(F.sum("micros"), F.sum("rest")).alias("cost"),
             F.sum("tokens").alias("tokens"),
@@ -64,15 +70,9 @@ def user_rollup(events: DataFrame) -> DataFrame:
             F.sum("prompts").alias("prompts"),
             (F.sum("length") / F.nullif(F.sum("lengths"), F.lit(0))).alias("mean_prompt_len"),
         )
+        .withColumn("user_practice", F.col("first.k3"))
+        .drop("first")
     )
-    earliest = earliest_key(F.col("first_ts"), F.col("user_practice"))
-    practice = (
-        known.groupBy("user_email", "user_practice")
-        .agg(F.min("event_ts").alias("first_ts"))
-        .groupBy("user_email")
-        .agg(F.min_by("user_practice", earliest).alias("user_practice"))
-    )
-    return activity.join(practice, "user_email")
 
 
 def top_users_by_cost(events: DataFrame, limit: int = 20) -> DataFrame:
@@ -110,6 +110,8 @@ def terminal_type_distribution(events: DataFrame) -> DataFrame:
     """Distinct sessions and users per terminal."""
     return (
         events.where(F.col("terminal_type").isNotNull())
+        .select("terminal_type", "session_id", "user_id")
+        .distinct()
         .groupBy("terminal_type")
         .agg(
             F.countDistinct("session_id").alias("sessions"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from usagelens import schema
@@ -15,10 +17,31 @@ _PLACE = ("priority", "file", "block", "line_no")
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Employee rows by column name, stripped, with their place in the load.
 
-    Absent columns and empty cells give ``''``; a byte-order mark and blank lines
-    are ignored, doubled quotes inside quotes are one quote.
+    Files may order their columns differently: those that share a header are read
+    together, and rows are matched by name. Absent columns and empty cells give ``''``; a
+    byte-order mark and blank lines are ignored, doubled quotes inside quotes are one
+    quote, and a quoted cell may hold line breaks.
     """
-    raw = spark.read.csv(path, header=True, escape='"')
+    first_line = F.regexp_extract("value", r"^\ufeff?[\r\n]*([^\r\n]*)", 1)
+    files = (
+        spark.read.text(path, wholetext=True)
+        .select(first_line.alias("header"), F.col("_metadata.file_path").alias("file"))
+        .where(F.trim("header") != "")
+        .collect()
+    )
+    by_header: dict[str, list[str]] = {}
+    for row in files:
+        by_header.setdefault(row["header"], []).append(row["file"])
+    parts = [_read_alike(spark, same) for same in by_header.values()]
+    return reduce(DataFrame.unionByName, parts) if parts else _read_alike(spark, [])
+
+
+def _read_alike(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The rows of files that have one header."""
+    if files:
+        raw = spark.read.csv(files, header=True, escape='"', multiLine=True)
+    else:
+        raw = spark.read.schema(schema.EMPLOYEES).csv([])
     place = raw.select("*", "_metadata.file_path", "_metadata.file_block_start")
 
     def cell(name: str) -> Column:

@@ -110,18 +110,23 @@ def once_per_id(events: DataFrame, bounded: bool = False) -> DataFrame:
     return once(["_key"]).drop("_key")
 
 
-def live_cost(events: DataFrame, granularity: str = "hour") -> DataFrame:
+def live_cost(events: DataFrame, granularity: str = "hour", bounded: bool = False) -> DataFrame:
     """Cost, tokens and calls per hour or day of a stream of events.
 
-    Periods close when the stream has a watermark and passes them.
+    Events whose timestamp text cannot be read share one NULL period, as in the batch
+    report. ``bounded`` closes a period when the watermark of the stream passes it; events
+    without a readable time belong to no period then and are left out.
     """
     unit = "hour" if granularity == "hour" else "day"
-    return (
-        events.where(is_event(API_REQUEST) & F.col("event_ts").isNotNull())
-        .groupBy(F.window("event_ts", f"1 {unit}").alias("w"))
-        .agg(*period_sums())
-        .select(period_label(F.col("w.start"), unit), *PERIOD_COLUMNS)
-    )
+    asked = events.where(is_event(API_REQUEST) & F.col("event_timestamp").isNotNull())
+    if bounded:
+        timed = asked.where(F.col("event_ts").isNotNull())
+        periods = timed.groupBy(F.window("event_ts", f"1 {unit}").alias("w"))
+        return periods.agg(*period_sums()).select(
+            period_label(F.col("w.start"), unit), *PERIOD_COLUMNS
+        )
+    periods = asked.groupBy(F.date_trunc(unit, "event_ts").alias("start"))
+    return periods.agg(*period_sums()).select(period_label(F.col("start"), unit), *PERIOD_COLUMNS)
 
 
 def live_sessions(events: DataFrame) -> DataFrame:
