@@ -271,3 +271,28 @@ def test_written_records_read_back(spark, tmp_path):
         {"a": 1, "b": None, "c": None},
         {"a": 2, "b": 0.5, "c": "x"},
     ]
+
+
+def test_corrupt_costs_do_not_end_a_report(make_events):
+    """One huge cost is summed like any other, beside the exact sum of the rest."""
+    rows = [
+        {
+            "id": str(i),
+            "event_name": "api_request",
+            "event_timestamp": "2024-01-01T10:00:00.000Z",
+            "session_id": "s",
+            "user_email": "a@x",
+            "user_practice": "p",
+            "model": "m",
+            "cost_usd": cost,
+        }
+        for i, cost in enumerate([0.25, 0.5, 1e13, 1e300, None])
+    ]
+    events = make_events(rows)
+    assert usage.kpi_summary(events).first()["total_cost_usd"] == 1e300
+    assert usage.token_usage_by_model(events).first()["total_cost_usd"] == 1e300
+    assert users.top_users_by_cost(events).first()["total_cost_usd"] == 1e300
+    ordinary = make_events(rows[:2] + rows[4:])
+    assert usage.kpi_summary(ordinary).first()["total_cost_usd"] == 0.75
+    large = make_events(rows[:3])
+    assert usage.kpi_summary(large).first()["total_cost_usd"] == 1e13 + 0.75

@@ -29,33 +29,57 @@ def tokens() -> Column:
 
 
 # --- money -------------------------------------------------------------------
-# Sums of doubles depend on the order of rows. Costs are summed as two integers
-# (micro-dollars and the rest in 1e-12 dollars) instead: exact, the same under
-# any partitioning, and both buffers stay fixed-width in the hash aggregate.
+# Sums of doubles depend on the order of rows. Costs are summed as two whole numbers
+# (micro-dollars and the rest in 1e-12 dollars) instead: the same under any partitioning,
+# as fine as the doubles themselves, and the buffers stay fixed-width in the hash
+# aggregate. A corrupt cost of 1e12 dollars or more goes to a lane of doubles, so that no
+# single value can end a report; sums hold totals up to 1e18 dollars beside that lane.
 
+_BEYOND = 1e12
 
-def money_micros(cost: Column) -> Column:
-    return (cost * 1e6).cast("bigint")
 
+def _ordinary(cost: Column) -> Column:
+    """The cost, 0 in place of one beyond, NULL where it is NULL."""
+    return F.when(F.abs(cost) < _BEYOND, cost).when(cost.isNotNull(), F.lit(0.0))
 
-def money_rest(cost: Column) -> Column:
-    return F.rint((cost * 1e6 - money_micros(cost)) * 1e6).cast("bigint")
 
+def money_parts(cost: Column) -> list[Column]:
+    """Aggregates ``micros``, ``rest`` and ``beyond`` of a cost."""
+    plain = _ordinary(cost)
+    micros = (plain * 1e6).cast("bigint")
+    rest = F.rint((plain * 1e6 - micros) * 1e6).cast("bigint")
+    beyond = F.when(F.abs(cost) >= _BEYOND, cost)
+    return [
+        F.sum(micros.cast("decimal(19,0)")).alias("micros"),
+        F.sum(rest).alias("rest"),
+        F.sum(beyond).alias("beyond"),
+    ]
 
-def money_from_parts(micros: Column, rest: Column) -> Column:
-    """The two summed parts as one exact decimal with 12 places."""
-    return micros.cast("decimal(20,0)") * F.lit(Decimal("0.000001")) + rest.cast(
+
+MONEY_PARTS = ("micros", "rest", "beyond")
+
+
+def money_from_parts(micros: Column, rest: Column, beyond: Column) -> Column:
+    """The summed parts as dollars; NULL where no row has a cost."""
+    exact = micros.cast("decimal(24,0)") * F.lit(Decimal("0.000001")) + rest.cast(
         "decimal(20,0)"
     ) * F.lit(Decimal("0.000000000001"))
+    plain = exact.cast("double")
+    return F.when(beyond.isNull(), plain).otherwise(plain + beyond)
+
+
+def money_total() -> Column:
+    """The dollars of rows that hold the parts of their groups."""
+    return money_from_parts(*[F.sum(c) for c in MONEY_PARTS])
 
 
 def money_sum(cost: Column) -> Column:
-    """Exact ``SUM(cost)`` as a decimal; NULL when no row has a cost."""
-    return money_from_parts(F.sum(money_micros(cost)), F.sum(money_rest(cost)))
+    """``SUM(cost)``; NULL when no row has a cost."""
+    return money_from_parts(*money_parts(cost))
 
 
 def money_avg(cost: Column) -> Column:
-    return money_sum(cost).cast("double") / F.nullif(F.count(cost), F.lit(0))
+    return money_sum(cost) / F.nullif(F.count(cost), F.lit(0))
 
 
 def rounded(value: Column, places: int) -> Column:

@@ -11,10 +11,9 @@ from usagelens.functions.columns import (
     earliest_key,
     is_event,
     minutes_between,
-    money_from_parts,
-    money_micros,
-    money_rest,
+    money_parts,
     money_sum,
+    money_total,
     rounded,
     tokens,
 )
@@ -41,8 +40,7 @@ def _parts(events: DataFrame, *extra: Column) -> DataFrame:
         .agg(
             F.min("event_ts").alias("first_ts"),
             F.max("event_ts").alias("last_ts"),
-            F.sum(money_micros(cost)).alias("micros"),
-            F.sum(money_rest(cost)).alias("rest"),
+            *money_parts(cost),
             F.sum(tokens()).alias("tokens"),
             F.count_if(is_event(API_REQUEST)).alias("calls"),
             F.count_if(prompt).alias("prompts"),
@@ -59,10 +57,6 @@ def _who() -> Column:
     return F.min_by(F.struct("user_practice", "user_email"), earliest).alias("who")
 
 
-def _total_cost() -> Column:
-    return money_from_parts(F.sum("micros"), F.sum("rest"))
-
-
 def session_stats(events: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per session, dearest first; practice and email come from its earliest event.
 
@@ -87,7 +81,7 @@ def session_stats(events: DataFrame, limit: int | None = None) -> DataFrame:
             F.sum("prompts").alias("prompts"),
             F.sum("calls").alias("api_calls"),
             F.sum("decisions").alias("tool_decisions"),
-            rounded(_total_cost(), 6).alias("session_cost_usd"),
+            rounded(money_total(), 6).alias("session_cost_usd"),
             F.sum("tokens").alias("session_tokens"),
         )
         .select("session_id", "who.*", *PROFILE_COLUMNS)
@@ -138,7 +132,7 @@ def session_features(events: DataFrame) -> DataFrame:
         .groupBy("session_id")
         .agg(
             _who(),
-            F.coalesce(_total_cost().cast("double"), F.lit(0.0)).alias("total_cost"),
+            F.coalesce(money_total(), F.lit(0.0)).alias("total_cost"),
             F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
             F.sum("calls").alias("api_calls"),
             F.sum("prompts").alias("prompts"),

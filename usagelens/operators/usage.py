@@ -15,10 +15,9 @@ from usagelens.functions.columns import (
     USER_PROMPT,
     is_event,
     money_avg,
-    money_from_parts,
-    money_micros,
-    money_rest,
+    money_parts,
     money_sum,
+    money_total,
     percent,
     rounded,
     tokens,
@@ -35,18 +34,16 @@ def kpi_summary(events: DataFrame) -> DataFrame:
     """
     cost = F.col("cost_usd")
     parts = events.groupBy("session_id", "user_id", "user_practice").agg(
-        F.sum(money_micros(cost)).alias("micros"),
-        F.sum(money_rest(cost)).alias("rest"),
+        *money_parts(cost),
         F.sum(tokens()).alias("tokens"),
         F.count_if(is_event(API_REQUEST)).alias("calls"),
         F.count_if(is_event(USER_PROMPT)).alias("prompts"),
     )
-    money = money_from_parts(F.sum("micros"), F.sum("rest")).cast("double")
     return parts.agg(
         F.countDistinct("session_id").alias("total_sessions"),
         F.countDistinct("user_id").alias("total_users"),
         F.countDistinct("user_practice").alias("total_practices"),
-        F.coalesce(money, F.lit(0.0)).alias("total_cost_usd"),
+        F.coalesce(money_total(), F.lit(0.0)).alias("total_cost_usd"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
         F.coalesce(F.sum("calls"), F.lit(0)).alias("total_api_calls"),
         F.coalesce(F.sum("prompts"), F.lit(0)).alias("total_prompts"),

@@ -10,9 +10,9 @@ from usagelens.functions.columns import (
     earliest_key,
     filled,
     is_event,
-    money_from_parts,
-    money_micros,
-    money_rest,
+    MONEY_PARTS,
+    money_parts,
+    money_total,
     rounded,
     tokens,
 )
@@ -44,14 +44,13 @@ def user_rollup(events: DataFrame) -> DataFrame:
     cost, prompt = F.col("cost_usd"), is_event(USER_PROMPT)
     length = F.when(prompt, F.col("prompt_length"))
     known = events.where(filled("user_email"))
-    sums = ("micros", "rest", "tokens", "calls", "prompts", "length", "lengths")
+    sums = (*MONEY_PARTS, "tokens", "calls", "prompts", "length", "lengths")
     earliest = earliest_key(F.col("first_ts"), F.col("user_practice"))
     return (
         known.groupBy("user_email", "session_id", "user_practice")
         .agg(
             F.min("event_ts").alias("first_ts"),
-            F.sum(money_micros(cost)).alias("micros"),
-            F.sum(money_rest(cost)).alias("rest"),
+            *money_parts(cost),
             F.sum(tokens()).alias("tokens"),
             F.count_if(is_event(API_REQUEST)).alias("calls"),
             F.count_if(prompt).alias("prompts"),
@@ -64,7 +63,7 @@ def user_rollup(events: DataFrame) -> DataFrame:
         .agg(
             F.min("first").alias("first"),
             F.count("session_id").alias("sessions"),
-            money_from_parts(F.sum("micros"), F.sum("rest")).alias("cost"),
+            money_total().alias("cost"),
             F.sum("tokens").alias("tokens"),
             F.sum("calls").alias("api_calls"),
             F.sum("prompts").alias("prompts"),

@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 from usagelens.functions.columns import (
     API_REQUEST,
     is_event,
-    money_from_parts,
-    money_micros,
-    money_rest,
+    money_parts,
+    money_total,
     percent,
     rounded,
     tokens,
@@ -36,8 +35,7 @@ def _summed(events: DataFrame, *keys: str) -> DataFrame:
         events.where(F.col("user_email").isNotNull())
         .groupBy("user_email", *keys)
         .agg(
-            F.sum(money_micros(cost)).alias("micros"),
-            F.sum(money_rest(cost)).alias("rest"),
+            *money_parts(cost),
             F.count(cost).alias("costs"),
             F.sum(tokens()).alias("tokens"),
             F.count_if(is_event(API_REQUEST)).alias("calls"),
@@ -45,13 +43,9 @@ def _summed(events: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _cost():
-    return money_from_parts(F.sum("micros"), F.sum("rest"))
-
-
 def cost_by_level(events: DataFrame, employees: DataFrame) -> DataFrame:
     """API cost and tokens per level; levels sort as text."""
-    mean = _cost().cast("double") / F.nullif(F.sum("costs"), F.lit(0))
+    mean = money_total() / F.nullif(F.sum("costs"), F.lit(0))
     known = employees.where(F.col("level").isNotNull())
     return (
         _with_employee(_summed(events.where(is_event(API_REQUEST)), "session_id"), known, "level")
@@ -59,7 +53,7 @@ def cost_by_level(events: DataFrame, employees: DataFrame) -> DataFrame:
         .agg(
             F.countDistinct("session_id").alias("sessions"),
             F.countDistinct("user_email").alias("users"),
-            rounded(_cost(), 4).alias("total_cost_usd"),
+            rounded(money_total(), 4).alias("total_cost_usd"),
             F.round(mean, 6).alias("avg_cost_per_call"),
             F.sum("tokens").alias("total_tokens"),
         )
@@ -75,7 +69,7 @@ def cost_by_location(events: DataFrame, employees: DataFrame) -> DataFrame:
         .groupBy("location")
         .agg(
             F.count("*").alias("users"),
-            rounded(_cost(), 4).alias("total_cost_usd"),
+            rounded(money_total(), 4).alias("total_cost_usd"),
             F.sum("tokens").alias("total_tokens"),
             F.sum("calls").alias("api_calls"),
         )
@@ -106,6 +100,6 @@ def avg_cost_per_user_by_practice_level(events: DataFrame, employees: DataFrame)
     return (
         _with_employee(_summed(events.where(is_event(API_REQUEST))), employees, "practice", "level")
         .groupBy("practice", "level")
-        .agg(F.round(_cost().cast("double") / F.count("*"), 4).alias("avg_cost_per_user"))
+        .agg(F.round(money_total() / F.count("*"), 4).alias("avg_cost_per_user"))
         .orderBy("practice", "level")
     )
