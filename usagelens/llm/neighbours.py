@@ -19,13 +19,13 @@ from usagelens.llm.tables import map_columns, spread_join
 from usagelens.session import written
 
 #: Neighbours of a vector in the graph; rounds at most; share of new edges that ends them.
-DEGREE, ROUNDS, SETTLED = 32, 7, 0.03
+DEGREE, ROUNDS, SETTLED = 40, 8, 0.015
 #: Orders that start the graph, planes of each, vectors of a block, neighbours from each.
 ORDERS, PLANES, BLOCK, SEEDS = 4, 14, 512, 12
 #: Candidates that one meeting offers to a vector.
-OFFERS = 5
+OFFERS = 8
 #: Steps of a walk, vectors it goes on from in each step, and vectors measured at the end.
-STEPS, BEAM, MEASURED = 3, 24, 60
+STEPS, BEAM, MEASURED = 4, 32, 80
 _SALTS = 32
 
 
