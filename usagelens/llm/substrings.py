@@ -23,8 +23,10 @@ from usagelens.session import written
 #: Sentences and words in a run, at least.
 SENTENCES, WORDS = 3, 30
 #: One word in so many ends a sentence by its hash.
-_PICKED = 16
+_PICKED = 32
 _PIECE = 1_000_000
+#: Parts of a join on a run: its rows are few columns wide.
+_INTO = 4
 
 _rng = np.random.default_rng(20240603)
 _LETTER = _rng.integers(1, 1 << 62, 256, dtype=np.uint64) | np.uint64(1)
@@ -96,8 +98,8 @@ def _pieces(bodies: list[str]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """``code``, ``doc_id``, ``body`` (a hash of the text), ``start`` and ``end`` of all runs."""
-    kinds = "code long, doc_id long, body long, start long, end long"
+    """``code``, ``doc_id``, ``body`` (a hash of the text), ``start`` and ``size`` of all runs."""
+    kinds = "code long, doc_id long, body int, start int, size int"
     schema = docs.sparkSession.createDataFrame([], kinds).schema
     arrow = arrow_schema(schema)
 
@@ -112,8 +114,8 @@ def spans(docs: DataFrame) -> DataFrame:
                         "code": code,
                         "doc_id": ids.take(rows),
                         "body": keys.take(rows),
-                        "start": start,
-                        "end": end,
+                        "start": start.astype(np.int32),
+                        "size": (end - start).astype(np.int32),
                     },
                     arrow,
                 )
@@ -122,21 +124,21 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
+    return docs.select("doc_id", F.hash("text").alias("body"), "text")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``body`` and ``spans`` (start, end in bytes) of what is to be removed."""
+    """``doc_id``, ``body`` and ``spans`` (start and size in bytes) of what is to be removed."""
     found = spans(docs)
     counted = found.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
-    shared = written(spread_join(found, counted, ["code"], "doc_id"), "runs-shared")
+    shared = written(spread_join(found, counted, ["code"], "doc_id", into=_INTO), "runs-shared")
     place = F.struct("doc_id", "body", "start")
     firsts = shared.groupBy("code").agg(F.min(place).alias("first"))
     return (
-        spread_join(shared, firsts, ["code"], "doc_id")
+        spread_join(shared, firsts, ["code"], "doc_id", into=_INTO)
         .where(~place.eqNullSafe(F.col("first")))
         .groupBy("doc_id", "body")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+        .agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"))
     )
 
 
@@ -144,10 +146,11 @@ def merged(spans: list, body: bytes) -> tuple[str, list[tuple[int, int]]]:
     """The text without the spans, and the removed ranges in code points."""
     ranges: list[list[int]] = []
     for span in spans:
+        end = span["start"] + span["size"]
         if ranges and span["start"] <= ranges[-1][1]:
-            ranges[-1][1] = max(ranges[-1][1], span["end"])
+            ranges[-1][1] = max(ranges[-1][1], end)
         else:
-            ranges.append([span["start"], span["end"]])
+            ranges.append([span["start"], end])
     kept, removed, at, chars = [], [], 0, 0
     for start, end in ranges:
         before = body[at:start].decode("utf-8", "surrogatepass")

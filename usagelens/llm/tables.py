@@ -58,12 +58,17 @@ def _array(values, kind: pa.DataType) -> pa.Array:
 
 
 def spread_join(
-    many: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner"
+    many: DataFrame,
+    few: DataFrame,
+    keys: list[str],
+    by: str,
+    how: str = "inner",
+    into: int = _SPREAD,
 ) -> DataFrame:
-    """Join in which the rows of one key in ``many`` are spread over several parts by ``by``."""
-    parts = F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))).alias("part")
+    """Join in which the rows of one key in ``many`` are spread over ``into`` parts by ``by``."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(into - 1))).alias("part")
     return (
-        many.withColumn("part", F.pmod(F.xxhash64(by), F.lit(_SPREAD)).cast("int"))
+        many.withColumn("part", F.pmod(F.xxhash64(by), F.lit(into)).cast("int"))
         .join(few.select("*", parts), [*keys, "part"], how)
         .drop("part")
     )
