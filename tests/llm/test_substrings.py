@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from usagelens.llm import substrings
 
 
@@ -75,3 +77,48 @@ def test_offsets_are_code_points(make_docs, words):
             kept, at = kept + text[at:a], b
         assert r["text"] == kept + text[at:]
         assert bool(r["removed"]) == (r["doc_id"] > 0)
+
+
+def _kinds(rng, words):
+    """Running text without marks, and sentences that close in quotes or in other scripts' marks."""
+    plain = lambda n: words(rng, n)
+    ends = ['."', ".)", "。", "!”", "?»", "…"]
+    told = lambda n: " ".join(w + rng.choice(ends) if rng.random() < 0.1 else w for w in words(rng, n).split())
+    long = lambda n: " ".join(w + "." if rng.random() < 0.04 else w for w in words(rng, n).split())
+    return {"plain": plain, "told": told, "long": long}
+
+
+def test_any_51_words_hold_a_common_run(words):
+    rng = random.Random(24)
+    for kind, make in _kinds(rng, words).items():
+        for _ in range(300):
+            passage = make(51)
+            found = []
+            for _ in range(2):
+                text = f"{make(rng.randint(5, 60))} {passage} {make(rng.randint(5, 60))}".encode()
+                _, codes, starts, ends = substrings.runs([text])
+                at = text.index(passage.encode())
+                inside = (starts >= at) & (ends <= at + len(passage.encode()))
+                found.append(set(codes[inside].tolist()))
+            assert found[0] & found[1], kind
+
+
+def test_unmarked_passages_go(make_docs, words):
+    rng = random.Random(25)
+    passage = words(rng, 51)
+    rows = [(i, f"{words(rng, 40 + i)} {passage} {words(rng, 33)}") for i in range(4)]
+    rows.append((9, "la " * 200))
+    out = {r["doc_id"]: r for r in substrings.deduplicated(make_docs(rows)).collect()}
+    assert out[0]["text"] == rows[0][1]
+    for i, text in rows[1:4]:
+        removed = "".join(text[a:b] for a, b in out[i]["removed"])
+        assert removed in passage and len(removed.split()) >= 30
+    assert len(out[9]["text"].split()) >= 30
+
+
+def test_marks_behind_closing_signs_close_sentences():
+    ends = ['one."', "one.)", "one。", "one!”", "one?»", "one…", "one.')]", "one؟"]
+    data = np.frombuffer(" ".join([*ends, '"', "”", "one)", "é"]).encode(), np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], data != 32, [False]))))
+    marked = substrings._marked(data, edges[::2], edges[1::2])
+    assert marked.tolist() == [True] * len(ends) + [False] * 4

@@ -1,12 +1,14 @@
 """Substring deduplication by sliding spans of consecutive sentences.
 
 Texts are split into sentences and clauses: after a word that ends in a mark of
-punctuation, at a line break, and, so that long unmarked text has places too, after words
+punctuation (closing quotes and brackets may follow it), at a line break, and after words
 picked by their hash. The places depend only on the words near them, so a passage is split
 alike wherever it stands. From every sentence on, the shortest run of several sentences
-and enough words is hashed. Spark counts the hashes over all documents; of a run that
-occurs more than once every occurrence but the first is removed, with all the sentences it
-covers.
+and enough words is hashed. Where 50 words in a row hold no such run that their own words
+decide, the 30 of them with the smallest hash are a run as well. So any 50 words that two
+places share hold a whole run in both, with or without marks. Spark counts the hashes over
+all documents; of a run that occurs more than once every occurrence but the first is
+removed, with all the words it covers.
 """
 
 from collections.abc import Iterator
@@ -22,9 +24,13 @@ from usagelens.session import written
 
 #: Sentences and words in a run, at least.
 SENTENCES, WORDS = 3, 30
+#: Words in a row that hold a run, whatever their marks.
+WINDOW = 50
 #: One word in so many ends a sentence by its hash.
 _PICKED = 32
 _PIECE = 1_000_000
+#: Windows compared at once.
+_AT_ONCE = 1 << 16
 #: Parts of a join on a run: its rows are few columns wide.
 _INTO = 4
 
@@ -37,6 +43,81 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0, 9, 10, 11, 12, 13, 32]] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b".!?;:,")] = True
+_CLOSER = np.zeros(256, bool)
+_CLOSER[list(b"\"')]}>*_`")] = True
+
+
+def _codes(chars: str) -> np.ndarray:
+    return np.array([int.from_bytes(c.encode(), "big") for c in chars])
+
+
+#: Marks and closing signs of two and of three bytes.
+_MARKS = {2: _codes("\u061f\u061b\u060c\u06d4\u0589\u037e\u0387"), 3: _codes("…‥‼⁇⁈⁉。．！？；：，、।॥።፧")}
+_CLOSERS = {2: _codes("»«"), 3: _codes("”’“‘›‹」』】〉》）］｝")}
+#: Closing signs looked past at the end of a word.
+_DEPTH = 8
+
+
+def _ends_in(data: np.ndarray, starts: np.ndarray, tails: np.ndarray, signs: dict) -> np.ndarray:
+    """Bytes of the sign of ``signs`` that ends before each of ``tails``, or 0."""
+    found = np.zeros(len(tails), np.int64)
+    for n, known in signs.items():
+        at = np.flatnonzero((tails - starts >= n) & (data[tails - 1] >= 128))
+        code = np.zeros(len(at), np.int64)
+        for k in range(n):
+            code = (code << 8) | data[tails[at] - n + k]
+        found[at[np.isin(code, known)]] = n
+    return found
+
+
+def _marked(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether each word ends in a mark of punctuation, behind which signs may close."""
+    marked = _MARK[data[stops - 1]]
+    left = np.flatnonzero(~marked & (_CLOSER[data[stops - 1]] | (data[stops - 1] >= 128)))
+    tails = stops[left]
+    for _ in range(_DEPTH + 1):
+        here = _MARK[data[tails - 1]] | (_ends_in(data, starts[left], tails, _MARKS) > 0)
+        marked[left[here]] = True
+        size = np.maximum(_CLOSER[data[tails - 1]], _ends_in(data, starts[left], tails, _CLOSERS))
+        more = ~here & (size > 0) & (tails - size > starts[left])
+        left, tails = left[more], (tails - size)[more]
+    return marked
+
+
+def _fillers(code: np.ndarray, owner: np.ndarray, head: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """First words of the runs of exactly ``WORDS`` words that windows without a run add.
+
+    ``code`` is the hash of the words from each word on; ``reach`` is the last word that a
+    run from ``head`` needs to be seen to end there.
+    """
+    n = len(owner) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(owner[:n] == owner[WINDOW - 1 :])
+    # The word before the run's first one has to be in the window too.
+    next_run = np.searchsorted(head, at + 1)
+    at = at[np.append(reach, len(owner) + WINDOW)[next_run] > at + WINDOW - 1]
+    if not len(at):
+        return at
+    choices = np.lib.stride_tricks.sliding_window_view(code, WINDOW - WORDS + 1)
+    picked = [
+        part + choices[part].argmin(axis=1)
+        for part in np.split(at, range(_AT_ONCE, len(at), _AT_ONCE))
+    ]
+    picked = np.unique(np.concatenate(picked))
+    # Of equal runs that overlap, as in one word said over and over, the first is enough.
+    order = np.lexsort((picked, code[picked]))
+    ordered = picked[order]
+    same = code[ordered[1:]] == code[ordered[:-1]]
+    close = np.concatenate(([False], same & (np.diff(ordered) < WORDS)))
+    keep = ~close
+    held = 0
+    for i in np.flatnonzero(close).tolist():
+        if not close[i - 1]:
+            held = ordered[i - 1]
+        if ordered[i] >= held + WORDS:
+            held, keep[i] = ordered[i], True
+    return np.sort(ordered[keep])
 
 
 def runs(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +142,8 @@ def runs(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     breaks = np.concatenate((lines[starts[1:]] != lines[stops[:-1]], [True]))
     breaks[:-1] |= data[stops[:-1]] == 10
     picked = (word >> np.uint64(40)) % np.uint64(_PICKED) == 0
-    closes = _MARK[data[stops - 1]] | last | breaks | picked
+    own = _marked(data, starts, stops) | picked
+    closes = own | last | breaks
     ends = np.flatnonzero(closes)  # last word of each sentence
     heads = np.concatenate(([0], ends[:-1] + 1))  # first word of each
     of = owner[ends]
@@ -78,7 +160,16 @@ def runs(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     down[0] = 1
     up, down = np.cumprod(up), np.cumprod(down)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * up[:-1])))
-    code = mix((sums[stop + 1] - sums[head]) * down[head] + (stop - head).astype(np.uint64))
+
+    def hashed(head: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix((sums[stop + 1] - sums[head]) * down[head] + (stop - head).astype(np.uint64))
+
+    every = np.arange(max(0, len(word) - WORDS + 1))
+    reach = np.where(own[stop], stop, np.where(last[stop], len(word) + WINDOW, stop + 1))
+    more = _fillers(hashed(every, every + WORDS - 1), owner, head, reach)
+    both = np.unique(np.stack((np.append(head, more), np.append(stop, more + WORDS - 1))), axis=1)
+    head, stop = both[0], both[1]
+    code = hashed(head, stop)
     text = owner[head]
     return text, code.view(np.int64), starts[head] - begins[text], stops[stop] - begins[text]
 
