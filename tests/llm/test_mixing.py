@@ -54,3 +54,24 @@ def test_no_python_in_the_plan(awkward, capsys):
     mixing.mixed(awkward).explain()
     plan = capsys.readouterr().out
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("weights", [None, {"s0": 0.5, "s1": 0.0004} | {f"s{i}": 0.026 for i in range(2, 20)}])
+def test_no_drift_from_the_given_weights_over_many_periods(spark, weights):
+    """Prefixes while all sources last, against the exact ratios, over 60 periods and more."""
+    counts = {f"s{i}": 1600 if i == 0 else 150 for i in range(20)}
+    rows = [(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    w = weights or {s: int(n**0.5 * 1000) for s, n in counts.items()}
+    total, seen, last = sum(w.values()), Counter(), 0
+    out = mixing.mixed(docs, weights=weights, block=1, period=16).orderBy("mix_position").collect()
+    assert [r["mix_position"] for r in out] == list(range(len(rows)))
+    assert [r["mix_slot"] for r in out] == list(range(len(rows)))
+    for done, r in enumerate(out, 1):
+        assert r["mix_block"] == seen[r["source"]]
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - done * w[s] / total) < 1 + 1e-6 for s in counts)
+        last = done
+        if any(seen[s] == counts[s] for s in counts):
+            break
+    assert last > 60 * 16

@@ -1,15 +1,19 @@
 """Mixing sources to target weights by a proportionate-fair schedule, in DataFrame and SQL functions.
 
-Every source is cut into blocks of equal size. A source with ``n`` of the ``q`` slots of a
-period must run its block ``i`` (from 0) no earlier than slot ``floor(i*q/n)`` and before
-slot ``ceil((i+1)*q/n)``; in each slot the earliest deadline among the released blocks
+Every source is cut into blocks of equal size. Block ``i`` (from 0) of a source of weight
+``w`` among weights of sum ``t`` must run no earlier than slot ``floor(i*t/w)`` and before
+slot ``ceil((i+1)*t/w)``; in each slot the earliest deadline among the released blocks
 wins. While all sources last, every prefix of the mixture holds each source to within
-less than one block of its weight. The schedule of one period is a fold over its slots;
-later periods repeat it, so each document finds its place from its rank alone. When a
-source runs out its slots fall away and the others keep their order.
+less than one block of its weight. When a source runs out the windows of the others start
+anew from there. The fold over the slots is cut into chunks: one light pass carries the
+state of every source from chunk to chunk, then each chunk lists its own slots.
+
+:func:`sql` and the registered query state another schedule (``exact=False``): weights are
+rounded to the slots of a period, at least one each, and the period repeats. There a source
+is within one block of its slots, but strays from its weight by up to a rounding a period.
 
 No document is dropped or repeated. Only the list of sources with their counts meets in
-one row; the pattern that is broadcast has one row per slot of a period.
+one row; the schedule has one row per block.
 """
 
 from __future__ import annotations
@@ -40,6 +44,60 @@ aggregate(
   acc -> acc.picks)
 """
 
+#: Tasks that list the slots of chunks.
+_FOLDS = 32
+_STATE = "struct<used: array<bigint>, base: array<bigint>, since: bigint, total: bigint>"
+
+
+def _winner(now: str, t: str) -> str:
+    """The source that runs in slot ``t``; ``now`` counts blocks since the last source ran out."""
+    return f"""
+array_min(filter(
+  transform(s, (x, i) -> struct(
+    (({now}.used[i] - {now}.base[i] + 1) * {now}.total + x.w - 1) div x.w AS deadline, i AS i,
+    (({now}.used[i] - {now}.base[i]) * {now}.total) div x.w AS release)),
+  y -> {now}.used[y.i] < blocks[y.i] AND y.release <= {t} - {now}.since)).i"""
+
+
+def _after(now: str, t: str, p: str) -> str:
+    """The state after source ``p`` has run in slot ``t``."""
+    return f"""
+transform(array(transform({now}.used, (u, k) -> if(k = {p}, u + 1L, u))), v -> if(
+  v[{p}] = blocks[{p}],
+  struct(v AS used, v AS base, {t} + 1L AS since, {now}.total - s[{p}].w AS total),
+  struct(v AS used, {now}.base AS base, {now}.since AS since, {now}.total AS total)))[0]"""
+
+
+def _chunk(c: str) -> str:
+    return f"sequence({c} * q, least(slots, ({c} + 1L) * q) - 1L)"
+
+
+_STATES = f"""
+aggregate(
+  sequence(0L, (slots + q - 1L) div q - 1L),
+  struct(
+    struct(transform(s, x -> 0L) AS used, transform(s, x -> 0L) AS base, 0L AS since,
+           aggregate(s, 0L, (a, x) -> a + x.w) AS total) AS now,
+    cast(array() AS array<{_STATE}>) AS kept),
+  (a, c) -> struct(
+    aggregate({_chunk("c")}, a.now, (b, t) ->
+      transform(array({_winner("b", "t")}), p -> {_after("b", "t", "p")})[0]) AS now,
+    concat(a.kept, array(a.now)) AS kept),
+  a -> a.kept)
+"""
+
+_CHUNK_PICKS = f"""
+aggregate(
+  {_chunk("c")},
+  struct(state AS now, cast(array() AS array<struct<i: int, j: bigint, start: bigint>>) AS picks),
+  (a, t) -> transform(array({_winner("a.now", "t")}), p -> struct(
+    {_after("a.now", "t", "p")} AS now,
+    concat(a.picks, array(struct(p AS i, a.now.used[p] AS j, aggregate(
+      zip_with(s, a.now.used, (x, u) -> least(x.n, u * size)), 0L, (m, x) -> m + x) AS start)))
+    AS picks))[0],
+  a -> a.picks)
+"""
+
 
 def source_name() -> Column:
     """The mixture component of a row; rows without a source form one of their own."""
@@ -108,6 +166,31 @@ def pattern(plan: DataFrame) -> DataFrame:
     )
 
 
+def schedule(plan: DataFrame, size: int, period: int) -> DataFrame:
+    """One row per block of ``size`` documents: ``mix_source``, ``mix_block``, ``mix_slot``.
+
+    The windows come from the exact ratio of the weights. ``mix_start`` counts the
+    documents in earlier slots.
+    """
+    return (
+        plan.selectExpr("s", f"{size}L AS size", f"transform(s, x -> (x.n + {size - 1}L) div {size}L) AS blocks")
+        .selectExpr("*", "aggregate(blocks, 0L, (a, x) -> a + x) AS slots")
+        .selectExpr("*", f"greatest({int(period)}L, cast(ceil(sqrt(slots)) AS bigint)) AS q")
+        .selectExpr("*", f"{_STATES} AS states")
+        .selectExpr("s", "size", "blocks", "slots", "q", "posexplode_outer(states) AS (at, state)")
+        .selectExpr("*", "cast(at AS bigint) AS c")
+        .repartition(_FOLDS, "c")
+        .selectExpr("s", "q", "c", f"{_CHUNK_PICKS} AS picks")
+        .selectExpr("s", "q", "c", "posexplode_outer(picks) AS (slot, pick)")
+        .selectExpr(
+            "s[pick.i].source AS mix_source",
+            "pick.j AS mix_block",
+            "c * q + slot AS mix_slot",
+            "pick.start AS mix_start",
+        )
+    )
+
+
 def ranked(docs: DataFrame) -> DataFrame:
     """``docs`` with ``mix_source`` and ``mix_rank``, the place in the source from 0.
 
@@ -151,6 +234,7 @@ def mixed(
     weights: dict[str, float] | None = None,
     block: int = BLOCK,
     period: int = PERIOD,
+    exact: bool = True,
 ) -> DataFrame:
     """``docs`` with ``mix_block`` (in the source), ``mix_slot`` (in the schedule), ``mix_position``.
 
@@ -158,11 +242,19 @@ def mixed(
     smallest share. Positions number the rows of the mixture from 0 without gaps. Rows
     with equal ids are placed next to each other in their source, null sources are one
     component, texts are not read, and an empty table gives no rows. Columns whose names
-    begin with ``mix_`` are replaced.
+    begin with ``mix_`` are replaced. Without ``exact`` the schedule is that of :func:`sql`.
     """
     plain = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     size = int(block)
     plan = shares(plain, weights, period)
+    if exact:
+        rows = ranked(plain).withColumn("mix_block", F.expr(f"mix_rank div {size}"))
+        return rows.join(schedule(plan, size, period), ["mix_source", "mix_block"]).select(
+            *[F.col(c) for c in plain.columns],
+            "mix_block",
+            "mix_slot",
+            F.expr(f"mix_start + mix_rank % {size}").alias("mix_position"),
+        )
     own = plan.selectExpr("explode_outer(arrays_zip(s.source, quota)) AS x").selectExpr(
         "x.source AS mix_source", "x.quota AS own"
     )
@@ -194,7 +286,7 @@ def in_order(docs: DataFrame, **options) -> DataFrame:
 
 
 def sql(block: int = BLOCK, period: int = PERIOD) -> str:
-    """The positions of :func:`mixed` with default weights, as one query over ``documents``."""
+    """The positions of :func:`mixed` with default weights and without ``exact``, as one query over ``documents``."""
     return f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source,
