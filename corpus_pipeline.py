@@ -39,8 +39,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of 2048."""
-    return packing.pack(docs, vocabulary())
+    """Token pieces and their places in sequences of 2048, which are numbered along the mixture.
+
+    Files that are read again have no order, so it is derived anew from ids and sources.
+    """
+    return packing.pack(mixing.in_order(docs), vocabulary())
 
 
 STAGES = [

@@ -4,7 +4,7 @@
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_packing import _check
-from usagelens.llm import near, pii, quality
+from usagelens.llm import mixing, near, pii, quality
 from usagelens.llm.tables import table
 
 
@@ -45,3 +45,33 @@ def test_no_documents(spark, make_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_sequences_follow_the_mixture(spark, make_docs, tmp_path):
+    """Shares of the sources over prefixes of the sequences, from files of one source each."""
+    counts = {"a": 4000, "b": 1000, "c": 250}
+    ids = iter(range(sum(counts.values())))
+    rows = [(next(ids), "one two three four five six seven " * 20, s) for s, n in counts.items() for _ in range(n)]
+    source = {doc_id: s for doc_id, _, s in rows}
+    path = str(tmp_path / "docs")
+    make_docs(rows).repartition("source").write.parquet(path)
+    docs = spark.read.parquet(path)
+    place = {r["doc_id"]: r["mix_position"] for r in mixing.mixed(docs).collect()}
+    pieces = corpus_pipeline.pack_sequences(spark, docs, SF).select("doc_id", "sequence_id", "length").collect()
+    assert {r["doc_id"] for r in pieces} == set(source)
+    roots = {s: n**0.5 for s, n in counts.items()}
+    # Up to where the smallest source runs out; a task closes its open sequences late.
+    lasts = min(n / roots[s] for s, n in counts.items()) * sum(roots.values())
+    ordered = sorted(pieces, key=lambda r: r["sequence_id"])
+    total = sum(r["length"] for r in ordered)
+    for part in (0.25, 0.5, 0.75, 1):
+        wanted, tokens = part * lasts / len(rows) * total, {s: 0 for s in counts}
+        for r in ordered:
+            if sum(tokens.values()) >= wanted:
+                break
+            tokens[source[r["doc_id"]]] += r["length"]
+        for s in counts:
+            share = tokens[s] / sum(tokens.values())
+            assert abs(share - roots[s] / sum(roots.values())) < 0.12, (part, s, share)
+    first = [place[r["doc_id"]] for r in ordered[: len(ordered) // 4]]
+    assert sum(first) / len(first) < len(rows) / 4
