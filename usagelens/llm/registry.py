@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from usagelens.llm import fingerprints, html, mixing, near, neighbours, packing, pii, quality, substrings, toxicity
+from usagelens.llm import (
+    fingerprints,
+    html,
+    language,
+    merkle,
+    mixing,
+    near,
+    neighbours,
+    packing,
+    pii,
+    quality,
+    substrings,
+    toxicity,
+    vector_codes,
+)
 from usagelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +97,21 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vector_codes.compressed(table(spark, sf, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    rows = language.identified(docs, language.fit(docs.where(_fold(5) != 0)))
+    return rows.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf, "documents"))
+
+
 def _scores(rows: DataFrame, score: str, held_out: Column) -> DataFrame:
     return rows.select(
         "doc_id",
@@ -104,8 +133,15 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_language": op12_language,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.sql()}
+    return {
+        "op10_mixing": mixing.sql(),
+        "op11_vector_codes": vector_codes.sql(),
+        "op13_merkle": merkle.sql(),
+    }
