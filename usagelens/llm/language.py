@@ -151,6 +151,16 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = CLUSTER_ROUNDS) -> tuple[
     return book, (vectors @ book.T).argmax(axis=1)
 
 
+def least_cosine(members: np.ndarray) -> float:
+    """What nearly all members of a cluster exceed, each against the mean of the others."""
+    if len(members) < 2:
+        return 0.0
+    total = members.sum(axis=0, dtype=np.float64)
+    along = members @ total
+    others = np.sqrt(np.maximum((total * total).sum() - 2 * along + 1, 1e-12))
+    return float(np.quantile((along - 1) / others, TAIL))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learn from all rows with a text that has letters and a language (``doc_id``, ``text``, ``lang``).
 
@@ -182,8 +192,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
         for row, at, weights in zip(matrix, rows["at"], rows["weights"]):
             row[np.frombuffer(at, np.int32)] = np.frombuffer(weights, np.float32)
         book, own = cluster(matrix, centroids)
-        cosine = (matrix * book[own]).sum(axis=1)
-        least = [float(np.quantile(cosine[own == c], TAIL)) if (own == c).any() else 0.0 for c in range(len(book))]
+        least = [least_cosine(matrix[own == c]) for c in range(len(book))]
         return pd.DataFrame(
             {"lang": rows["lang"].iloc[0], "c": range(len(book)), "weights": [b.tobytes() for b in book], "least": least}
         )

@@ -56,8 +56,10 @@ def scaled(rows: DataFrame, scale: int = SCALE, parts: int = PARTS) -> DataFrame
 def first_books(kept: DataFrame, parts: int = PARTS, entries: int = ENTRIES) -> np.ndarray:
     """Codebooks (part, entry, component) from the smallest ids; equal ids by their cells."""
     rows = kept.orderBy(F.asc_nulls_last("vec_id"), "cells").limit(entries).select("cells").collect()
-    cells = np.array([r["cells"] for r in rows], np.int64).reshape(len(rows), -1)
-    return cells.reshape(len(rows), parts, -1).transpose(1, 0, 2) if rows else np.zeros((parts, 0, 0), np.int64)
+    if not rows:
+        return np.zeros((parts, 0, 0), np.int64)
+    cells = np.array([r["cells"] for r in rows], np.int64)
+    return cells.reshape(len(rows), parts, -1).transpose(1, 0, 2)
 
 
 def distinct(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
