@@ -118,16 +118,18 @@ def drawn(docs: DataFrame, sizes: dict[str, int], sample: int) -> DataFrame:
     """At most ``sample`` different rows of each language, by the smallest hashes.
 
     A hash bound that follows from the language's size lets through about twice the sample,
-    and equal rows collapse before the shuffle, so no task sees a whole language.
+    and equal rows collapse before the shuffle, so no text is shuffled but for these few.
+    The bounds are a literal: one figure per language, far less than the model has.
     """
-    spark = docs.sparkSession
     span = 1 << 40
-    bounds = [(lang, int(span * min(1.0, (_SURPLUS * sample + 20) / n))) for lang, n in sizes.items()]
-    bounds = spark.createDataFrame(bounds, "lang string, bound long")
+    bounds = [F.lit(v) for lang, n in sorted(sizes.items())
+              for v in (lang, int(span * min(1.0, (_SURPLUS * sample + 20) / n)))]
+    if not bounds:
+        return docs.select("lang", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("place"), "text").where("false")
     key = F.xxhash64("doc_id", "text")
-    near = docs.withColumn("key", key).join(bounds, "lang").where(F.pmod("key", F.lit(span)) < F.col("bound"))
-    ranked = near.groupBy("lang", "key").agg(F.first("text").alias("text"))
-    return ranked.select("lang", "key", F.pmod("key", F.lit(span)).alias("place"), "text")
+    placed = docs.withColumn("key", key).withColumn("place", F.pmod("key", F.lit(span)))
+    near = placed.where(F.col("place") < F.try_element_at(F.create_map(*bounds), F.col("lang")))
+    return near.groupBy("lang", "key", "place").agg(F.first("text").alias("text"))
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = CLUSTER_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
