@@ -466,6 +466,23 @@ def ingest_sql() -> dict[str, str]:
         "stream_ingest_with_state": stored,
         "ingest_summary": _with(ENVELOPES, SUMMARY),
         "ingest_quarantine": _with(ENVELOPES, QUARANTINE),
+        "ingest_after_compaction": stored,
+        "ingest_stamps": _with(
+            EVENTS, "SELECT event_name, count(*) AS n, count(*) AS stamped FROM e GROUP BY event_name"
+        ),
+        "ingest_limited": _with(
+            ENVELOPES,
+            f"SELECT least(150, lines_processed) AS lines_processed, lines_processed AS all_lines "
+            f"FROM ({SUMMARY})",
+        ),
+        "rolled_cost_by_hour": analytics_sql()["cost_over_time_hour"],
+        "rolled_cost_by_day": analytics_sql()["cost_over_time_day"],
+        "rolled_session_stats": sessions,
+        "sketched_kpis": f"""
+SELECT total_cost_usd, total_tokens, total_api_calls, total_prompts, true AS total_sessions_near,
+       true AS total_users_near, true AS total_practices_near
+FROM ({analytics_sql()["kpi_summary"]})""",
+        "employees_figures": _with(EMPLOYEES, "SELECT count(*) AS rows_inserted FROM m"),
         "employees_upsert": _with(EMPLOYEES, "SELECT * FROM m"),
         "stream_cost_by_hour": analytics_sql()["cost_over_time_hour"],
         "stream_session_rollup": sessions,

@@ -19,7 +19,7 @@ def tables(spark, tmp_path_factory):
     from pyspark.sql import functions as F
 
     store.write_load(rows.withColumn("raw_message", F.lit("")), events, "fixture")
-    driver_tables.employees(spark, SF).write.parquet(staff)
+    employees.replace(driver_tables.employees(spark, SF), staff)
     return store.read_events(spark, events), employees.read_employees(spark, staff)
 
 

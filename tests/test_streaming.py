@@ -92,7 +92,7 @@ def test_live_reports_equal_batch_reports(spark, tmp_path, arriving):
         stream = live.once_per_id(live.parsed_stream(live.stream_lines(spark, arriving, 1)))
         current = report(stream)
         path = str(tmp_path / name)
-        done(live.keep_changes(current, path, str(tmp_path / f"{name}-state")))
+        done(live.keep_changes(current, path, str(tmp_path / f"{name}-state"), *keys))
         got = live.latest(spark, path, current.schema, *keys)
         assert rows(got, *expected.columns) == rows(expected, *expected.columns)
 
@@ -101,7 +101,7 @@ def test_delay_bounds_state(spark, tmp_path, arriving):
     stream = live.parsed_stream(live.stream_lines(spark, arriving), delay="2 days")
     current = live.live_cost(live.once_per_id(stream, bounded=True), "day")
     path = str(tmp_path / "daily")
-    done(live.keep_changes(current, path, str(tmp_path / "state")))
+    done(live.keep_changes(current, path, str(tmp_path / "state"), "period"))
     total = live.latest(spark, path, current.schema, "period").agg(F.sum("api_calls")).first()[0]
     assert total == len([i for i in range(40) if i % 3 == 0])
 

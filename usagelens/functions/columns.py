@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -23,19 +24,74 @@ def filled(name: str) -> Column:
     return F.col(name).isNotNull() & (F.col(name) != "")
 
 
-def tokens() -> Column:
-    """Tokens of one event; NULL if either side is NULL, so the event adds nothing to a sum."""
-    return F.col("input_tokens") + F.col("output_tokens")
+# --- whole numbers and money ---------------------------------------------------
+# A sum of whole numbers is kept as two sums: of the value's upper bits and of its lower
+# 24 bits. Both stay fixed-width in the hash aggregate and neither overflows before eight
+# million rows at the 64-bit limit, so no event can end a report; a total beyond 64 bits
+# is NULL. Sums of doubles depend on the order of rows, so costs are summed as
+# micro-dollars in this way and the rest in 1e-12 dollars: the same under any partitioning,
+# as fine as the doubles themselves. A corrupt cost of 1e12 dollars or more goes to a lane
+# of doubles beside the sum.
 
+_LANE = 1 << 24
+_BEYOND = 1e12
 
-# --- money -------------------------------------------------------------------
-# Sums of doubles depend on the order of rows. Costs are summed as two whole numbers
-# (micro-dollars and the rest in 1e-12 dollars) instead: the same under any partitioning,
-# as fine as the doubles themselves, and the buffers stay fixed-width in the hash
-# aggregate. A corrupt cost of 1e12 dollars or more goes to a lane of doubles, so that no
-# single value can end a report; sums hold totals up to 1e18 dollars beside that lane.
 
-_BEYOND = 1e12
+def _lanes(*values: Column) -> tuple[Column, Column]:
+    """Upper and lower part of the sum of some columns of a row; NULL if one is NULL."""
+    upper = [F.shiftright(v.cast("bigint"), 24) for v in values]
+    lower = [v.cast("bigint").bitwiseAND(F.lit(_LANE - 1)) for v in values]
+    return reduce(Column.__add__, upper), reduce(Column.__add__, lower)
+
+
+def _exact(upper: Column, lower: Column) -> Column:
+    """The sum that two lanes hold, as a decimal."""
+    scale = F.lit(Decimal(_LANE)).cast("decimal(8,0)")
+    return upper.cast("decimal(19,0)") * scale + lower.cast("decimal(19,0)")
+
+
+def whole_parts(name: str, *values: Column) -> list[Column]:
+    """Aggregates ``<name>_upper`` and ``<name>_lower`` of the sum of whole numbers."""
+    upper, lower = _lanes(*values)
+    return [F.sum(upper).alias(f"{name}_upper"), F.sum(lower).alias(f"{name}_lower")]
+
+
+def whole_columns(name: str) -> tuple[str, str]:
+    return f"{name}_upper", f"{name}_lower"
+
+
+def whole_total(name: str) -> Column:
+    """The sum over rows that hold the parts of their groups; NULL without any, or beyond 64 bits."""
+    upper, lower = whole_columns(name)
+    return _exact(F.sum(upper), F.sum(lower)).try_cast("bigint")
+
+
+def whole_sum(*values: Column) -> Column:
+    """``SUM`` of whole numbers; NULL when no row has one, or beyond 64 bits."""
+    upper, lower = _lanes(*values)
+    return _exact(F.sum(upper), F.sum(lower)).try_cast("bigint")
+
+
+# Tokens of an event are its input and output tokens; with either NULL it adds nothing.
+
+
+def _tokens() -> tuple[Column, Column]:
+    return F.col("input_tokens"), F.col("output_tokens")
+
+
+def token_parts() -> list[Column]:
+    return whole_parts("tokens", *_tokens())
+
+
+def token_total() -> Column:
+    return whole_total("tokens")
+
+
+def token_sum() -> Column:
+    return whole_sum(*_tokens())
+
+
+TOKEN_PARTS = whole_columns("tokens")
 
 
 def _ordinary(cost: Column) -> Column:
@@ -44,24 +100,20 @@ def _ordinary(cost: Column) -> Column:
 
 
 def money_parts(cost: Column) -> list[Column]:
-    """Aggregates ``micros``, ``rest`` and ``beyond`` of a cost."""
+    """Aggregates of a cost, named as ``MONEY_PARTS``."""
     plain = _ordinary(cost)
     micros = (plain * 1e6).cast("bigint")
     rest = F.rint((plain * 1e6 - micros) * 1e6).cast("bigint")
     beyond = F.when(F.abs(cost) >= _BEYOND, cost)
-    return [
-        F.sum(micros.cast("decimal(19,0)")).alias("micros"),
-        F.sum(rest).alias("rest"),
-        F.sum(beyond).alias("beyond"),
-    ]
+    return [*whole_parts("micros", micros), F.sum(rest).alias("rest"), F.sum(beyond).alias("beyond")]
 
 
-MONEY_PARTS = ("micros", "rest", "beyond")
+MONEY_PARTS = (*whole_columns("micros"), "rest", "beyond")
 
 
-def money_from_parts(micros: Column, rest: Column, beyond: Column) -> Column:
+def money_from_parts(upper: Column, lower: Column, rest: Column, beyond: Column) -> Column:
     """The summed parts as dollars; NULL where no row has a cost."""
-    exact = micros.cast("decimal(24,0)") * F.lit(Decimal("0.000001")) + rest.cast(
+    exact = _exact(upper, lower).cast("decimal(24,0)") * F.lit(Decimal("0.000001")) + rest.cast(
         "decimal(20,0)"
     ) * F.lit(Decimal("0.000000000001"))
     plain = exact.cast("double")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from usagelens.functions.columns import API_REQUEST, is_event, money_sum, tokens
+from usagelens.functions.columns import API_REQUEST, is_event, money_sum, token_sum
 
 MIN_DAYS = 3
 
@@ -32,7 +32,7 @@ def _daily_cost(events: DataFrame) -> DataFrame:
 
 
 def _daily_tokens(events: DataFrame) -> DataFrame:
-    return _daily(events, F.lit(True), F.sum(tokens()))
+    return _daily(events, F.lit(True), token_sum())
 
 
 def _forecast(daily: DataFrame, name: str, days: int) -> DataFrame:

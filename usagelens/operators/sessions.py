@@ -15,7 +15,11 @@ from usagelens.functions.columns import (
     money_sum,
     money_total,
     rounded,
-    tokens,
+    token_parts,
+    token_sum,
+    token_total,
+    whole_parts,
+    whole_total,
 )
 from usagelens.functions.stats import correlation_p_value, exact_percentiles
 
@@ -41,11 +45,11 @@ def _parts(events: DataFrame, *extra: Column) -> DataFrame:
             F.min("event_ts").alias("first_ts"),
             F.max("event_ts").alias("last_ts"),
             *money_parts(cost),
-            F.sum(tokens()).alias("tokens"),
+            *token_parts(),
             F.count_if(is_event(API_REQUEST)).alias("calls"),
             F.count_if(prompt).alias("prompts"),
             F.count_if(is_event(TOOL_DECISION)).alias("decisions"),
-            F.sum(length).alias("length"),
+            *whole_parts("length", length),
             F.count(length).alias("lengths"),
         )
     )
@@ -57,23 +61,26 @@ def _who() -> Column:
     return F.min_by(F.struct("user_practice", "user_email"), earliest).alias("who")
 
 
-def session_stats(events: DataFrame, limit: int | None = None) -> DataFrame:
-    """One row per session, dearest first; practice and email come from its earliest event.
+def session_parts(events: DataFrame) -> DataFrame:
+    """Partial sums of the session profiles, which ``session_profiles`` finishes.
 
     Start and end are the smallest and largest timestamp *texts*. Texts of the usual
     form sort like their instants and are written back from those; any other text is
-    a grouping key of its own. With ``limit`` the sort becomes a top-k.
+    a grouping key of its own.
     """
     text = F.col("event_timestamp")
     usual = text.like(USUAL_TEXT) & F.col("event_ts").isNotNull()
-    other = F.when(~usual, text).alias("other_text")
+    return _parts(events, F.when(~usual, text).alias("other_text"))
+
+
+def session_profiles(parts: DataFrame) -> DataFrame:
+    """One row per session from its partial sums; practice and email come from its earliest event."""
 
     def shown(instant: str) -> Column:
         return F.coalesce("other_text", F.date_format(instant, USUAL_FORMAT))
 
-    ordered = (
-        _parts(events, other)
-        .groupBy("session_id")
+    return (
+        parts.groupBy("session_id")
         .agg(
             _who(),
             F.min(shown("first_ts")).alias("session_start"),
@@ -82,10 +89,16 @@ def session_stats(events: DataFrame, limit: int | None = None) -> DataFrame:
             F.sum("calls").alias("api_calls"),
             F.sum("decisions").alias("tool_decisions"),
             rounded(money_total(), 6).alias("session_cost_usd"),
-            F.sum("tokens").alias("session_tokens"),
+            token_total().alias("session_tokens"),
         )
         .select("session_id", "who.*", *PROFILE_COLUMNS)
-        .orderBy(F.desc("session_cost_usd"), "session_id")
+    )
+
+
+def session_stats(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per session, dearest first. With ``limit`` the sort becomes a top-k."""
+    ordered = session_profiles(session_parts(events)).orderBy(
+        F.desc("session_cost_usd"), "session_id"
     )
     return ordered if limit is None else ordered.limit(limit)
 
@@ -118,7 +131,7 @@ def running_profiles(events: DataFrame) -> DataFrame:
             F.count_if(is_event(API_REQUEST)).alias("api_calls"),
             F.count_if(is_event(TOOL_DECISION)).alias("tool_decisions"),
             rounded(money_sum(F.col("cost_usd")), 6).alias("session_cost_usd"),
-            F.sum(tokens()).alias("session_tokens"),
+            token_sum().alias("session_tokens"),
         )
         .select("session_id", "who.*", *PROFILE_COLUMNS)
     )
@@ -126,14 +139,14 @@ def running_profiles(events: DataFrame) -> DataFrame:
 
 def session_features(events: DataFrame) -> DataFrame:
     """Inputs of the session outlier model, one row per session."""
-    mean_length = F.sum("length") / F.nullif(F.sum("lengths"), F.lit(0))
+    mean_length = whole_total("length") / F.nullif(F.sum("lengths"), F.lit(0))
     return (
         _parts(events)
         .groupBy("session_id")
         .agg(
             _who(),
             F.coalesce(money_total(), F.lit(0.0)).alias("total_cost"),
-            F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
+            F.coalesce(token_total(), F.lit(0)).alias("total_tokens"),
             F.sum("calls").alias("api_calls"),
             F.sum("prompts").alias("prompts"),
             F.coalesce(mean_length, F.lit(0.0)).alias("avg_prompt_len"),

@@ -20,9 +20,12 @@ from usagelens.functions.columns import (
     money_total,
     percent,
     rounded,
-    tokens,
+    token_parts,
+    token_sum,
+    token_total,
     weekday_name,
     weekday_number,
+    whole_sum,
 )
 
 
@@ -35,7 +38,7 @@ def kpi_summary(events: DataFrame) -> DataFrame:
     cost = F.col("cost_usd")
     parts = events.groupBy("session_id", "user_id", "user_practice").agg(
         *money_parts(cost),
-        F.sum(tokens()).alias("tokens"),
+        *token_parts(),
         F.count_if(is_event(API_REQUEST)).alias("calls"),
         F.count_if(is_event(USER_PROMPT)).alias("prompts"),
     )
@@ -44,7 +47,7 @@ def kpi_summary(events: DataFrame) -> DataFrame:
         F.countDistinct("user_id").alias("total_users"),
         F.countDistinct("user_practice").alias("total_practices"),
         F.coalesce(money_total(), F.lit(0.0)).alias("total_cost_usd"),
-        F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
+        F.coalesce(token_total(), F.lit(0)).alias("total_tokens"),
         F.coalesce(F.sum("calls"), F.lit(0)).alias("total_api_calls"),
         F.coalesce(F.sum("prompts"), F.lit(0)).alias("total_prompts"),
     )
@@ -57,10 +60,10 @@ def token_usage_by_practice(events: DataFrame) -> DataFrame:
         .groupBy("user_practice")
         .agg(
             F.count("*").alias("api_calls"),
-            F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            F.sum("cache_read_tokens").alias("cache_read_tokens"),
-            F.sum(tokens()).alias("total_tokens"),
+            whole_sum(F.col("input_tokens")).alias("input_tokens"),
+            whole_sum(F.col("output_tokens")).alias("output_tokens"),
+            whole_sum(F.col("cache_read_tokens")).alias("cache_read_tokens"),
+            token_sum().alias("total_tokens"),
             rounded(money_sum(cost), 4).alias("total_cost_usd"),
             F.round(money_avg(cost), 6).alias("avg_cost_per_call"),
         )
@@ -74,7 +77,7 @@ def token_usage_by_model(events: DataFrame) -> DataFrame:
         .groupBy("model")
         .agg(
             F.count("*").alias("api_calls"),
-            F.sum(tokens()).alias("total_tokens"),
+            token_sum().alias("total_tokens"),
             rounded(money_sum(F.col("cost_usd")), 4).alias("total_cost_usd"),
             F.round(F.avg("duration_ms"), 0).alias("avg_duration_ms"),
         )
@@ -89,7 +92,7 @@ def period_sums() -> list[Column]:
     """Sums of one period, for batches and streams."""
     return [
         rounded(money_sum(F.col("cost_usd")), 6).alias("cost_usd"),
-        F.sum(tokens()).alias("total_tokens"),
+        token_sum().alias("total_tokens"),
         F.count("*").alias("api_calls"),
     ]
 
@@ -158,7 +161,7 @@ def cost_efficiency_by_model(events: DataFrame) -> DataFrame:
         .groupBy("model")
         .agg(
             F.count("*").alias("api_calls"),
-            F.sum(tokens()).alias("total_tokens"),
+            token_sum().alias("total_tokens"),
             rounded(money_sum(F.col("cost_usd")), 6).alias("total_cost_usd"),
             F.round(F.avg("duration_ms"), 0).alias("avg_latency_ms"),
         )
@@ -174,15 +177,15 @@ def cost_efficiency_by_model(events: DataFrame) -> DataFrame:
 
 def cache_efficiency(events: DataFrame) -> DataFrame:
     """Cache reads as a share of input tokens; NULL without input, may exceed 100."""
-    reads = F.coalesce(F.sum("cache_read_tokens"), F.lit(0))
+    reads = F.coalesce(whole_sum(F.col("cache_read_tokens")), F.lit(0))
     return (
         events.where(is_event(API_REQUEST) & F.col("user_practice").isNotNull())
         .groupBy("user_practice")
         .agg(
-            F.sum("input_tokens").alias("total_input_tokens"),
+            whole_sum(F.col("input_tokens")).alias("total_input_tokens"),
             reads.alias("cache_read_tokens"),
-            F.coalesce(F.sum("cache_creation_tokens"), F.lit(0)).alias("cache_creation_tokens"),
-            percent(reads, F.sum("input_tokens"), 2).alias("cache_hit_rate_pct"),
+            F.coalesce(whole_sum(F.col("cache_creation_tokens")), F.lit(0)).alias("cache_creation_tokens"),
+            percent(reads, whole_sum(F.col("input_tokens")), 2).alias("cache_hit_rate_pct"),
         )
         .orderBy(F.desc("cache_hit_rate_pct"), "user_practice")
     )

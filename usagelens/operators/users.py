@@ -14,7 +14,12 @@ from usagelens.functions.columns import (
     money_parts,
     money_total,
     rounded,
-    tokens,
+    TOKEN_PARTS,
+    token_parts,
+    token_total,
+    whole_columns,
+    whole_parts,
+    whole_total,
 )
 
 
@@ -44,17 +49,17 @@ def user_rollup(events: DataFrame) -> DataFrame:
     cost, prompt = F.col("cost_usd"), is_event(USER_PROMPT)
     length = F.when(prompt, F.col("prompt_length"))
     known = events.where(filled("user_email"))
-    sums = (*MONEY_PARTS, "tokens", "calls", "prompts", "length", "lengths")
+    sums = (*MONEY_PARTS, *TOKEN_PARTS, "calls", "prompts", *whole_columns("length"), "lengths")
     earliest = earliest_key(F.col("first_ts"), F.col("user_practice"))
     return (
         known.groupBy("user_email", "session_id", "user_practice")
         .agg(
             F.min("event_ts").alias("first_ts"),
             *money_parts(cost),
-            F.sum(tokens()).alias("tokens"),
+            *token_parts(),
             F.count_if(is_event(API_REQUEST)).alias("calls"),
             F.count_if(prompt).alias("prompts"),
-            F.sum(length).alias("length"),
+            *whole_parts("length", length),
             F.count(length).alias("lengths"),
         )
         .groupBy("user_email", "session_id")
@@ -64,10 +69,10 @@ def user_rollup(events: DataFrame) -> DataFrame:
             F.min("first").alias("first"),
             F.count("session_id").alias("sessions"),
             money_total().alias("cost"),
-            F.sum("tokens").alias("tokens"),
+            token_total().alias("tokens"),
             F.sum("calls").alias("api_calls"),
             F.sum("prompts").alias("prompts"),
-            (F.sum("length") / F.nullif(F.sum("lengths"), F.lit(0))).alias("mean_prompt_len"),
+            (whole_total("length") / F.nullif(F.sum("lengths"), F.lit(0))).alias("mean_prompt_len"),
         )
         .withColumn("user_practice", F.col("first.k3"))
         .drop("first")

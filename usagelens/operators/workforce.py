@@ -18,7 +18,8 @@ from usagelens.functions.columns import (
     money_total,
     percent,
     rounded,
-    tokens,
+    token_parts,
+    token_total,
 )
 from usagelens.operators.tools import accepted, decisions
 
@@ -37,7 +38,7 @@ def _summed(events: DataFrame, *keys: str) -> DataFrame:
         .agg(
             *money_parts(cost),
             F.count(cost).alias("costs"),
-            F.sum(tokens()).alias("tokens"),
+            *token_parts(),
             F.count_if(is_event(API_REQUEST)).alias("calls"),
         )
     )
@@ -55,7 +56,7 @@ def cost_by_level(events: DataFrame, employees: DataFrame) -> DataFrame:
             F.countDistinct("user_email").alias("users"),
             rounded(money_total(), 4).alias("total_cost_usd"),
             F.round(mean, 6).alias("avg_cost_per_call"),
-            F.sum("tokens").alias("total_tokens"),
+            token_total().alias("total_tokens"),
         )
         .orderBy("level")
     )
@@ -70,7 +71,7 @@ def cost_by_location(events: DataFrame, employees: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("users"),
             rounded(money_total(), 4).alias("total_cost_usd"),
-            F.sum("tokens").alias("total_tokens"),
+            token_total().alias("total_tokens"),
             F.sum("calls").alias("api_calls"),
         )
         .orderBy(F.desc("total_cost_usd"), "location")

@@ -53,12 +53,13 @@ EVENTS = T.StructType(
 # Columns an event line provides (everything but the load-time stamp).
 PARSED_COLUMNS = [name for name in EVENTS.names if name != "ingested_at"]
 
-# Partition columns of the stored table.
+# What the stored table has besides: the load of a row and the folders that hold it.
 PARTITIONS = T.StructType(
     [
+        T.StructField("load_id", _TEXT),
         T.StructField("event_name", _TEXT),
         T.StructField("event_date", T.DateType()),
-        T.StructField("load_id", _TEXT),
+        T.StructField("part", _TEXT),
     ]
 )
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from usagelens import schema
-from usagelens.session import written
+from usagelens.sources import snapshots
 from usagelens.sources.envelopes import strip
 
 _COLUMNS = schema.EMPLOYEES.names
@@ -67,17 +67,41 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def read_employees(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.EMPLOYEES).parquet(path)
+    """The employee table as of now; empty where there is none yet."""
+    parts = snapshots.current(spark, path).parts
+    if not parts:
+        return spark.createDataFrame([], schema.EMPLOYEES)
+    return spark.read.schema(schema.EMPLOYEES).parquet(*[_folder(path, p.name) for p in parts])
+
+
+def _folder(path: str, part: str) -> str:
+    return f"{path}/rows/part={part}"
+
+
+def replace(rows: DataFrame, path: str) -> None:
+    """Make ``rows`` the whole table, in one step.
+
+    They may be computed from the table: its folder stays until ``vacuum`` removes it, and
+    readers see it until the new one is complete, also if the writer fails on the way.
+    """
+    spark = rows.sparkSession
+    base, part = snapshots.current(spark, path), snapshots.Part(snapshots.new_name("staff"), rows=1)
+    rows.select(_COLUMNS).write.parquet(_folder(path, part.name))
+    snapshots.commit(spark, path, base, (part,))
+
+
+def vacuum(spark: SparkSession, path: str, keep_seconds: float = 24 * 3600.0) -> None:
+    """Remove tables that were replaced longer ago."""
+    snapshots.vacuum(spark, path, ["rows"], keep_seconds)
 
 
 def ingest_csv(spark: SparkSession, source: str | list[str], path: str) -> dict[str, int]:
     """Upsert employee files into the table at ``path``; returns the number of rows read.
 
-    The merged table is written to the shared folder before it replaces the old
-    one, which it was computed from.
+    Of equal emails the last row of the files counts, else the row of the table. The
+    table changes in one step.
     """
     rows = read_csv(spark, source)
-    spark.createDataFrame([], schema.EMPLOYEES).write.mode("append").parquet(path)
     old = read_employees(spark, path).select(
         "*",
         F.lit(0).alias("priority"),
@@ -85,6 +109,5 @@ def ingest_csv(spark: SparkSession, source: str | list[str], path: str) -> dict[
         F.lit(0).cast("bigint").alias("block"),
         F.lit(0).cast("bigint").alias("line_no"),
     )
-    merged = written(latest(old.unionByName(rows)), "employees")
-    merged.write.mode("overwrite").parquet(path)
+    replace(latest(old.unionByName(rows)), path)
     return {"rows_inserted": rows.count()}

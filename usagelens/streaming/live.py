@@ -16,8 +16,7 @@ from usagelens.operators.sessions import running_profiles
 from usagelens.operators.usage import PERIOD_COLUMNS, period_label, period_sums
 from usagelens.schema import PARSED_COLUMNS
 from usagelens.session import configure
-from usagelens.sources import envelopes
-from usagelens.sources.store import append_lines, write_load
+from usagelens.sources import envelopes, snapshots, store
 
 
 def _reader(spark: SparkSession, files_per_batch: int | None) -> DataStreamReader:
@@ -46,15 +45,19 @@ def ingest_stream(
 
     A batch is stored as the load ``<name>-<batch>``. When a batch is run again after
     a failure it replaces what its first run wrote, and ids already stored by other
-    loads are skipped, so every id is stored once. Each batch reads the id column of
-    the table; see ``ingest_stream_with_state`` for tables too large for that. Without
-    ``every`` the query stops when the files at hand are done.
+    loads are skipped, so every id is stored once. Each batch reads the lists of id hashes
+    of the table, a few bytes an id; see ``ingest_stream_with_state`` for tables too large
+    for that. Batches are folded into larger parts as they come. Without ``every`` the
+    query stops when the files at hand are done.
     """
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        append_lines(envelopes.with_place(batch), table, f"{name}-{batch_id:09d}")
+    def append(batch: DataFrame, batch_id: int) -> None:
+        store.append_lines(
+            envelopes.with_place(batch), table, f"{name}-{batch_id:09d}", flat=True
+        )
+        _tidy(batch.sparkSession, table)
 
-    writer = lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    writer = lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return _started(writer, every)
 
 
@@ -73,17 +76,25 @@ def ingest_stream_with_state(
     any one may be stored. With a ``delay`` ids are forgotten after that time.
     """
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        write_load(batch, table, f"{name}-{batch_id:09d}")
+    def append(batch: DataFrame, batch_id: int) -> None:
+        store.write_load(batch, table, f"{name}-{batch_id:09d}", flat=True)
+        _tidy(batch.sparkSession, table)
 
     writer = (
         once_per_id(parsed_stream(lines, delay), bounded=delay is not None)
-        .writeStream.foreachBatch(store)
+        .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
     )
     return _started(writer, every)
 
 
+def _tidy(spark: SparkSession, table: str) -> None:
+    """Fold parts when enough of a level have come, and drop what was replaced long ago."""
+    if snapshots.due(snapshots.current(spark, table)):
+        store.compact(spark, table)
+        store.vacuum(spark, table)
+
+
 def parsed_stream(lines: DataFrame, delay: str | None = None) -> DataFrame:
     """Complete events of a stream of lines, for live reports; malformed input drops out.
 
@@ -135,28 +146,64 @@ def live_sessions(events: DataFrame) -> DataFrame:
 
 
 def keep_changes(
-    report: DataFrame, path: str, checkpoint: str, every: str | None = None
+    report: DataFrame, path: str, checkpoint: str, *keys: str, every: str | None = None
 ) -> StreamingQuery:
     """Write the rows of a live report that each micro-batch changed.
 
-    A batch has a folder of its own, ``batch=<n>``, so a batch that is run again
-    replaces only what its first run wrote; ``latest`` reads the current rows.
+    A batch becomes visible in one step, and a batch that is run again replaces what its
+    first run wrote. Batches are folded: of the rows of a key (``keys``) only the newest
+    stays, so ``latest`` reads about as many rows as there are keys, and the newest batches.
     """
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        base, load = snapshots.current(spark, path), f"{batch_id:09d}"
+        part = snapshots.Part(snapshots.new_name("batch"), (load,), rows=1)
+        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.parquet(_changes(path, part))
+        others = tuple(p for p in base.parts if p.loads != (load,))
+        snapshots.commit(spark, path, base, (*others, part))
+        fold_changes(spark, path, report.schema, *keys)
 
     writer = (
         report.writeStream.outputMode("update")
-        .foreachBatch(store)
+        .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
     )
     return _started(writer, every)
 
 
+def _changes(path: str, part: snapshots.Part) -> str:
+    return f"{path}/rows/part={part.name}"
+
+
+def _newest(
+    spark: SparkSession, path: str, schema: T.StructType, parts: list[snapshots.Part], *keys: str
+) -> DataFrame:
+    """The newest row of each key in some parts, and its batch."""
+    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(stored).parquet(*[_changes(path, p) for p in parts])
+    newest = F.max_by(F.struct(*stored.names), "batch").alias("row")
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(newest).select("row.*")
+
+
+def fold_changes(
+    spark: SparkSession, path: str, schema: T.StructType, *keys: str, fan_out: int = snapshots.FAN_OUT
+) -> None:
+    """Fold the changes of many batches into the newest row of each key; drop what is old."""
+
+    def write(parts: list[snapshots.Part], name: str) -> int:
+        rows = _newest(spark, path, schema, parts, *keys)
+        rows.write.parquet(f"{path}/rows/part={name}")
+        return 1
+
+    before = snapshots.current(spark, path)
+    if snapshots.fold(spark, path, write, fan_out) != before:
+        snapshots.vacuum(spark, path, ["rows"], store.KEEP_SECONDS)
+
+
 def latest(spark: SparkSession, path: str, schema: T.StructType, *keys: str) -> DataFrame:
     """The current rows of a live report: the newest one of each key."""
-    changes = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    newest = F.max_by(F.struct(*schema.names), "batch").alias("row")
-    stored = spark.read.schema(changes).parquet(path)
-    return stored.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(newest).select("row.*")
+    parts = list(snapshots.current(spark, path).parts)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return _newest(spark, path, schema, parts, *keys).select(schema.names)
