@@ -13,7 +13,6 @@ from usagelens.llm.registry import vocabulary
 def _check(rows, docs, capacity):
     """Every id of every document lies in one piece, sequences have no gaps."""
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     expected = defaultdict(list)
     for d in docs:
         ids = tokenizer.encode(d["text"] or "", add_special_tokens=False).ids + [1]
@@ -62,7 +61,6 @@ def test_words_equal_the_whole_pipeline():
         " \n ",
     ]
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     encode = packing.token_source(vocabulary(), 1)
     for text, ids in zip(texts, encode(texts)):
         want = tokenizer.encode(text, add_special_tokens=False).ids + [1]
@@ -81,3 +79,14 @@ def test_classes_hold_a_fixed_count():
 
 def test_no_rows(make_docs):
     assert packing.pack(make_docs([]), vocabulary()).count() == 0
+
+
+def test_texts_that_spell_added_tokens_have_the_tokenizers_ids():
+    texts = [
+        "text <|endoftext|> more", "a<|endoftext|>b", "<|startoftext|>", "text <|ENDOFTEXT|> more",
+        "Plain words, and <|endoftext |> spaced.", "x <|endoftext|><|endoftext|> y <|startoftext|>",
+    ]
+    tokenizer = Tokenizer.from_file(vocabulary())
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    got = packing.token_source(vocabulary(), 1)(texts)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == expected

@@ -53,7 +53,9 @@ def token_source(path: str, end_id: int):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    # A text that spells an added token, in whatever case, takes the whole pipeline too.
+    added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    spells = re.compile("|".join(added) if added else r"(?!)", re.IGNORECASE).search
     merge = tokenizer.model.tokenize
     unusual, plain = re.compile(_UNUSUAL_SPACE), re.compile(_PLAIN).fullmatch
     known: dict[str, bytes] = {}
@@ -90,7 +92,7 @@ def token_source(path: str, end_id: int):
             if len(cache) > _REMEMBERED:
                 cache.clear()
         cores[""] = b""
-        split = [None if unusual.search(text) else text.split() for text in batch]
+        split = [None if unusual.search(text) or spells(text) else text.split() for text in batch]
         learn(list(set(chain.from_iterable(s for s in split if s)).difference(known)))
         return [
             (whole([text])[0] if words is None else b"".join(map(known.__getitem__, words))) + end
