@@ -1,11 +1,13 @@
 """Mixing: the schedule's deviation, whole results, awkward rows."""
 
 from collections import Counter
+from math import isqrt
 
 import pytest
 from pyspark.sql import functions as F
 
-from usagelens.llm import mixing
+from tests.conftest import SF
+from usagelens.llm import mixing, registry
 
 
 @pytest.fixture(scope="module")
@@ -17,23 +19,45 @@ def sources(spark):
     )
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 1.0, "b": 5.0, "c": 1.5, "d": 0.01}])
-def test_less_than_one_block_from_the_weight(sources, weights):
-    plan = mixing.shares(sources, weights, 64)
-    row = plan.first()
-    quota = dict(zip([s["source"] for s in row["s"]], row["quota"]))
-    assert sum(quota.values()) == row["q"] == 64 and min(quota.values()) >= 1
-    seen = Counter()
-    for slot in mixing.pattern(plan).orderBy("mix_slot").collect():
-        assert slot["mix_j"] == seen[slot["mix_source"]]
-        seen[slot["mix_source"]] += 1
-        done = slot["mix_slot"] + 1
-        assert all(abs(seen[s] - done * n / 64) < 1 for s, n in quota.items())
-    assert seen == quota
+def _brute(blocks, weights):
+    """The source of every slot, slot by slot."""
+    used, base, since, out = Counter(), Counter(), 0, []
+    left = dict(weights)
+    while left:
+        total, t = sum(left.values()), len(out)
+        ready = [
+            (-(-(used[s] - base[s] + 1) * total // w), s)
+            for s, w in sorted(left.items())
+            if (used[s] - base[s]) * total // w <= t - since
+        ]
+        s = min(ready)[1]
+        used[s] += 1
+        out.append(s)
+        if used[s] == blocks[s]:
+            del left[s]
+            base, since = used.copy(), t + 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 1.0, "b": 5.0, "c": 1.5, "d": 0.01}, {"a": 0.5, "b": 0.25, "c": 0.25}])
+@pytest.mark.parametrize("block, stretch", [(1, 1024), (4, 3), (64, 1)])
+def test_the_schedule_against_a_walk_over_all_slots(sources, weights, block, stretch, monkeypatch):
+    monkeypatch.setattr(mixing, "STRETCH", stretch)
+    sizes = {r["source"]: r["n"] for r in sources.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    whole = {s: isqrt(n) if weights is None else max(1, round(weights.get(s, 0) * 1e6)) for s, n in sizes.items()}
+    rows = mixing.schedule(mixing.sources(sources, weights), block).orderBy("mix_slot").collect()
+    order = _brute({s: -(-n // block) for s, n in sizes.items()}, whole)
+    assert [r["mix_source"] for r in rows] == order
+    assert [r["mix_slot"] for r in rows] == list(range(len(order)))
+    seen, start = Counter(), 0
+    for r in rows:
+        assert (r["mix_block"], r["mix_start"]) == (seen[r["mix_source"]], start)
+        start += min(block, sizes[r["mix_source"]] - seen[r["mix_source"]] * block)
+        seen[r["mix_source"]] += 1
 
 
 def test_every_document_has_one_place(sources):
-    rows = mixing.mixed(sources, block=4, period=16).orderBy("mix_position").collect()
+    rows = mixing.mixed(sources, block=4).orderBy("mix_position").collect()
     assert [r["mix_position"] for r in rows] == list(range(sources.count()))
     assert [r["mix_slot"] for r in rows] == sorted(r["mix_slot"] for r in rows)
     for r, after in zip(rows, rows[1:]):
@@ -56,15 +80,30 @@ def test_no_python_in_the_plan(awkward, capsys):
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
 
 
+def test_the_registered_query_keeps_to_its_weights(spark):
+    rows = registry.op10_mixing(spark, SF).orderBy("position").collect()
+    counts = Counter(r["source"] for r in rows)
+    blocks = {s: -(-n // mixing.BLOCK) for s, n in counts.items()}
+    w = {s: isqrt(n) for s, n in counts.items()}
+    slots = sorted({(r["slot"], r["source"]) for r in rows})
+    assert [t for t, _ in slots] == list(range(sum(blocks.values())))
+    seen = Counter()
+    for t, source in slots:
+        seen[source] += 1
+        assert all(abs(seen[s] - (t + 1) * w[s] / sum(w.values())) < 1 for s in w)
+        if seen[source] == blocks[source]:
+            break
+
+
 @pytest.mark.parametrize("weights", [None, {"s0": 0.5, "s1": 0.0004} | {f"s{i}": 0.026 for i in range(2, 20)}])
 def test_no_drift_from_the_given_weights_over_many_periods(spark, weights):
-    """Prefixes while all sources last, against the exact ratios, over 60 periods and more."""
+    """Prefixes while all sources last, against the exact ratios, over many stretches."""
     counts = {f"s{i}": 1600 if i == 0 else 150 for i in range(20)}
     rows = [(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
-    w = weights or {s: int(n**0.5 * 1000) for s, n in counts.items()}
+    w = weights or {s: isqrt(n) for s, n in counts.items()}
     total, seen, last = sum(w.values()), Counter(), 0
-    out = mixing.mixed(docs, weights=weights, block=1, period=16).orderBy("mix_position").collect()
+    out = mixing.mixed(docs, weights=weights, block=1).orderBy("mix_position").collect()
     assert [r["mix_position"] for r in out] == list(range(len(rows)))
     assert [r["mix_slot"] for r in out] == list(range(len(rows)))
     for done, r in enumerate(out, 1):

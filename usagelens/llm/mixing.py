@@ -4,13 +4,13 @@ Every source is cut into blocks of equal size. Block ``i`` (from 0) of a source
 ``w`` among weights of sum ``t`` must run no earlier than slot ``floor(i*t/w)`` and before
 slot ``ceil((i+1)*t/w)``; in each slot the earliest deadline among the released blocks
 wins. While all sources last, every prefix of the mixture holds each source to within
-less than one block of its weight. When a source runs out the windows of the others start
-anew from there. The fold over the slots is cut into chunks: one light pass carries the
-state of every source from chunk to chunk, then each chunk lists its own slots.
+less than one block of its weight. When a source runs out a new phase begins, in which
+the windows of the others start anew.
 
-:func:`sql` and the registered query state another schedule (``exact=False``): weights are
-rounded to the slots of a period, at least one each, and the period repeats. There a source
-is within one block of its slots, but strays from its weight by up to a rounding a period.
+In lowest terms the weights of a phase repeat after ``t`` slots: at every multiple of it each
+source has run exactly its weight in blocks. So the state there needs no fold over what
+came before, and stretches of whole periods list their slots independently of each other.
+Only the period in which a source runs out is walked through to find the next phase.
 
 No document is dropped or repeated. Only the list of sources with their counts meets in
 one row; the schedule has one row per block.
@@ -22,80 +22,77 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK, PERIOD = 64, 1024
+BLOCK = 64
+#: Slots that are listed together, at least.
+STRETCH = 1024
 #: Documents of one source that share a ranking bucket, about.
 _BUCKET = 1000
+#: Tasks that list the slots, at least.
+_FOLDS = 32
 
-_PICK = """
-aggregate(
-  sequence(0, cast(q - 1 AS int)),
-  struct(transform(quota, x -> 0L) AS used,
-         cast(array() AS array<struct<i: int, j: bigint, before: array<bigint>>>) AS picks),
-  (acc, t) -> transform(
-    array(array_min(filter(
-      transform(quota, (n, i) -> struct(
-        (((acc.used[i] + 1) * q + n - 1) div n) AS deadline, i AS i,
-        ((acc.used[i] * q) div n) AS release)),
-      x -> x.release <= t AND acc.used[x.i] < quota[x.i])).i),
-    p -> struct(
-      transform(acc.used, (u, i) -> if(i = p, u + 1, u)) AS used,
-      concat(acc.picks, array(struct(p AS i, acc.used[p] AS j, acc.used AS before))) AS picks
-    ))[0],
-  acc -> acc.picks)
+#: The greatest common divisor of the numbers of ``a``.
+_GCD = """
+aggregate(a, 0L, (g, x) -> aggregate(
+  sequence(1, 96), struct(greatest(g, x) AS p, least(g, x) AS q),
+  (e, n) -> if(e.q = 0L, e, struct(e.q AS p, e.p % e.q AS q)), e -> e.p))
 """
 
-#: Tasks that list the slots of chunks.
-_FOLDS = 32
-_STATE = "struct<used: array<bigint>, base: array<bigint>, since: bigint, total: bigint>"
 
-
-def _winner(now: str, t: str) -> str:
-    """The source that runs in slot ``t``; ``now`` counts blocks since the last source ran out."""
+def _winner(used: str, phase: str, t: str) -> str:
+    """The source that runs in slot ``t`` of a phase with ``base``, weights ``v``, ``total``, ``since``."""
     return f"""
 array_min(filter(
-  transform(s, (x, i) -> struct(
-    (({now}.used[i] - {now}.base[i] + 1) * {now}.total + x.w - 1) div x.w AS deadline, i AS i,
-    (({now}.used[i] - {now}.base[i]) * {now}.total) div x.w AS release)),
-  y -> {now}.used[y.i] < blocks[y.i] AND y.release <= {t} - {now}.since)).i"""
-
-
-def _after(now: str, t: str, p: str) -> str:
-    """The state after source ``p`` has run in slot ``t``."""
-    return f"""
-transform(array(transform({now}.used, (u, k) -> if(k = {p}, u + 1L, u))), v -> if(
-  v[{p}] = blocks[{p}],
-  struct(v AS used, v AS base, {t} + 1L AS since, {now}.total - s[{p}].w AS total),
-  struct(v AS used, {now}.base AS base, {now}.since AS since, {now}.total AS total)))[0]"""
-
-
-def _chunk(c: str) -> str:
-    return f"sequence({c} * q, least(slots, ({c} + 1L) * q) - 1L)"
+  transform(filter(sequence(0, size(s) - 1), i -> {phase}.v[i] > 0L), i -> struct(
+    (({used}[i] - {phase}.base[i] + 1L) * {phase}.total + {phase}.v[i] - 1L) div {phase}.v[i] AS deadline,
+    i AS i, (({used}[i] - {phase}.base[i]) * {phase}.total) div {phase}.v[i] AS release)),
+  y -> y.release <= {t} - {phase}.since)).i"""
+
+
+#: The phase that begins at slot ``z.since`` with ``z.used`` blocks of each source; ``whole``
+#: periods pass before the one in which a source runs out.
+_PHASE = f"""
+transform(array(transform(s, (x, i) -> if(z.used[i] < blocks[i], x.w, 0L))), a ->
+transform(array({_GCD}), g -> transform(
+  array(transform(a, x -> if(g > 0L, x div g, 0L))), v -> struct(
+    z.since AS since, z.used AS base, v AS v, aggregate(v, 0L, (m, x) -> m + x) AS total,
+    array_min(filter(transform(v, (x, i) -> if(x > 0L, (blocks[i] - z.used[i] - 1L) div x, NULL)),
+      x -> x IS NOT NULL)) AS whole))[0])[0])[0]
+"""
 
+#: The slots of that last period up to the one in which a source runs out.
+_LAST = f"""
+aggregate(
+  sequence(phase.since + phase.whole * phase.total, phase.since + (phase.whole + 1L) * phase.total - 1L),
+  struct(zip_with(phase.base, phase.v, (b, x) -> b + phase.whole * x) AS used, -1L AS ended),
+  (r, t) -> if(r.ended >= 0L, r, transform(array({_winner("r.used", "phase", "t")}), p -> struct(
+    transform(r.used, (u, k) -> if(k = p, u + 1L, u)) AS used,
+    if(r.used[p] + 1L = blocks[p], t + 1L, -1L) AS ended))[0]))
+"""
 
-_STATES = f"""
+_PHASES = f"""
 aggregate(
-  sequence(0L, (slots + q - 1L) div q - 1L),
-  struct(
-    struct(transform(s, x -> 0L) AS used, transform(s, x -> 0L) AS base, 0L AS since,
-           aggregate(s, 0L, (a, x) -> a + x.w) AS total) AS now,
-    cast(array() AS array<{_STATE}>) AS kept),
-  (a, c) -> struct(
-    aggregate({_chunk("c")}, a.now, (b, t) ->
-      transform(array({_winner("b", "t")}), p -> {_after("b", "t", "p")})[0]) AS now,
-    concat(a.kept, array(a.now)) AS kept),
-  a -> a.kept)
+  sequence(1, size(s)),
+  struct(transform(s, x -> 0L) AS used, 0L AS since, cast(array() AS array<struct<
+    since: bigint, base: array<bigint>, v: array<bigint>, total: bigint, ended: bigint>>) AS phases),
+  (acc, n) -> if(forall(sequence(0, size(s) - 1), i -> acc.used[i] = blocks[i]), acc,
+    transform(transform(array(struct(acc.used AS used, acc.since AS since)), z -> {_PHASE}),
+      phase -> transform(array({_LAST}), last -> struct(
+        last.used AS used, last.ended AS since,
+        concat(acc.phases, array(struct(phase.since AS since, phase.base AS base, phase.v AS v,
+          phase.total AS total, last.ended AS ended))) AS phases))[0])[0]),
+  acc -> acc.phases)
 """
 
-_CHUNK_PICKS = f"""
+#: Who runs in each slot of a stretch, and which of the source's blocks.
+_PICKS = f"""
 aggregate(
-  {_chunk("c")},
-  struct(state AS now, cast(array() AS array<struct<i: int, j: bigint, start: bigint>>) AS picks),
-  (a, t) -> transform(array({_winner("a.now", "t")}), p -> struct(
-    {_after("a.now", "t", "p")} AS now,
-    concat(a.picks, array(struct(p AS i, a.now.used[p] AS j, aggregate(
-      zip_with(s, a.now.used, (x, u) -> least(x.n, u * size)), 0L, (m, x) -> m + x) AS start)))
-    AS picks))[0],
-  a -> a.picks)
+  sequence(first, least(first + length, phase.ended) - 1L),
+  struct(zip_with(phase.base, phase.v, (b, x) -> b + at * (length div phase.total) * x) AS used,
+         cast(array() AS array<struct<i: int, j: bigint>>) AS picks),
+  (r, t) -> transform(array({_winner("r.used", "phase", "t")}), p -> struct(
+    transform(r.used, (u, k) -> if(k = p, u + 1L, u)) AS used,
+    concat(r.picks, array(struct(p AS i, r.used[p] AS j))) AS picks))[0],
+  r -> r.picks)
 """
 
 
@@ -104,89 +101,50 @@ def source_name() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit(""))
 
 
-def shares(docs: DataFrame, weights: dict[str, float] | None, period: int) -> DataFrame:
-    """One row: the sources ``s`` by name, the period ``q`` and the slots of each, ``quota``.
+def sources(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """One row: the sources ``s`` by name with their documents ``n`` and whole weights ``w``.
 
-    Weights default to the square root of a source's size; each source gets one slot,
-    the others are shared by largest remainder. A period has at least two slots a source.
+    Weights default to the whole square root of a source's size. Given ones count to six
+    decimal places; a source they do not name gets the smallest weight. Without documents
+    there is no row.
     """
     named = docs.groupBy(source_name().alias("source")).agg(F.count("*").alias("n"))
-    weight = F.floor(F.sqrt("n") * 1000)
+    weight = F.floor(F.sqrt("n"))
     if weights is not None:
         given = [F.lit(round(w * 1_000_000)) for w in weights.values()]
         pairs = [x for pair in zip(map(F.lit, weights), given) for x in pair]
         table = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,bigint>")
         weight = F.coalesce(table[F.col("source")], F.lit(0))
-    sources = named.withColumn("w", F.greatest(F.lit(1), weight).cast("long"))
-    return (
-        sources.agg(F.sort_array(F.collect_list(F.struct("source", "n", "w"))).alias("s"))
-        .where("size(s) > 0")
-        .selectExpr(
-            "s",
-            f"greatest({int(period)}L, 2L * size(s)) AS q",
-            "aggregate(s, 0L, (a, x) -> a + x.w) AS total",
-        )
-        .selectExpr("*", "q - size(s) AS spare")
-        .selectExpr(
-            "s",
-            "q",
-            "transform(s, x -> 1 + (spare * x.w) div total) AS least",
-            "sort_array(transform(s, (x, i) -> struct(-((spare * x.w) % total) AS r, i AS i)))"
-            " AS by_rest",
-        )
-        .selectExpr("*", "cast(q - aggregate(least, 0L, (a, x) -> a + x) AS int) AS unshared")
-        .selectExpr(
-            "s",
-            "q",
-            "transform(least, (n, i) -> n + if(array_contains("
-            "transform(slice(by_rest, 1, unshared), x -> x.i), i), 1L, 0L)) AS quota",
-        )
-    )
+    weighed = named.withColumn("w", F.greatest(F.lit(1), weight).cast("long"))
+    listed = F.sort_array(F.collect_list(F.struct("source", "n", "w"))).alias("s")
+    return weighed.agg(listed).where("size(s) > 0")
 
 
-def pattern(plan: DataFrame) -> DataFrame:
-    """One row per slot of a period: ``mix_source``, its block ``mix_j`` there, ``mix_slot``.
-
-    ``mix_before`` counts the earlier blocks of every source in the period, ``mix_quota``
-    their blocks in a whole period and ``mix_total`` their documents, all by source name.
-    """
-    return (
-        plan.selectExpr("*", f"{_PICK} AS picks")
-        # The outer form keeps Spark from testing the fold for emptiness first.
-        .selectExpr("s", "q", "quota", "posexplode_outer(picks) AS (slot, pick)")
-        .selectExpr(
-            "s[pick.i].source AS mix_source",
-            "pick.j AS mix_j",
-            "cast(slot AS bigint) AS mix_slot",
-            "q AS mix_period",
-            "pick.before AS mix_before",
-            "quota AS mix_quota",
-            "transform(s, x -> x.n) AS mix_total",
-        )
-    )
-
-
-def schedule(plan: DataFrame, size: int, period: int) -> DataFrame:
+def schedule(plan: DataFrame, size: int) -> DataFrame:
     """One row per block of ``size`` documents: ``mix_source``, ``mix_block``, ``mix_slot``.
 
-    The windows come from the exact ratio of the weights. ``mix_start`` counts the
-    documents in earlier slots.
+    ``mix_start`` counts the documents in earlier slots: all blocks are full but the last
+    ones of the sources that ran out in earlier phases.
     """
+    tasks = max(_FOLDS, plan.sparkSession.sparkContext.defaultParallelism)
+    missing = (
+        f"aggregate(zip_with(s, zip_with(phase.base, blocks, (b, m) -> if(b = m, b, 0L)), "
+        f"(x, m) -> if(m > 0L, m * {size}L - x.n, 0L)), 0L, (m, x) -> m + x)"
+    )
     return (
-        plan.selectExpr("s", f"{size}L AS size", f"transform(s, x -> (x.n + {size - 1}L) div {size}L) AS blocks")
-        .selectExpr("*", "aggregate(blocks, 0L, (a, x) -> a + x) AS slots")
-        .selectExpr("*", f"greatest({int(period)}L, cast(ceil(sqrt(slots)) AS bigint)) AS q")
-        .selectExpr("*", f"{_STATES} AS states")
-        .selectExpr("s", "size", "blocks", "slots", "q", "posexplode_outer(states) AS (at, state)")
-        .selectExpr("*", "cast(at AS bigint) AS c")
-        .repartition(_FOLDS, "c")
-        .selectExpr("s", "q", "c", f"{_CHUNK_PICKS} AS picks")
-        .selectExpr("s", "q", "c", "posexplode_outer(picks) AS (slot, pick)")
+        plan.selectExpr("s", f"transform(s, x -> (x.n + {size - 1}L) div {size}L) AS blocks")
+        .selectExpr("s", "blocks", f"explode({_PHASES}) AS phase")
+        .selectExpr("*", f"{missing} AS missing")
+        .selectExpr("*", f"phase.total * (({STRETCH}L + phase.total - 1L) div phase.total) AS length")
+        .selectExpr("*", "explode(sequence(0L, (phase.ended - phase.since - 1L) div length)) AS at")
+        .selectExpr("*", "phase.since + at * length AS first")
+        .repartition(tasks, "first")
+        .selectExpr("s", "first", "missing", f"posexplode({_PICKS}) AS (slot, pick)")
         .selectExpr(
             "s[pick.i].source AS mix_source",
             "pick.j AS mix_block",
-            "c * q + slot AS mix_slot",
-            "pick.start AS mix_start",
+            "first + slot AS mix_slot",
+            f"(first + slot) * {size}L - missing AS mix_start",
         )
     )
 
@@ -230,11 +188,7 @@ def ranked(docs: DataFrame) -> DataFrame:
 
 
 def mixed(
-    docs: DataFrame,
-    weights: dict[str, float] | None = None,
-    block: int = BLOCK,
-    period: int = PERIOD,
-    exact: bool = True,
+    docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK
 ) -> DataFrame:
     """``docs`` with ``mix_block`` (in the source), ``mix_slot`` (in the schedule), ``mix_position``.
 
@@ -242,38 +196,16 @@ def mixed(
     smallest share. Positions number the rows of the mixture from 0 without gaps. Rows
     with equal ids are placed next to each other in their source, null sources are one
     component, texts are not read, and an empty table gives no rows. Columns whose names
-    begin with ``mix_`` are replaced. Without ``exact`` the schedule is that of :func:`sql`.
+    begin with ``mix_`` are replaced.
     """
     plain = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     size = int(block)
-    plan = shares(plain, weights, period)
-    if exact:
-        rows = ranked(plain).withColumn("mix_block", F.expr(f"mix_rank div {size}"))
-        return rows.join(schedule(plan, size, period), ["mix_source", "mix_block"]).select(
-            *[F.col(c) for c in plain.columns],
-            "mix_block",
-            "mix_slot",
-            F.expr(f"mix_start + mix_rank % {size}").alias("mix_position"),
-        )
-    own = plan.selectExpr("explode_outer(arrays_zip(s.source, quota)) AS x").selectExpr(
-        "x.source AS mix_source", "x.quota AS own"
-    )
     rows = ranked(plain).withColumn("mix_block", F.expr(f"mix_rank div {size}"))
-    placed = (
-        rows.join(F.broadcast(own), "mix_source")
-        .withColumn("round", F.expr("mix_block div own"))
-        .withColumn("mix_j", F.expr("mix_block % own"))
-        .join(F.broadcast(pattern(plan)), ["mix_source", "mix_j"])
-    )
-    earlier = (
-        f"aggregate(zip_with(arrays_zip(mix_total, mix_quota), mix_before, (x, b) -> "
-        f"least(x.mix_total, {size}L * (round * x.mix_quota + b))), 0L, (a, x) -> a + x)"
-    )
-    return placed.select(
+    return rows.join(schedule(sources(plain, weights), size), ["mix_source", "mix_block"]).select(
         *[F.col(c) for c in plain.columns],
         "mix_block",
-        F.expr("round * mix_period + mix_slot").alias("mix_slot"),
-        F.expr(f"{earlier} + mix_rank % {size}").alias("mix_position"),
+        "mix_slot",
+        F.expr(f"mix_start + mix_rank % {size}").alias("mix_position"),
     )
 
 
@@ -285,8 +217,8 @@ def in_order(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def sql(block: int = BLOCK, period: int = PERIOD) -> str:
-    """The positions of :func:`mixed` with default weights and without ``exact``, as one query over ``documents``."""
+def sql(block: int = BLOCK) -> str:
+    """The positions of :func:`mixed` with default weights as one query over ``documents``, slot by slot."""
     return f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source,
@@ -294,39 +226,32 @@ WITH RECURSIVE d AS (
            ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rk
   FROM documents),
 c AS (SELECT source, count(*) AS n FROM d GROUP BY source),
-r AS (SELECT source, n, greatest(1, CAST(floor(sqrt(n) * 1000) AS BIGINT)) AS root,
-             row_number() OVER (ORDER BY source) AS i FROM c),
-t AS (SELECT greatest({period}, 2 * count(*)) AS q, count(*) AS k, sum(root) AS total FROM r),
-f AS (SELECT i, source, n, q,
-             1 + ((q - k) * root) // total AS least,
-             row_number() OVER (ORDER BY ((q - k) * root) % total DESC, i) AS by_rest
-      FROM r, t),
-z AS (SELECT CAST(q - sum(least) OVER () AS BIGINT) AS unshared, * FROM f),
-s AS (SELECT i, source, n, q,
-             CAST(least + CASE WHEN by_rest <= unshared THEN 1 ELSE 0 END AS BIGINT) AS quota
-      FROM z),
-lists AS (SELECT list(quota ORDER BY i) AS quota, list(n ORDER BY i) AS total,
-                 CAST(any_value(q) AS BIGINT) AS q FROM s),
+r AS (SELECT source, n, greatest(1, CAST(floor(sqrt(n)) AS BIGINT)) AS w,
+             (n + {block - 1}) // {block} AS blocks, row_number() OVER (ORDER BY source) AS i FROM c),
+lists AS (SELECT list(w ORDER BY i) AS w, list(blocks ORDER BY i) AS blocks, list(n ORDER BY i) AS n,
+                 CAST(sum(w) AS BIGINT) AS total, CAST(sum(blocks) AS BIGINT) AS slots FROM r),
 fold AS (
-  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS pick, list_transform(quota, lambda x: CAST(0 AS BIGINT)) AS before,
-         list_transform(quota, lambda x: CAST(0 AS BIGINT)) AS used FROM lists
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS pick, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS before,
+         list_transform(w, lambda x: CAST(0 AS BIGINT)) AS used, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS base,
+         CAST(0 AS BIGINT) AS since, total FROM lists
   UNION ALL
-  SELECT slot, pick, used,
-         list_transform(used, lambda u, i: CASE WHEN i = pick THEN u + 1 ELSE u END)
+  SELECT slot, pick, used, after, CASE WHEN ended THEN after ELSE base END,
+         CASE WHEN ended THEN slot + 1 ELSE since END, CASE WHEN ended THEN total - w[pick] ELSE total END
   FROM (
-    SELECT slot + 1 AS slot, used,
-      list_min(list_filter(list_transform(quota, lambda n, i:
-        CASE WHEN used[i] < n AND (used[i] * q) // n <= slot + 1
-             THEN (((used[i] + 1) * q + n - 1) // n) * 1000000 + i END),
-        lambda x: x IS NOT NULL)) % 1000000 AS pick
-    FROM fold, lists WHERE slot + 1 < q)),
+    SELECT *, list_transform(used, lambda u, i: CASE WHEN i = pick THEN u + 1 ELSE u END) AS after,
+           used[pick] + 1 = blocks[pick] AS ended
+    FROM (
+      SELECT slot + 1 AS slot, used, base, since, fold.total, w, blocks,
+        list_min(list_filter(list_transform(w, lambda v, i:
+          CASE WHEN used[i] < blocks[i] AND ((used[i] - base[i]) * fold.total) // v <= slot + 1 - since
+               THEN (((used[i] - base[i] + 1) * fold.total + v - 1) // v) * 1000000 + i END),
+          lambda x: x IS NOT NULL)) % 1000000 AS pick
+      FROM fold, lists WHERE slot + 1 < slots))),
 p AS (SELECT slot, pick AS i, before[pick] AS j, before FROM fold WHERE slot >= 0)
-SELECT d.doc_id, d.source, d.rk // {block} AS block,
-       (d.rk // {block}) // s.quota * s.q + p.slot AS slot,
-       CAST(list_sum(list_transform(p.before, lambda b, i: least(lists.total[i],
-         {block} * ((d.rk // {block}) // s.quota * lists.quota[i] + b)))) + d.rk % {block} AS BIGINT)
+SELECT d.doc_id, d.source, d.rk // {block} AS block, p.slot,
+       CAST(list_sum(list_transform(p.before, lambda b, i: least(lists.n[i], {block} * b))) + d.rk % {block} AS BIGINT)
          AS position
-FROM d JOIN s ON s.source = d.source
-JOIN p ON p.i = s.i AND p.j = (d.rk // {block}) % s.quota
+FROM d JOIN r ON r.source = d.source
+JOIN p ON p.i = r.i AND p.j = d.rk // {block}
 CROSS JOIN lists
 """
