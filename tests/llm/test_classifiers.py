@@ -1,5 +1,7 @@
 """Quality and toxicity: held-out accuracy on the given tables, the discriminant's arithmetic."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -74,3 +76,50 @@ def test_unseen_misspellings_are_near(words):
     model = toxicity.train(bags, np.array(labels, float))
     unseen, plain = model.word_logits(["zorblatyy", "qmenlop"])
     assert unseen > 5 * abs(plain)
+
+
+def _toxic_sample(toxic, clean, n, seed):
+    rng = random.Random(seed)
+    weights = [1 / (i + 10) for i in range(len(clean))]
+    bags, labels = [], []
+    for label in (0, 1):
+        for _ in range(n):
+            words = rng.choices(clean, weights=weights, k=rng.randint(30, 90))
+            bags.append(set(words + (rng.sample(toxic, 2) if label else [])))
+            labels.append(label)
+    return bags, np.array(labels, float)
+
+
+@pytest.mark.parametrize("kinds", [20, 100, 200])
+def test_toxic_vocabularies_of_any_size(kinds):
+    rng = random.Random(99)
+    words = sorted({"".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(4, 9))) for _ in range(3200)})
+    rng.shuffle(words)
+    model = toxicity.train(*_toxic_sample(words[:kinds], words[kinds:], 1500, 1))
+    bags, labels = _toxic_sample(words[:kinds], words[kinds:], 300, 2)
+    logits = [model.word_logits(sorted(b)).sum() / (len(b) + toxicity.SMOOTH) + model.bias for b in bags]
+    flagged = 1 / (1 + np.exp(-np.array(logits))) >= 0.3
+    assert flagged[labels == 1].mean() >= 0.85 and flagged[labels == 0].mean() <= 0.05
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(3)
+    up = toxicity._Mean(rng.integers(0, 6, 20), rng.integers(0, 5, 20), np.full(5, 0.3), 6, 5)
+    pool = toxicity._Mean(rng.integers(0, 5, 15), rng.integers(0, 4, 15), np.full(4, 0.2), 5, 4)
+    labels, share = np.array([0.0, 1, 1, 0]), np.array([0.2, 0.3, 0.1, 0.4])
+    rarity = rng.random((6, 1)).astype(np.float32)
+    weights = {
+        "table": rng.normal(0, 0.1, (6, 8)).astype(np.float32),
+        "out": rng.normal(0, 0.1, 8).astype(np.float32),
+        "bias": np.array([0.1], np.float32),
+    }
+    rest = (up, pool, rarity, labels, share)
+    gradient = toxicity._gradient(weights, *rest)
+    for name, values in weights.items():
+        for at in np.ndindex(values.shape):
+            moved = []
+            for step in (0.01, -0.01):
+                other = {k: v.astype(np.float64).copy() for k, v in weights.items()}
+                other[name][at] += step
+                moved.append(toxicity._loss_and_error(other, *rest)[0])
+            assert gradient[name][at] == pytest.approx((moved[0] - moved[1]) / 0.02, abs=2e-3)

@@ -3,14 +3,18 @@
 A word is the bag of its character n-grams, hashed to rows of an embedding table, so a
 misspelling never seen before shares most vectors with the word it imitates. A text is
 the mean over its distinct words. Table and softmax are trained jointly, in numpy, on a
-bounded sample of the labelled rows. The model is linear after the averaging, so a word
+bounded sample of the labelled rows; an n-gram has a vector where its share of texts
+differs between the classes by more than chance explains, for either class and however many
+there are, and weight decay holds back the rest of the noise. The model is linear after the averaging, so a word
 contributes one fixed figure and each task computes it once per distinct word.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -19,12 +23,10 @@ from usagelens.llm.tables import map_columns, texts
 
 #: Rows of each class that the model is trained on, at most (by hash of the id).
 SAMPLE = 1500
-BUCKET_BITS, WIDTH, FIRST_EPOCHS, EPOCHS, RATE = 18, 8, 12, 40, 0.1
-#: N-grams that keep a vector after each of the first bouts: those that speak most for class 1.
-CUTS = (1000, 400, 150)
+BUCKET_BITS, WIDTH, EPOCHS, RATE, DECAY = 18, 8, 80, 0.02, 1e-4
 BUCKETS = 1 << BUCKET_BITS
-#: N-grams of fewer sample texts than this keep a zero vector.
-SEEN_IN = 8
+#: Standard errors by which an n-gram's shares of the two classes must differ.
+EVIDENCE = 3.0
 SHORTEST, LONGEST = 4, 6
 #: The mean is multiplied by this before the softmax: a text holds few telling words.
 SHARPNESS = 40.0
@@ -72,8 +74,23 @@ class Model:
         return sums / np.maximum(np.bincount(owners, minlength=len(words)), 1)
 
 
+def evidence(bags: list[np.ndarray], gram: np.ndarray, first: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Standard errors between the shares of both classes' texts that hold each n-gram, and its texts.
+
+    ``gram`` lists the n-grams of word ``w`` from ``first[w]`` to ``first[w + 1]``.
+    """
+    held = np.zeros((2, BUCKETS))
+    for bag, label in zip(bags, labels):
+        if len(bag):
+            held[int(label), np.unique(np.concatenate([gram[first[w] : first[w + 1]] for w in bag]))] += 1
+    n = np.array([(labels == c).sum() for c in (0, 1)], float)
+    pooled = held.sum(0) / n.sum()
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n).sum())
+    return np.abs(held[1] / n[1] - held[0] / n[0]) / error, held.sum(0)
+
+
 def train(samples: list[set[str]], labels: np.ndarray, seed: int = 7) -> Model:
-    """Fit table and softmax by full-batch descent with momentum on bags of distinct words.
+    """Fit table and softmax by full-batch descent with moments on bags of distinct words.
 
     Words of a single text teach nothing that carries over and are left out. With one
     class only, or nothing at all, the model is the constant prior.
@@ -81,52 +98,61 @@ def train(samples: list[set[str]], labels: np.ndarray, seed: int = 7) -> Model:
     prior = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)) if len(labels) else 0.0
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(prior))
-    order: dict[str, int] = {}
-    seen: dict[str, int] = {}
-    for words in samples:
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-    for w in sorted(w for w, n in seen.items() if n > 1):
-        order[w] = len(order)
+    seen = Counter(chain.from_iterable(samples))
+    order = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n > 1))}
     bags = [np.array(sorted(order[w] for w in words if w in order), np.int64) for words in samples]
-    gram, word_of_gram = grams(list(order))
+    gram, word_of_gram = grams(list(order)) if order else (np.zeros(0, np.int64),) * 2
+    by_word = np.argsort(word_of_gram, kind="stable")
+    gram, word_of_gram = gram[by_word], word_of_gram[by_word]
     per_word = np.bincount(word_of_gram, minlength=len(order))
-    seen_in = np.bincount(gram, np.array([seen[w] for w in order])[word_of_gram], BUCKETS)
-    kept = seen_in[gram] >= SEEN_IN
+    strength, texts_with = evidence(bags, gram, np.r_[0, np.cumsum(per_word)], labels)
+    kept = strength[gram] >= EVIDENCE
     gram, word_of_gram = gram[kept], word_of_gram[kept]
+    rows, position = np.unique(gram, return_inverse=True)
     doc_of_word = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    word = np.concatenate(bags)
     smooth = 1 / np.array([len(s) + SMOOTH for s in samples])
-    pool = _Mean(word, doc_of_word, smooth, len(order), len(bags))
-    rng = np.random.default_rng(seed)
+    pool = _Mean(np.concatenate(bags), doc_of_word, smooth, len(order), len(bags))
+    up = _Mean(position, word_of_gram, 1 / np.maximum(per_word, 1), len(rows), len(order))
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
-    out, bias = np.full(WIDTH, WIDTH**-0.5, np.float32), 0.0
-
-    rows = np.unique(gram)
-    table = rng.normal(0, 0.01, (len(rows), WIDTH)).astype(np.float32)
-    for epochs, cut in (*((FIRST_EPOCHS, c) for c in CUTS), (EPOCHS, 0)):
-        position = np.searchsorted(rows, gram)
-        rarity = np.sqrt(len(samples) / seen_in[rows]).astype(np.float32)[:, None]
-        up = _Mean(position, word_of_gram, 1 / np.maximum(per_word, 1), len(rows), len(order))
-        moving = 0.0
-        for _ in range(epochs):
-            mean = pool.forward(up.forward(rarity * table))
-            logit = np.clip(SHARPNESS * (mean @ out) + bias, -60, 60)
-            error = ((1 / (1 + np.exp(-logit)) - labels) * share).astype(np.float32)
-            gradient = rarity * up.backward(pool.backward(error[:, None] * out[None, :]))
-            out_gradient = mean.T @ error
-            moving = 0.8 * moving + gradient / (np.abs(gradient).max(initial=0) + 1e-12)
-            table = table - RATE * moving
-            out = out - RATE * out_gradient / (np.abs(out_gradient).max() + 1e-12)
-            bias -= RATE * 20 * float(error.sum())
-        if cut:
-            chosen = np.sort(np.argsort(-(table @ out), kind="stable")[:cut])
-            rows, table = rows[chosen], table[chosen]
-            kept = np.isin(gram, rows)
-            gram, word_of_gram = gram[kept], word_of_gram[kept]
+    rarity = np.sqrt(len(samples) / texts_with[rows]).astype(np.float32)[:, None]
+
+    rng = np.random.default_rng(seed)
+    weights = {
+        "table": rng.normal(0, 0.01, (len(rows), WIDTH)).astype(np.float32),
+        "out": np.full(WIDTH, WIDTH**-0.5, np.float32),
+        "bias": np.zeros(1, np.float32),
+    }
+    moments = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in weights.items()}
+    for epoch in range(1, EPOCHS + 1):
+        gradient = _gradient(weights, up, pool, rarity, labels, share)
+        for k, w in weights.items():
+            g = gradient[k] + DECAY * w * (k == "table")
+            first, second = (0.9 * moments[k][0] + 0.1 * g, 0.99 * moments[k][1] + 0.01 * g * g)
+            moments[k] = first, second
+            step = first / (1 - 0.9**epoch) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-6)
+            weights[k] = w - RATE * (5 if k == "bias" else 1) * step
     full = np.zeros(BUCKETS, np.float32)
-    full[rows] = SHARPNESS * (rarity * table @ out)
-    return Model(full, float(bias))
+    full[rows] = SHARPNESS * (rarity * weights["table"] @ weights["out"])
+    return Model(full, float(weights["bias"][0]))
+
+
+def _loss_and_error(weights, up, pool, rarity, labels, share):
+    """The weighted log loss, its slope by each text's logit, and the texts' vectors."""
+    mean = pool.forward(up.forward(rarity * weights["table"]))
+    logit = np.clip(SHARPNESS * (mean @ weights["out"]) + weights["bias"], -60, 60)
+    chance = 1 / (1 + np.exp(-logit))
+    loss = -(share * np.log(np.where(labels == 1, chance, 1 - chance))).sum()
+    return loss, ((chance - labels) * share).astype(np.float32), mean
+
+
+def _gradient(weights, up, pool, rarity, labels, share) -> dict[str, np.ndarray]:
+    _, error, mean = _loss_and_error(weights, up, pool, rarity, labels, share)
+    back = up.backward(pool.backward(error[:, None] * weights["out"][None, :]))
+    return {
+        "table": SHARPNESS * rarity * back,
+        "out": SHARPNESS * (mean.T @ error),
+        "bias": error.sum(keepdims=True),
+    }
 
 
 class _Mean:
@@ -157,23 +183,31 @@ class _Mean:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``labels`` (``doc_id``, ``label`` 0 or 1); other and null labels are ignored.
 
-    At most ``sample`` rows of each class are used, whole texts, chosen by a hash of the id.
+    At most ``sample`` ids of each class are used, whole texts, chosen by a hash of the id; of
+    rows with equal ids the smallest text. Texts become sets of words on the executors, so
+    their length does not matter to the driver, only their vocabulary.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "label").where(
-        F.col("label").isin(0, 1)
-    )
+        F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()
+    ).distinct()
     picked = [
         known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         for c in (0, 1)
     ]
-    rows = (
+    chosen = (
         texts(docs)
         .join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-        .select("doc_id", "text", "label")
-        .toPandas()
-        .sort_values(["doc_id", "label"])
+        .groupBy("doc_id", "label")
+        .agg(F.min("text").alias("text"))
     )
-    return train([distinct_words(t) for t in rows["text"]], rows["label"].to_numpy(np.float64))
+
+    def bags(batch):
+        found = [sorted(distinct_words(t)) for t in batch["text"]]
+        return {"doc_id": batch["doc_id"], "label": batch["label"], "words": found}
+
+    kinds = f"doc_id long, label {chosen.schema['label'].dataType.simpleString()}, words array<string>"
+    rows = map_columns(chosen, bags, kinds).toPandas().sort_values(["doc_id", "label"])
+    return train([set(w) for w in rows["words"]], rows["label"].to_numpy(np.float64))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
