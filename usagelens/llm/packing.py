@@ -53,9 +53,15 @@ def token_source(path: str, end_id: int):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    # A text that spells an added token, in whatever case, takes the whole pipeline too.
-    added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-    spells = re.compile("|".join(added) if added else r"(?!)", re.IGNORECASE).search
+    # A text that spells an added token takes the whole pipeline too, in any case of letters
+    # where the token is looked for in the normalised text.
+    tokens = tokenizer.get_added_tokens_decoder().values()
+    exact = [t.content for t in tokens if not t.normalized]
+    loose = [t.content.lower() for t in tokens if t.normalized]
+
+    def spells(text: str) -> bool:
+        return any(t in text for t in exact) or bool(loose) and any(t in text.lower() for t in loose)
+
     merge = tokenizer.model.tokenize
     unusual, plain = re.compile(_UNUSUAL_SPACE), re.compile(_PLAIN).fullmatch
     known: dict[str, bytes] = {}
