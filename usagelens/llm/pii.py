@@ -2,15 +2,18 @@
 
 Fixed base rules find the plain forms of e-mail addresses, IP numbers, payment cards and
 phone numbers in every text. These are the seeds: the words around them induce lexical
-patterns. The same words around other candidates (identifiers written in a loose form that
-no base rule accepts, and any further token with a digit) tie patterns to instances. Spark
-scores this graph in rounds: a pattern is as good as the share of its instances that are
-believed to be of one kind, an instance as good as its patterns together. Loose
-candidates that end above a threshold join the base spans; base spans always stay.
+patterns. The same words around other candidates tie patterns to instances: identifiers
+in a loose form that no base rule accepts, and any further token with a digit or an
+at-sign, as the kind that its characters make plausible, if any. Spark scores this graph in
+rounds: a pattern that holds enough known instances of a kind is as good as their share of
+all its instances, an instance as good as its trusted patterns together. Instances that are
+believed are known in the next round and induce patterns of their own. Candidates that end
+above a threshold join the base spans; base spans always stay.
 """
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from usagelens.llm.tables import arrow_schema, record_batch, spread_join, texts
+from usagelens.llm.tables import arrow_schema, record_batch, spread_join, texts, unused
 from usagelens.session import written
 
 #: Kinds in the order of their listing.
@@ -33,18 +36,27 @@ _CARD = r"[0-9]([\x20-]?[0-9])+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 # --- loose forms that the base rules do not accept --------------------------------------
+_NAME = r"(?<![\w.%+-])[\w.%+-]+"
 _LOOSE = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64} ?(?:@|[\[(](?:at|@)[\])]) ?[A-Za-z0-9-]{1,63}"
-    r"(?: ?(?:\.|[\[(](?:dot|\.)[\])]) ?[A-Za-z0-9-]{2,63}){1,4}",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(](?:dot|\.)[\])] ?[0-9]{1,3}){3}(?![0-9])",
-    "card": r"(?<![0-9._/])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9._/])",
-    "phone": r"(?<![0-9+.-])(?:00|\()?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ ./-][0-9]{2,5}(?![0-9.-])",
+    "email": [
+        _NAME + r" ?(?:@|[\[(](?:at|@)[\])]) ?[A-Za-z0-9-]+"
+        r"(?: ?(?:\.|[\[(](?:dot|\.)[\])]) ?[A-Za-z0-9-]{2,})+",
+        _NAME + r" (?:at|AT) [A-Za-z0-9-]+(?: (?:dot|DOT) [A-Za-z0-9-]+)+",
+    ],
+    "ip": [r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(](?:dot|\.)[\])] ?[0-9]{1,3}){3}(?![0-9])"],
+    "card": [r"(?<![0-9._/])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9._/])"],
+    "phone": [
+        r"(?<![0-9+.-])(?:00|\()?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ ./-][0-9]{2,5}(?![0-9.-])"
+    ],
 }
-_DIGITS = r"[0-9]\S{0,40}"
+_TOKEN = r"\S+"
+_MARKS = ".,;:!?\"'()[]{}<>"
 _AROUND = r"\w+|[^\w\s]"
 
-#: Seeds a pattern needs, rounds of scoring, and the score at which a candidate is taken.
-SUPPORT, ROUNDS, BELIEVED = 5, 3, 0.8
+#: Known instances a pattern needs, and the share of all its instances that they must be.
+SUPPORT, TRUSTED = 5, 0.5
+#: Rounds of scoring, and the score at which a candidate is believed.
+ROUNDS, BELIEVED = 3, 0.8
 
 FOUND = (
     "row_id long, doc_id long, key binary, base array<struct<kind: string, start: long, end: long>>, "
@@ -90,35 +102,69 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def plausible(token: str) -> str:
+    """The kind that a token may be of by its characters, else ``other``."""
+    digits = re.sub("[^0-9]", "", token) if len(token) < 64 else ""
+    if re.fullmatch(r"[\w.%+-]+@[\w.-]+", token):
+        return "email"
+    if re.fullmatch(r"[0-9]{1,3}(?:[-_:,][0-9]{1,3}){3}", token):
+        return "ip" if all(int(p) < 256 for p in re.findall("[0-9]+", token)) else "other"
+    if re.fullmatch(r"[0-9+()./:_-]+", token):
+        if 12 <= len(digits) <= 19 and _luhn(digits):
+            return "card"
+        if 9 <= len(digits) <= 15:
+            return "phone"
+    return "other"
+
+
 def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Candidates of no base rule, and as ``other`` the remaining tokens with a digit."""
-    out, blocked = [], sorted(s[1:] for s in taken)
-    digits_at = re.search("[0-9]", text)
+    """Candidates of no base rule: loose forms, then the remaining tokens with a digit or @."""
+    out = []
+    digit, at = re.search("[0-9]", text), "@" in text
+    starts: list[int] = []
+    ends: list[int] = []
+
+    def block(spans):
+        """Make the sorted, disjoint list of places that are taken."""
+        old = list(zip(starts, ends))
+        starts.clear(), ends.clear()
+        for start, end in sorted(old + spans):
+            if ends and start < ends[-1]:
+                ends[-1] = max(ends[-1], end)
+            else:
+                starts.append(start), ends.append(end)
 
     def free(start: int, end: int) -> bool:
-        return all(e <= start or s >= end for s, e in blocked)
+        i = bisect_left(starts, end)
+        return i == 0 or ends[i - 1] <= start
 
-    for kind, rule in _LOOSE.items():
-        if kind == "email" and not ("@" in text or "at)" in text or "at]" in text):
-            continue
-        if kind != "email" and not digits_at:
+    block([s[1:] for s in taken])
+    written_out = at or any(w in text for w in ("at)", "at]", " dot ", " DOT "))
+    for kind, rules in _LOOSE.items():
+        if not (written_out if kind == "email" else digit):
             continue
-        for m in re.finditer(rule, text):
-            digits = re.sub(r"[^0-9]", "", m.group())
-            fits = {
-                "email": True,
-                "ip": all(int(p) < 256 for p in re.findall(r"[0-9]+", m.group())),
-                "card": 12 <= len(digits) <= 19 and _luhn(digits),
-                "phone": 9 <= len(digits) <= 15,
-            }[kind]
-            if fits and free(*m.span()):
-                out.append((kind, *m.span()))
-                blocked.append(m.span())
-    for m in re.finditer(_DIGITS, text) if digits_at else ():
-        head = text[max(0, m.start() - 40) : m.start()]
-        start = m.start() - len(head) + (max(map(head.rfind, " \n\t")) + 1)
-        if free(start, m.end()):
-            out.append(("other", start, m.end()))
+        for rule in rules:
+            new = []
+            for m in re.finditer(rule, text):
+                digits = re.sub(r"[^0-9]", "", m.group())
+                fits = {
+                    "email": True,
+                    "ip": kind == "ip" and all(int(p) < 256 for p in re.findall(r"[0-9]+", m.group())),
+                    "card": 12 <= len(digits) <= 19 and _luhn(digits),
+                    "phone": 9 <= len(digits) <= 15,
+                }[kind]
+                if fits and free(*m.span()):
+                    new.append(m.span())
+            out += [(kind, *span) for span in new]
+            if new:
+                block(new)
+    for m in re.finditer(_TOKEN, text) if digit or at else ():
+        token = m.group()
+        if re.search("[0-9@]", token):
+            start = m.start() + len(token) - len(token.lstrip(_MARKS))
+            token = token.strip(_MARKS)
+            if token and free(start, start + len(token)):
+                out.append((plausible(token), start, start + len(token)))
     return out
 
 
@@ -179,54 +225,55 @@ def _key(text):
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
-def believed(rows: DataFrame) -> DataFrame:
-    """``kind`` and ``instance`` of the loose candidates that end above the threshold.
+def beliefs(rows: DataFrame) -> DataFrame:
+    """``kind``, ``instance`` and ``belief`` of the candidates that trusted patterns hold.
 
-    ``rows`` is a written table of :func:`found`. Only patterns with enough distinct
-    seeds take part, and a copied document adds no support.
+    ``rows`` is a written table of :func:`found`. A copied document adds no support, as
+    patterns count distinct instances. Only patterns that could ever have enough
+    support keep their edges.
     """
-    edges = (
+    edges = written(
         rows.select(F.explode("mentions").alias("m"))
         .select("m.kind", "m.instance", "m.seed", F.explode("m.patterns").alias("pattern"))
         .groupBy("kind", "pattern", "instance")
-        .agg(F.max(F.col("seed").cast("double")).alias("seed"))
+        .agg(F.max(F.col("seed").cast("int")).alias("seed")),
+        "pii-edges",
     )
-    strong = (
-        edges.where("seed = 1")
-        .groupBy("kind", "pattern")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= SUPPORT)
-        .select("pattern")
-        .distinct()
+    by_kind = edges.groupBy("pattern", "kind").agg(
+        F.sum("seed").alias("seeds"), F.count("*").alias("n")
     )
-    graph = spread_join(edges, strong, ["pattern"], "instance")
-    graph = written(graph.withColumn("score", F.col("seed")), "pii-graph")
+    total = by_kind.groupBy("pattern").agg(F.sum("n").alias("total"))
+    wanted = (F.col("kind") != "other") & (F.col("n") >= SUPPORT)
+    patterns = written(by_kind.where(wanted).join(total, "pattern"), "pii-patterns")
+    unknown = spread_join(
+        edges.where("seed = 0"), patterns.select("pattern", "kind"), ["pattern", "kind"], "instance"
+    )
+    unknown = written(unknown.select("kind", "pattern", "instance"), "pii-graph")
+    out = unknown.select("kind", "instance", F.lit(0.0).alias("belief")).limit(0)
     for _ in range(ROUNDS):
-        share = graph.groupBy("pattern", "kind").agg(
-            F.sum("score").alias("good"), F.count("*").alias("n")
+        held = (
+            spread_join(unknown, out, ["kind", "instance"], "pattern")
+            .groupBy("pattern", "kind")
+            .agg(
+                F.sum("belief").alias("more"),
+                F.sum((F.col("belief") >= BELIEVED).cast("long")).alias("known"),
+            )
         )
-        total = share.groupBy("pattern").agg(F.sum("n").alias("total"))
-        trust = share.join(total, "pattern").select(
-            "pattern", "kind", (F.col("good") / F.col("total")).alias("trust")
+        trust = (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("total")
+        trusted = (
+            patterns.join(held, ["pattern", "kind"], "left")
+            .where(F.col("seeds") + F.coalesce("known", F.lit(0)) >= SUPPORT)
+            .select("pattern", "kind", trust.alias("trust"))
+            .where(F.col("trust") >= TRUSTED)
         )
         doubt = F.log(1 - F.least(F.col("trust"), F.lit(0.999)))
-        scores = (
-            spread_join(graph, trust, ["pattern", "kind"], "instance")
+        out = written(
+            spread_join(unknown, trusted, ["pattern", "kind"], "instance")
             .groupBy("kind", "instance")
-            .agg((1 - F.exp(F.sum(doubt))).alias("belief"))
-        )
-        graph = spread_join(graph, scores, ["kind", "instance"], "pattern").select(
-            "kind",
-            "pattern",
-            "instance",
-            "seed",
-            F.when(F.col("kind") == "other", 0.0)
-            .otherwise(F.greatest("seed", "belief"))
-            .alias("score"),
+            .agg((1 - F.exp(F.sum(doubt))).alias("belief")),
+            "pii-beliefs",
         )
-        graph = written(graph, "pii-graph")
-    good = (F.col("seed") == 0) & (F.col("kind") != "other") & (F.col("score") >= BELIEVED)
-    return graph.where(good).select("kind", "instance").distinct()
+    return out
 
 
 def extracted(docs: DataFrame) -> DataFrame:
@@ -236,7 +283,8 @@ def extracted(docs: DataFrame) -> DataFrame:
 
     ``spans`` holds the base spans and the discovered ones, by start and then kind; offsets
     are code points, ends exclusive. Null and empty texts have none; repeated rows are
-    treated alike; other columns are ignored; no row gives no row.
+    treated alike; other columns are ignored; no row gives no row. A text is searched in
+    time linear in its length, and all its mentions are one row.
     """
     rows = written(found(docs), "pii-found")
     loose = (
@@ -244,8 +292,9 @@ def extracted(docs: DataFrame) -> DataFrame:
         .where("NOT m.seed AND m.kind <> 'other'")
         .select("row_id", "m.kind", "m.instance", "m.start", "m.end")
     )
+    known = beliefs(rows).where(F.col("belief") >= BELIEVED).select("kind", "instance")
     added = (
-        loose.join(believed(rows), ["kind", "instance"])
+        spread_join(loose, known, ["kind", "instance"], "row_id")
         .groupBy("row_id")
         .agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     )
@@ -294,12 +343,13 @@ def redacted(docs: DataFrame) -> DataFrame:
     Columns and rows stay; ``n_chars``, where present, is the new length. Null texts
     stay null. Of overlapping spans the first gives the name, and all are covered.
     """
+    an_id, a_key, a_text, a_list = unused(docs, "pii_id", "pii_key", "pii_text", "pii_spans")
     spans = (
         extracted(docs)
         .where("size(spans) > 0")
-        .select(F.col("doc_id").alias("pii_id"), F.col("key").alias("pii_key"), "spans")
-        .dropDuplicates(["pii_id", "pii_key"])
-        .withColumnRenamed("spans", "pii_spans")
+        .select(F.col("doc_id").alias(an_id), F.col("key").alias(a_key), "spans")
+        .dropDuplicates([an_id, a_key])
+        .withColumnRenamed("spans", a_list)
     )
 
     @F.pandas_udf("string")
@@ -308,13 +358,13 @@ def redacted(docs: DataFrame) -> DataFrame:
             [t if f is None or t is None else without(t, f) for t, f in zip(text, found)]
         )
 
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("pii_id"))
-    keyed = docs.withColumn("pii_text", _key(F.col("text")))
-    joined = keyed.join(spans, same & (F.col("pii_text") == F.col("pii_key")), "left")
-    out = joined.withColumn("text", replace(F.col("text").cast("string"), "pii_spans"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(an_id))
+    keyed = docs.withColumn(a_text, _key(F.col("text")))
+    joined = keyed.join(spans, same & (F.col(a_text) == F.col(a_key)), "left")
+    out = joined.withColumn("text", replace(F.col("text").cast("string"), a_list))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        same = F.col("pii_spans").isNull()
+        same = F.col(a_list).isNull()
         out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(length))
     return out.select(docs.columns)
 

@@ -31,6 +31,16 @@ def texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def map_columns(
     df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str
 ) -> DataFrame:
