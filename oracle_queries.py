@@ -247,6 +247,58 @@ GROUP BY bin, lo, hi, user_practice"""
 LEVELS = [f"L{i}" for i in range(1, 11)]
 
 
+def _segments(k: int = 4) -> str:
+    """K-means in whole numbers: hashed k-means++ draws, then rounds until no centre moves."""
+    inputs = ("sessions", "api_calls", "prompts", "total_cost", "avg_prompt_len")
+    figures = ", ".join(
+        f"min({c}) AS lo{j}, max({c}) AS hi{j}, CAST(format('{{:.5e}}', stddev_pop({c})) AS DOUBLE) AS sd{j}"
+        for j, c in enumerate(inputs, 1)
+    )
+    whole = ", ".join(
+        f"CASE WHEN lo{j} = hi{j} THEN 0 ELSE"
+        f" CAST(floor((CAST({c} AS DOUBLE) - CAST(lo{j} AS DOUBLE)) / sd{j} * 1024.0) AS BIGINT) END"
+        for j, c in enumerate(inputs, 1)
+    )
+    away = "list_transform(c, lambda x: " + " + ".join(f"(x[{j}] - z[{j}]) * (x[{j}] - z[{j}])" for j in range(1, 6)) + ")"
+    mean = ", ".join(f"CAST(sum(z[{j}]) // count(*) AS BIGINT)" for j in range(1, 6))
+    draw = "-ln((CAST(CAST('0x' || md5((42 + r) || ':' || step || ':' || user_email)[1:13] AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)"
+    return f"""
+u AS MATERIALIZED (SELECT user_email, user_practice, {", ".join(inputs)} FROM ({USER_SQL})),
+p AS MATERIALIZED (SELECT user_email, [{whole}] AS z FROM u, (SELECT {figures} FROM u)),
+drawn AS (
+  SELECT CAST(r AS BIGINT) AS r, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[][]) AS c FROM range(10) AS g(r)
+  UNION ALL
+  SELECT r, step + 1, list_append(c, coalesce(arg_min(z, run), any_value(c[1]))) FROM (
+    SELECT r, step, c, z, CASE WHEN step = 0 THEN {draw}
+             WHEN list_min({away}) > 0 THEN {draw} / CAST(list_min({away}) AS DOUBLE) END AS run
+    FROM drawn, p WHERE step < {k})
+  GROUP BY r, step, c),
+moved AS (
+  SELECT r, CAST(0 AS BIGINT) AS t, c FROM drawn WHERE step = {k}
+  UNION ALL
+  SELECT r, t + 1, following FROM (
+    SELECT r, t, c, list_transform(range(1, {k + 1}), lambda j:
+             coalesce(list_extract(list_filter(list(new), lambda e: e.i = j), 1).v, c[j])) AS following
+    FROM (
+      SELECT r, t, c, {{'i': i, 'v': [{mean}]}} AS new
+      FROM (SELECT r, t, c, z, list_position({away}, list_min({away})) AS i FROM moved, p)
+      GROUP BY r, t, c, i)
+    GROUP BY r, t, c)
+  WHERE following <> c AND t < 299),
+best AS (
+  SELECT c FROM (SELECT r, t, c, sum(list_min({away})) AS total FROM moved, p GROUP BY r, t, c)
+  ORDER BY total, r, t LIMIT 1),
+clustered AS (
+  SELECT u.*, CAST(CASE WHEN (SELECT count(*) FROM u) >= {k} THEN len(list_filter(range(1, {k + 1}), lambda j:
+           c[j][4] > c[i][4] OR (c[j][4] = c[i][4] AND j < i))) ELSE 0 END AS INTEGER) AS cluster
+  FROM (SELECT user_email, c, list_position({away}, list_min({away})) AS i FROM best, p)
+  JOIN u USING (user_email))"""
+
+
+def _recursive(ctes: str, body: str) -> str:
+    return f"WITH RECURSIVE {ctes}\n{body}"
+
+
 def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
@@ -391,6 +443,17 @@ JOIN who USING (session_id)""",
         "prompt_cost_correlation": _with(f"{EVENTS},{CORRELATION}", CORRELATION_SQL),
         "correlation_p_value": _with(f"{EVENTS},{CORRELATION}", P_VALUE_SQL),
         "user_features": _with(f"{EVENTS},{USER_WHO}", USER_SQL),
+        "user_engagement_clusters": _recursive(
+            f"{EVENTS},{USER_WHO},{_segments()}", "SELECT * FROM clustered"
+        ),
+        "cluster_summary": _recursive(
+            f"{EVENTS},{USER_WHO},{_segments()}",
+            """
+SELECT cluster, count(*) AS users, round_even(avg(total_cost), 2) AS avg_cost,
+       round_even(avg(sessions), 2) AS avg_sessions, round_even(avg(api_calls), 2) AS avg_api_calls,
+       round_even(avg(prompts), 2) AS avg_prompts
+FROM clustered GROUP BY cluster""",
+        ),
         "top_users_by_cost": _with(
             f"{EVENTS},{USER_WHO}",
             f"""

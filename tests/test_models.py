@@ -1,5 +1,6 @@
 """Outlier models, user segments and statistics against planted data and brute force."""
 
+import hashlib
 import math
 import random
 
@@ -95,6 +96,47 @@ def test_segments_recover_groups(spark, make_events):
     assert labels["g0"] == {0}
 
 
+def spread_users(spark):
+    """400 users in one plane, with repeated points, one far away and one feature that is constant."""
+    rng = random.Random(17)
+    rows = [(f"u{i}", rng.randrange(9), rng.randrange(40), 3, rng.expovariate(1), rng.random()) for i in range(399)]
+    rows.append(("far", 2, 5, 3, 5000.0, 0.5))
+    return spark.createDataFrame(rows, "user_email string, sessions long, api_calls long, prompts long, "
+                                 "total_cost double, avg_prompt_len double")
+
+
+def test_segment_rounds_equal_numpy(spark):
+    """Draws and rounds under 1, 4 and 16 partitions against a plain loop over the users."""
+    users = spread_users(spark)
+    points, n = segments._scaled(users)
+    names = [r.user_email for r in points.orderBy("user_email").collect()]
+    z = np.array([[r[f"z{j}"] for j in range(5)] for r in points.orderBy("user_email").collect()])
+    assert n == 400 and (z[:, 2] == 0).all()
+    centres = []
+    for step in range(4):
+        u = [int(hashlib.md5(f"43:{step}:{who}".encode()).hexdigest()[:13], 16) + 0.5 for who in names]
+        time = -np.log(np.array(u) / 2**52)
+        if centres:
+            weight = np.min([((z - c) ** 2).sum(axis=1) for c in centres], axis=0)
+            time = np.where(weight > 0, time / np.maximum(weight, 1), np.inf)
+        centres.append(tuple(int(v) for v in z[time.argmin()]))
+    away = np.stack([((z - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    label = away.argmin(axis=1)
+    means = [tuple(int(v) for v in z[label == i].sum(axis=0) // (label == i).sum()) for i in range(4)]
+    for partitions in (1, 4, 16):
+        some = points.repartition(partitions)
+        drawn = segments._first_centres(some, 4)
+        assert drawn[1] == centres
+        cost, moved = segments._moved(some, dict(enumerate(drawn)))[1]
+        assert cost == away.min(axis=1).sum() and moved == means
+
+
+def test_segments_of_equal_users(make_events):
+    rows = [{"user_email": f"u{i}", "event_name": "user_prompt", "prompt_length": 7} for i in range(6)]
+    result = segments.user_engagement_clusters(make_events(rows), 4).collect()
+    assert len(result) == 6 and len({r.cluster for r in result}) == 1
+
+
 def test_fewer_users_than_segments(spark, make_events):
     result = segments.user_engagement_clusters(grouped_events(make_events, 1), 4)
     assert {r.cluster for r in result.collect()} == {0}

@@ -1,12 +1,19 @@
-"""User segments by K-means on standardised engagement features."""
+"""User segments by K-means on scaled engagement features.
+
+Features are counted in whole 1024ths of their standard deviation, sums are whole numbers and
+random draws are hashes of the restart, the step and the user. So the segments are a
+function of the users alone, whatever the partitions. All restarts advance together: one
+aggregate picks the next first centre of each, one moves the centres of each. Only
+centres and their sums reach the driver.
+"""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.operators.users import user_features
 from usagelens.session import written
@@ -17,49 +24,130 @@ RESTARTS = 10
 SEED = 42
 MAX_ITERATIONS = 300
 
-# Users per partition of the training set; it only fixes the order of additions.
-_USERS_PER_PARTITION = 100_000
+#: Parts of a standard deviation in which features are counted.
+UNIT = 1024
+
+Centre = tuple[int, ...]
+
+
+def _scaled(users: DataFrame) -> tuple[DataFrame, int]:
+    """``users`` with whole-number features ``z0`` … and the number of users."""
+    figures = []
+    for c in INPUTS:
+        figures += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.stddev_pop(c).alias(c)]
+    seen = users.agg(F.count("*").alias("n"), *figures).first()
+
+    def whole(name: str) -> Column:
+        low, high = seen[f"min_{name}"], seen[f"max_{name}"]
+        if low == high:
+            return F.lit(0).cast("bigint")
+        # Six digits of the deviation do not depend on the order of the additions.
+        scale = float(f"{seen[name]:.5e}")
+        value = F.col(name).cast("double") - F.lit(float(low))
+        return F.floor(value / F.lit(scale) * F.lit(float(UNIT))).cast("bigint")
+
+    return users.withColumns({f"z{j}": whole(c) for j, c in enumerate(INPUTS)}), seen["n"]
+
+
+def _distance(centre: Centre) -> str:
+    return " + ".join(f"(z{j} - {c}L) * (z{j} - {c}L)" for j, c in enumerate(centre))
+
+
+def _nearest(centres: list[Centre]) -> str:
+    """The least distance ``d`` and its centre ``i``, ties to the smaller one, as a struct."""
+    pairs = [f"struct({_distance(c)} AS d, {i} AS i)" for i, c in enumerate(centres)]
+    return f"array_min(array({', '.join(pairs)}))"
+
+
+def _first_centres(points: DataFrame, n_clusters: int) -> list[list[Centre]]:
+    """k-means++ of every restart: users drawn by squared distance from those drawn before.
+
+    Each user runs for the time -ln(u) / weight, and the first to arrive is drawn.
+    """
+    point = F.struct(*[F.col(f"z{j}") for j in range(len(INPUTS))])
+    drawn: list[list[Centre]] = [[] for _ in range(RESTARTS)]
+    for step in range(n_clusters):
+        first = []
+        for r, centres in enumerate(drawn):
+            code = F.md5(F.concat_ws(":", F.lit(SEED + r), F.lit(step), F.col("user_email")))
+            digits = F.conv(F.substring(code, 1, 13), 16, 10).cast("double")
+            time = -F.log((digits + 0.5) / float(1 << 52))
+            if centres:
+                weight = F.expr(f"{_nearest(centres)}.d").cast("double")
+                time = F.when(weight > 0, time / weight)
+            order = F.when(time.isNotNull(), F.struct(time, "user_email"))
+            first.append(F.min_by(point, order).alias(f"r{r}"))
+        row = points.agg(*first).first()
+        for r, centres in enumerate(drawn):
+            # Without a user away from all centres the first centre is repeated.
+            centres.append(tuple(row[r]) if row[r] else centres[0])
+    return drawn
+
+
+def _moved(points: DataFrame, states: dict[int, list[Centre]]) -> dict[int, tuple[int, list[Centre]]]:
+    """Total distance of the users to each restart's centres, and the means that replace them."""
+    axes = [f"z{j}" for j in range(len(INPUTS))]
+    shared = {r: np.array(centres, dtype=np.int64) for r, centres in states.items()}
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            z = batch.to_numpy(dtype=np.int64)
+            rows = []
+            for r, centres in shared.items():
+                away = ((z[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+                label = away.argmin(axis=1)
+                least = away[np.arange(len(z)), label]
+                for i in np.unique(label):
+                    held = label == i
+                    rows.append((r, i, held.sum(), least[held].sum(), *z[held].sum(axis=0)))
+            yield pd.DataFrame(rows, columns=["r", "i", "n", "cost", *axes])
+
+    kinds = ", ".join(f"{c} long" for c in ("r", "i", "n", "cost", *axes))
+    sums = (
+        points.select(axes)
+        .mapInPandas(partial, kinds)
+        .groupBy("r", "i")
+        .agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("n", "cost", *axes)])
+        .collect()
+    )
+    out = {r: (0, list(centres)) for r, centres in states.items()}
+    for row in sums:
+        cost, centres = out[row["r"]]
+        centres[row["i"]] = tuple(int(row[z]) // int(row["n"]) for z in axes)
+        out[row["r"]] = cost + int(row["cost"]), centres
+    return out
 
 
 def user_engagement_clusters(events: DataFrame, n_clusters: int = 4) -> DataFrame:
     """Users with a ``cluster`` label; segment 0 has the highest mean cost.
 
-    The best of ten seeded runs is kept. With fewer users than clusters everyone
-    is in segment 0.
+    Of ten seeded restarts the centres with the least total squared distance are kept. With
+    fewer users than clusters everyone is in segment 0.
     """
     if n_clusters < 1:
         raise ValueError("n_clusters must be at least 1")
-    users = written(user_features(events).drop("total_tokens"), "users")
-    rows = users.count()
     columns = ["user_email", "user_practice", *INPUTS]
+    users = written(user_features(events).select(columns), "users")
+    scaled, rows = _scaled(users)
     if n_clusters == 1 or rows < n_clusters:
-        labelled = users.withColumn("cluster", F.lit(0))
-        return labelled.select(*columns, "cluster").orderBy("user_email")
-
-    assembled = VectorAssembler(inputCols=list(INPUTS), outputCol="raw").transform(users)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
-    scaled = scaler.fit(assembled).transform(assembled).drop("raw")
-    partitions = rows // _USERS_PER_PARTITION + 1
-    points = scaled.repartition(partitions, "user_email").sortWithinPartitions("user_email").persist()
-    kmeans = KMeans(k=n_clusters, maxIter=MAX_ITERATIONS, tol=1e-4)
-
-    def run(seed: int):
-        return kmeans.copy({kmeans.seed: seed}).fit(points)
-
-    # The restarts are independent Spark jobs and share the cluster.
-    try:
-        with ThreadPoolExecutor(RESTARTS) as pool:
-            models = list(pool.map(run, range(SEED, SEED + RESTARTS)))
-        best = min(models, key=lambda model: model.summary.trainingCost)
-    finally:
-        points.unpersist()
-
-    cost = INPUTS.index("total_cost")
-    centers = [center[cost] for center in best.clusterCenters()]
-    by_cost = sorted(range(len(centers)), key=lambda i: -centers[i])
-    label = F.array(*[F.lit(by_cost.index(i)) for i in range(len(centers))])
-    return (
-        best.transform(scaled)
-        .select(*columns, F.get(label, F.col("prediction")).alias("cluster"))
-        .orderBy("cluster", "user_email")
+        return users.withColumn("cluster", F.lit(0)).orderBy("user_email")
+
+    points = written(scaled, "points")
+    states = dict(enumerate(_first_centres(points, n_clusters)))
+    best = None
+    for number in range(MAX_ITERATIONS):
+        following = {}
+        for r, (cost, centres) in _moved(points, states).items():
+            best = min(filter(None, [best, (cost, r, number, states[r])]))
+            if centres != states[r]:
+                following[r] = centres
+        states = following
+        if not states:
+            break
+    centres = best[-1]
+    by_cost = sorted(range(n_clusters), key=lambda i: (-centres[i][INPUTS.index("total_cost")], i))
+    label = F.array(*[F.lit(by_cost.index(i)) for i in range(n_clusters)])
+    nearest = F.expr(f"{_nearest(centres)}.i")
+    return points.select(*columns, F.get(label, nearest).alias("cluster")).orderBy(
+        "cluster", "user_email"
     )
