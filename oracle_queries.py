@@ -260,6 +260,7 @@ def _segments(k: int = 4) -> str:
         for j, c in enumerate(inputs, 1)
     )
     away = "list_transform(c, lambda x: " + " + ".join(f"(x[{j}] - z[{j}]) * (x[{j}] - z[{j}])" for j in range(1, 6)) + ")"
+    shift = " + ".join(f"(following[j][{i}] - c[j][{i}]) * (following[j][{i}] - c[j][{i}])" for i in range(1, 6))
     mean = ", ".join(f"CAST(sum(z[{j}]) // count(*) AS BIGINT)" for j in range(1, 6))
     draw = "-ln((CAST(CAST('0x' || md5((42 + r) || ':' || step || ':' || user_email)[1:13] AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)"
     return f"""
@@ -284,7 +285,7 @@ moved AS (
       FROM (SELECT r, t, c, z, list_position({away}, list_min({away})) AS i FROM moved, p)
       GROUP BY r, t, c, i)
     GROUP BY r, t, c)
-  WHERE following <> c AND t < 299),
+  WHERE t < 299 AND list_sum(list_transform(range(1, {k + 1}), lambda j: {shift})) > 104),
 best AS (
   SELECT c FROM (SELECT r, t, c, sum(list_min({away})) AS total FROM moved, p GROUP BY r, t, c)
   ORDER BY total, r, t LIMIT 1),

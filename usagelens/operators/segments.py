@@ -9,6 +9,7 @@ centres and their sums reach the driver.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,11 @@ MAX_ITERATIONS = 300
 #: Parts of a standard deviation in which features are counted.
 UNIT = 1024
 
+#: A restart ends when its centres together move by a hundredth of a deviation or less.
+STILL = UNIT * UNIT // 10_000
+
 Centre = tuple[int, ...]
+_AXES = [f"z{j}" for j in range(len(INPUTS))]
 
 
 def _scaled(users: DataFrame) -> tuple[DataFrame, int]:
@@ -49,44 +54,62 @@ def _scaled(users: DataFrame) -> tuple[DataFrame, int]:
     return users.withColumns({f"z{j}": whole(c) for j, c in enumerate(INPUTS)}), seen["n"]
 
 
-def _distance(centre: Centre) -> str:
-    return " + ".join(f"(z{j} - {c}L) * (z{j} - {c}L)" for j, c in enumerate(centre))
+def _away(z: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of points to centres, one column for each centre."""
+    return ((z[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+
+
+def _distance(centre: Centre) -> Column:
+    return sum(((F.col(z) - F.lit(c)) * (F.col(z) - F.lit(c)) for z, c in zip(_AXES, centre)), F.lit(0))
 
 
-def _nearest(centres: list[Centre]) -> str:
-    """The least distance ``d`` and its centre ``i``, ties to the smaller one, as a struct."""
-    pairs = [f"struct({_distance(c)} AS d, {i} AS i)" for i, c in enumerate(centres)]
-    return f"array_min(array({', '.join(pairs)}))"
+def _shift(old: list[Centre], new: list[Centre]) -> int:
+    return sum((a - b) ** 2 for one, other in zip(old, new) for a, b in zip(one, other))
 
 
 def _first_centres(points: DataFrame, n_clusters: int) -> list[list[Centre]]:
     """k-means++ of every restart: users drawn by squared distance from those drawn before.
 
-    Each user runs for the time -ln(u) / weight, and the first to arrive is drawn.
+    Each user runs for the time -ln(u) / weight, and the first to arrive is drawn. A task
+    keeps its first user of each restart.
     """
-    point = F.struct(*[F.col(f"z{j}") for j in range(len(INPUTS))])
     drawn: list[list[Centre]] = [[] for _ in range(RESTARTS)]
+    kinds = "r long, run double, user_email string, " + ", ".join(f"{z} long" for z in _AXES)
     for step in range(n_clusters):
-        first = []
-        for r, centres in enumerate(drawn):
-            code = F.md5(F.concat_ws(":", F.lit(SEED + r), F.lit(step), F.col("user_email")))
-            digits = F.conv(F.substring(code, 1, 13), 16, 10).cast("double")
-            time = -F.log((digits + 0.5) / float(1 << 52))
-            if centres:
-                weight = F.expr(f"{_nearest(centres)}.d").cast("double")
-                time = F.when(weight > 0, time / weight)
-            order = F.when(time.isNotNull(), F.struct(time, "user_email"))
-            first.append(F.min_by(point, order).alias(f"r{r}"))
-        row = points.agg(*first).first()
+        known = [np.array(centres, dtype=np.int64) for centres in drawn]
+
+        def race(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                z, who, rows = batch[_AXES].to_numpy(dtype=np.int64), batch["user_email"], []
+                for r, centres in enumerate(known):
+                    codes = [hashlib.md5(f"{SEED + r}:{step}:{w}".encode()).hexdigest()[:13] for w in who]
+                    run = -np.log((np.array([int(c, 16) for c in codes]) + 0.5) / 2.0**52)
+                    if len(centres):
+                        weight = _away(z, centres).min(axis=1)
+                        run = np.where(weight > 0, run / np.maximum(weight, 1), np.inf)
+                    order = np.flatnonzero(run == run.min())
+                    at = min(order, key=lambda i: who[i])
+                    if run[at] < np.inf:
+                        rows.append((r, run[at], who[at], *z[at]))
+                yield pd.DataFrame(rows, columns=["r", "run", "user_email", *_AXES])
+
+        order = F.struct("run", "user_email")
+        first = (
+            points.select("user_email", *_AXES)
+            .mapInPandas(race, kinds)
+            .groupBy("r")
+            .agg(F.min_by(F.struct(*_AXES), order).alias("z"))
+            .collect()
+        )
+        found = {row["r"]: tuple(row["z"]) for row in first}
         for r, centres in enumerate(drawn):
             # Without a user away from all centres the first centre is repeated.
-            centres.append(tuple(row[r]) if row[r] else centres[0])
+            centres.append(found[r] if r in found else centres[0])
     return drawn
 
 
 def _moved(points: DataFrame, states: dict[int, list[Centre]]) -> dict[int, tuple[int, list[Centre]]]:
     """Total distance of the users to each restart's centres, and the means that replace them."""
-    axes = [f"z{j}" for j in range(len(INPUTS))]
     shared = {r: np.array(centres, dtype=np.int64) for r, centres in states.items()}
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,26 +117,26 @@ def _moved(points: DataFrame, states: dict[int, list[Centre]]) -> dict[int, tupl
             z = batch.to_numpy(dtype=np.int64)
             rows = []
             for r, centres in shared.items():
-                away = ((z[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+                away = _away(z, centres)
                 label = away.argmin(axis=1)
                 least = away[np.arange(len(z)), label]
                 for i in np.unique(label):
                     held = label == i
                     rows.append((r, i, held.sum(), least[held].sum(), *z[held].sum(axis=0)))
-            yield pd.DataFrame(rows, columns=["r", "i", "n", "cost", *axes])
+            yield pd.DataFrame(rows, columns=["r", "i", "n", "cost", *_AXES])
 
-    kinds = ", ".join(f"{c} long" for c in ("r", "i", "n", "cost", *axes))
+    kinds = ", ".join(f"{c} long" for c in ("r", "i", "n", "cost", *_AXES))
     sums = (
-        points.select(axes)
+        points.select(_AXES)
         .mapInPandas(partial, kinds)
         .groupBy("r", "i")
-        .agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("n", "cost", *axes)])
+        .agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("n", "cost", *_AXES)])
         .collect()
     )
     out = {r: (0, list(centres)) for r, centres in states.items()}
     for row in sums:
         cost, centres = out[row["r"]]
-        centres[row["i"]] = tuple(int(row[z]) // int(row["n"]) for z in axes)
+        centres[row["i"]] = tuple(int(row[z]) // int(row["n"]) for z in _AXES)
         out[row["r"]] = cost + int(row["cost"]), centres
     return out
 
@@ -139,15 +162,17 @@ def user_engagement_clusters(events: DataFrame, n_clusters: int = 4) -> DataFram
         following = {}
         for r, (cost, centres) in _moved(points, states).items():
             best = min(filter(None, [best, (cost, r, number, states[r])]))
-            if centres != states[r]:
+            if _shift(states[r], centres) > STILL:
                 following[r] = centres
         states = following
         if not states:
             break
     centres = best[-1]
     by_cost = sorted(range(n_clusters), key=lambda i: (-centres[i][INPUTS.index("total_cost")], i))
-    label = F.array(*[F.lit(by_cost.index(i)) for i in range(n_clusters)])
-    nearest = F.expr(f"{_nearest(centres)}.i")
-    return points.select(*columns, F.get(label, nearest).alias("cluster")).orderBy(
-        "cluster", "user_email"
-    )
+    pairs = [
+        F.struct(_distance(centre).alias("d"), F.lit(i).alias("i"), F.lit(by_cost.index(i)).alias("label"))
+        for i, centre in enumerate(centres)
+    ]
+    nearest = F.array_min(F.array(*pairs))["label"]
+    labelled = points.select(*columns, nearest.alias("cluster"))
+    return labelled.orderBy("cluster", "user_email")
