@@ -179,6 +179,26 @@ def test_value_types(spark, write, tmp_path):
     assert rows["garbage time"].event_timestamp == "soon" and rows["garbage time"].event_ts is None
 
 
+def test_employee_files_are_read_in_splits(spark, tmp_path):
+    """Only a file whose quoted cells may hold line breaks is read whole."""
+    head = "\ufeffemail,full_name,practice,level,location\n"
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_text(head + "".join(f'u{i % 900}@x,"N ""{i}"", B",P,L{i},\n' for i in range(4000)))
+    broken.write_text(head + "".join(f'b{i}@x,"N\n{i}",P,L,C\n' for i in range(300)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert employees.read_csv(spark, str(plain)).rdd.getNumPartitions() > 4
+        rows = employees.read_csv(spark, [str(plain), str(broken)])
+        assert rows.count() == 4300
+        last = {r["email"]: r for r in employees.latest(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len(last) == 1200 and last["b7@x"]["full_name"] == "N\n7"
+    for i in range(3100, 4000):
+        assert (last[f"u{i % 900}@x"]["full_name"], last[f"u{i % 900}@x"]["level"]) == (f'N "{i}", B', f"L{i}")
+
+
 def test_employees_upsert(spark, tmp_path):
     table = str(tmp_path / "employees")
     first, second = tmp_path / "a.csv", tmp_path / "b.csv"

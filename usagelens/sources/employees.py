@@ -20,26 +20,39 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Files may order their columns differently: those that share a header are read
     together, and rows are matched by name. Absent columns and empty cells give ``''``; a
     byte-order mark and blank lines are ignored, doubled quotes inside quotes are one
-    quote, and a quoted cell may hold line breaks.
+    quote, and a quoted cell may hold line breaks. Only a file with a line of an odd number
+    of quotes can have such a cell; any other is read in splits.
     """
-    first_line = F.regexp_extract("value", r"^\ufeff?[\r\n]*([^\r\n]*)", 1)
-    files = (
-        spark.read.text(path, wholetext=True)
-        .select(first_line.alias("header"), F.col("_metadata.file_path").alias("file"))
-        .where(F.trim("header") != "")
-        .collect()
+    parts = [
+        _read_alike(spark, row["files"], row["open_quotes"]) for row in _files(spark, path).collect()
+    ]
+    return reduce(DataFrame.unionByName, parts) if parts else _read_alike(spark, [], False)
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The files of each ``header``, apart by whether lines have ``open_quotes``."""
+    line = F.regexp_replace("value", "^\ufeff", "")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(
+        line.alias("line"),
+        (quotes % 2 == 1).alias("open_quotes"),
+        F.col("_metadata.file_path").alias("file"),
+        place.alias("place"),
+    )
+    return (
+        lines.where(F.trim("line") != "")
+        .groupBy("file")
+        .agg(F.min_by("line", "place").alias("header"), F.max("open_quotes").alias("open_quotes"))
+        .groupBy("header", "open_quotes")
+        .agg(F.sort_array(F.collect_list("file")).alias("files"))
     )
-    by_header: dict[str, list[str]] = {}
-    for row in files:
-        by_header.setdefault(row["header"], []).append(row["file"])
-    parts = [_read_alike(spark, same) for same in by_header.values()]
-    return reduce(DataFrame.unionByName, parts) if parts else _read_alike(spark, [])
 
 
-def _read_alike(spark: SparkSession, files: list[str]) -> DataFrame:
+def _read_alike(spark: SparkSession, files: list[str], open_quotes: bool) -> DataFrame:
     """The rows of files that have one header."""
     if files:
-        raw = spark.read.csv(files, header=True, escape='"', multiLine=True)
+        raw = spark.read.csv(files, header=True, escape='"', multiLine=open_quotes)
     else:
         raw = spark.read.schema(schema.EMPLOYEES).csv([])
     place = raw.select("*", "_metadata.file_path", "_metadata.file_block_start")
