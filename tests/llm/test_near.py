@@ -162,3 +162,23 @@ def test_components(spark):
         2: 1,
     }
     assert components(links.limit(0)).count() == 0
+
+
+def test_pairs_whose_rare_shingles_many_texts_share(make_docs, words, monkeypatch):
+    """Five groups of 1,000 texts from one form (similarity 0.7); two of each have little of their own."""
+    monkeypatch.setattr(near, "BLOCK", 50_000, raising=False)
+    rng = random.Random(17)
+    rows = []
+    for group in range(5):
+        form = words(rng, 190).split()
+        for i in range(1000):
+            own = 11 if i in (300, 700) else 25
+            rows.append((1000 * group + i, " ".join([*words(rng, own).split(), *form[: 200 - own]])))
+    rng.shuffle(rows)
+    docs = make_docs(rows)
+    found = {r["doc_id"]: r["class_id"] for r in near.classes(docs).collect()}
+    by_id, rare = dict(rows), near.rarity(*near.frequencies(docs))
+    for group in range(0, 5000, 1000):
+        pair = [by_id[group + 300], by_id[group + 700]]
+        assert near.similar(*pair, rare) >= near.SIMILARITY > near.similar(pair[0], by_id[group], rare)
+    assert found == {i: i - 400 if i % 1000 == 700 else i for i in by_id}

@@ -14,7 +14,8 @@ buckets are ranges of one sorted table, so a bucket of any size is spread over t
 Texts of a larger bucket that are not yet in one class meet once more, by a prefix filter:
 of each one the rarest shingles that make up a fifth of its weight. Two texts of similarity
 0.8 have one of these in common, and few texts share a rare shingle, however many share
-the passage that filled the bucket.
+the passage that filled the bucket. Where many share all rare shingles, too, every two of
+them are compared by their whole weighted shingles, block by block.
 """
 
 import math
@@ -43,8 +44,12 @@ SAMPLES = BANDS * ROWS
 PROMISING = 0.6
 #: Following neighbours in a bucket with which a text is compared, besides the first.
 NEIGHBOURS = 3
-#: Texts that share a rare shingle and are all compared; among more, each with so many next ones.
+#: Share of equal samples from which texts that share a rare shingle are verified: 5 standard errors below.
+POSSIBLE = 0.5
+#: Texts that share a rare shingle and are compared by samples first; more are compared in whole.
 WINDOW = 64
+#: Shingles of a block of texts that are compared in whole, about.
+BLOCK = 1 << 18
 #: Cells of the hashed document frequencies.
 CELL_BITS = 18
 
@@ -307,14 +312,8 @@ def prefix(codes: np.ndarray, weight: np.ndarray, cells: np.ndarray) -> np.ndarr
     return codes[order[before <= (1 - SIMILARITY + 1e-6) * ordered.sum()]]
 
 
-def rare_candidates(
-    members: DataFrame, bodies: DataFrame, nodes: DataFrame, cells: np.ndarray, rare: np.ndarray
-) -> DataFrame:
-    """Pairs ``a`` < ``b`` of different roots that share a shingle of their prefixes.
-
-    All texts that share one are compared if they are at most :data:`WINDOW`; of more, each
-    one with as many next ones in the order of samples.
-    """
+def posted(members: DataFrame, bodies: DataFrame, cells: np.ndarray, rare: np.ndarray) -> DataFrame:
+    """``code``, ``node`` and ``root``: the members under each shingle of their prefixes."""
 
     def post(batch):
         out = {"code": [], "node": [], "root": []}
@@ -327,24 +326,36 @@ def rare_candidates(
         return out
 
     told = members.join(bodies, "node").select("node", "root", "text")
-    posted = written(map_columns(told, post, "code long, node long, root long"), "near-posted")
-    shared = (
-        posted.groupBy("code")
-        .agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-        .where("least <> most")
-        .select("code", "n")
+    return written(map_columns(told, post, "code long, node long, root long"), "near-posted")
+
+
+def shared_codes(postings: DataFrame) -> DataFrame:
+    """``code`` and ``n``, its texts, of the codes under which more than one class meets.
+
+    Codes under which the very same texts meet are one: the smallest stands for all.
+    """
+    counted = postings.groupBy("code").agg(
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("who"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("also"),
+        F.min("root").alias("least"),
+        F.max("root").alias("most"),
     )
+    mixed = counted.where("least <> most").groupBy("n", "who", "also").agg(F.min("code").alias("code"))
+    return written(mixed.select("code", "n"), "near-shared")
+
+
+def rare_candidates(postings: DataFrame, shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of different roots among the texts, at most :data:`WINDOW`, of a code."""
 
     def place(batch):
         rows = np.frombuffer(b"".join(batch["signature"]), np.uint32).reshape(-1, SAMPLES)
-        low = [r.tobytes() for r in rows.astype(np.uint8)]
-        return {"node": batch["node"], "place": _place(rows).tolist(), "low": low}
+        return {"node": batch["node"], "low": [r.tobytes() for r in rows.astype(np.uint8)]}
 
-    drawn = members.select("node").join(nodes.select("node", "signature"), "node")
-    placed = map_columns(drawn, place, "node long, place long, low binary")
+    drawn = postings.select("node").distinct().join(nodes.select("node", "signature"), "node")
+    placed = map_columns(drawn, place, "node long, low binary")
     schema = nodes.sparkSession.createDataFrame([], "a long, b long").schema
     arrow = arrow_schema(schema)
-    least = math.ceil(PROMISING * SAMPLES)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -363,7 +374,7 @@ def rare_candidates(
                 if not len(i):
                     break
                 i = i[root[i] != root[i - k]]
-                i = i[(low[i] == low[i - k]).sum(axis=1) >= least]
+                i = i[(low[i] == low[i - k]).sum(axis=1) >= POSSIBLE * SAMPLES]
                 found.append((node[i], node[i - k]))
             if found:
                 one, other = (np.concatenate(x) for x in zip(*found))
@@ -371,21 +382,190 @@ def rare_candidates(
                 yield record_batch({"a": pairs[0], "b": pairs[1]}, arrow)
             tail = tuple(column[1 - WINDOW :] for column in now)
 
-    # A shingle of very many texts is cut into ranges of places, some 65,536 texts each.
-    bits = "CAST(greatest(0, least(15, ceil(log2(n / 65536)))) AS int)"
-    part = F.expr(f"CASE WHEN n > 65536 THEN shiftrightunsigned(place, 63 - {bits}) END")
+    few = shared.where(F.col("n") <= WINDOW).select("code")
     return (
-        spread_join(posted, shared, ["code"], "node")
+        spread_join(postings, few, ["code"], "node")
         .join(placed, "node")
-        .withColumn("part", part)
-        .repartition("code", "part")
-        .sortWithinPartitions("code", "place", "root", "node")
+        .repartition("code")
+        .sortWithinPartitions("code", "root", "node")
         .select("code", "node", "root", "low")
         .mapInArrow(compare, schema)
         .distinct()
     )
 
 
+class _Held:
+    """The texts of a block, with which others are compared in whole."""
+
+    def __init__(self):
+        self.rows, self.cell, self.above, self.vocabulary = [], None, {}, None
+
+    def find(self, root: int) -> int:
+        while root in self.above:
+            root = self.above[root]
+        return root
+
+    def add(self, rows: list[tuple]) -> None:
+        self.rows += rows
+        self.vocabulary = None
+
+    def links(self, others: list[tuple], once: bool = False) -> Iterator[tuple[int, int]]:
+        """Links to ``others`` that join classes not yet joined in this cell.
+
+        ``once``: the others are these rows themselves, so only larger roots are compared.
+        """
+        if not self.rows or not others:
+            return
+        if self.vocabulary is None:
+            self.vocabulary = np.unique(np.concatenate([r[3] for r in self.rows]))
+        others = sorted(others, key=lambda r: r[1])
+        root = np.array([r[1] for r in others])
+        total = np.array([float(r[4].sum(dtype=np.float64)) for r in others])
+        flat = np.concatenate([r[3] for r in others])
+        weight = np.concatenate([r[4] for r in others]).astype(np.float64)
+        of = np.repeat(np.arange(len(others)), [len(r[3]) for r in others])
+        at = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == flat
+        at, weight, of = at[known], weight[known], of[known]
+        starts = np.searchsorted(of, np.arange(len(others) + 1))
+        before = np.concatenate([r[2] for r in others])
+        before_of = np.repeat(np.arange(len(others)), [len(r[2]) for r in others])
+        mine = np.zeros(len(self.vocabulary))
+        for node, own, earlier, codes, own_weight in self.rows:
+            fresh = np.ones(len(others), bool)  # those not met under an earlier code
+            if len(earlier):
+                fresh[before_of[np.isin(before, earlier)]] = False
+                if not fresh.any():
+                    continue
+            own_weight = own_weight.astype(np.float64)
+            place = np.searchsorted(self.vocabulary, codes)
+            mine[place] = own_weight
+            # Others are in the order of their roots: all but those of the same root.
+            low, high = np.searchsorted(root, [own, own + 1])
+            for i, j in ((0, low), (high, len(others))):
+                if i == j or not fresh[i:j].any() or once and not i:
+                    continue
+                part = slice(starts[i], starts[j])
+                common = np.bincount(
+                    of[part] - i, np.minimum(mine[at[part]], weight[part]), minlength=j - i
+                )
+                alike = common / (own_weight.sum() + total[i:j] - common) >= SIMILARITY
+                alike &= fresh[i:j]
+                for k in np.flatnonzero(alike) + i:
+                    a, b = self.find(own), self.find(int(root[k]))
+                    if a != b:
+                        self.above[max(a, b)] = min(a, b)
+                        yield node, others[k][0]
+            mine[place] = 0
+
+
+def crowded_links(
+    postings: DataFrame, shared: DataFrame, bodies: DataFrame, rare: np.ndarray
+) -> DataFrame:
+    """Links ``a``, ``b`` among the texts of codes that more than :data:`WINDOW` share.
+
+    All pairs of different roots are compared by their whole weighted shingles, each under
+    the first code that both share. Texts are dealt into classes of total weight, of which
+    only neighbouring ones can hold similar texts, and these into blocks of bounded size;
+    every two blocks meet in a cell of their own, so the pairs are spread over tasks and a task
+    holds one block. Links that join what others of the cell have joined are left out.
+    """
+    crowded = shared.where(F.col("n") > WINDOW).select("code")
+    joined = spread_join(postings, crowded, ["code"], "node")
+    lists = joined.groupBy("node", "root").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+
+    def weigh(batch):
+        out = {c: [] for c in ("node", "root", "codes", "heft", "size", "shingles", "weights")}
+        for node, root, codes, text in zip(*(batch[c] for c in ("node", "root", "codes", "text"))):
+            _, found, counts = shingles(next(pieces([text])))
+            weight = weights(found, counts, rare)
+            total = float(weight.sum(dtype=np.float64))
+            out["heft"].append(math.floor(math.log(total) / -math.log(SIMILARITY - 1e-6)))
+            out["size"].append(len(found))
+            out["shingles"].append(found.astype(np.uint64).tobytes())
+            out["weights"].append(weight.astype(np.float32).tobytes())
+            for name, value in (("node", node), ("root", root), ("codes", codes)):
+                out[name].append(value)
+        return out
+
+    kinds = (
+        "node long, root long, codes array<long>, heft int, size long, shingles binary, weights binary"
+    )
+    weighed = written(map_columns(lists.join(bodies, "node"), weigh, kinds), "near-weighed")
+    each = weighed.select("node", "root", "heft", "size", F.posexplode("codes").alias("nth", "code"))
+    blocks = each.groupBy("code", "heft").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    # A text is in one of its code's blocks; the largest class of weight tells their number.
+    blocks = blocks.groupBy("code").agg(F.ceil(F.max("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = spread_join(each, blocks, ["code"], "node").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    )
+
+    def cells(heft: str, first: str, second: str, held: bool, over: str) -> DataFrame:
+        rows = dealt.withColumn("k", F.explode(F.expr(over)))
+        return rows.select(
+            "code",
+            F.expr(heft).alias("heft"),
+            F.expr(first).alias("first"),
+            F.expr(second).alias("second"),
+            F.lit(not held).alias("later"),
+            "node",
+            "nth",
+        )
+
+    last = "blocks - 1"
+    placed = (
+        cells("2 * heft", "block", "k", True, f"sequence(block, {last})")
+        .unionByName(cells("2 * heft", "k", "block", False, "CASE WHEN block > 0 THEN sequence(0, block - 1) END"))
+        .unionByName(cells("2 * heft + 1", "block", "k", True, f"sequence(0, {last})"))
+        .unionByName(cells("2 * heft - 1", "k", "block", False, f"sequence(0, {last})"))
+    )
+    schema = postings.sparkSession.createDataFrame([], "a long, b long").schema
+    arrow = arrow_schema(schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            run: list[tuple] = []
+            later = False
+
+            def flush():
+                if later:
+                    found.extend(held.links(run))
+                else:
+                    inside = held.cell[1] % 2 == 0 and held.cell[2] == held.cell[3]
+                    if inside:  # a block with itself, row by row as it comes
+                        found.extend(held.links(run))
+                        mine = _Held()
+                        mine.above = held.above
+                        mine.add(run)
+                        found.extend(mine.links(run, once=True))
+                    held.add(run)
+                run.clear()
+
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for *cell, is_later, node, root, earlier, codes, weight in zip(*columns):
+                if run and (cell != held.cell or is_later != later):
+                    flush()
+                if cell != held.cell:
+                    held = _Held()
+                    held.cell = cell
+                later = is_later
+                row = (np.frombuffer(codes, np.uint64), np.frombuffer(weight, np.float32))
+                run.append((node, root, np.array(earlier, np.int64), *row))
+            if run:
+                flush()
+            if found:
+                yield record_batch({"a": [a for a, _ in found], "b": [b for _, b in found]}, arrow)
+
+    by = ["code", "heft", "first", "second"]
+    whole = placed.join(weighed.select("node", "root", "codes", "shingles", "weights"), "node")
+    ordered = whole.repartition(*by).sortWithinPartitions(*by, "later", "root", "node")
+    return ordered.select(
+        *by, "later", "node", "root", F.expr("slice(codes, 1, nth)").alias("earlier"), "shingles", "weights"
+    ).mapInArrow(compare, schema)
+
+
 def similar(one: str, other: str, rare: np.ndarray) -> float:
     """The weighted Jaccard similarity of two texts' shingles."""
     text, codes, counts = shingles([next(pieces([t]))[0] for t in (one, other)])
@@ -461,10 +641,11 @@ def classes(docs: DataFrame) -> DataFrame:
     members = written(divided(seen, groups), "near-divided")
     if not members.isEmpty():
         told = _bodies(docs, members.select("node"), nodes)
-        missed = rare_candidates(members, told, nodes, cells, rare).join(
-            pairs, ["a", "b"], "left_anti"
-        )
-        late = written(verified(missed, told, rare), "near-links")
+        postings = posted(members, told, cells, rare)
+        shared = shared_codes(postings)
+        missed = rare_candidates(postings, shared, nodes).join(pairs, ["a", "b"], "left_anti")
+        crowded = crowded_links(postings, shared, told, rare)
+        late = written(verified(missed, told, rare).unionByName(crowded), "near-links")
         if not late.isEmpty():
             stars = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
             groups = components(stars.unionByName(late))
