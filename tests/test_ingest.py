@@ -218,3 +218,32 @@ def test_employees_upsert(spark, tmp_path):
     rows = {r.email: r for r in employees.read_employees(spark, table).collect()}
     assert tuple(rows["a@x"]) == ("a@x", "", "", "L9", "")
     assert rows["c@x"].practice == "Data"
+
+
+def test_rendered_logs_are_compressed_files_of_bounded_length(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from usagelens.sources import driver_tables
+
+    monkeypatch.setattr(driver_tables, "LINES_PER_FILE", 100, raising=False)
+    rows = spark.range(0, 4000, 1, 2).select(
+        F.col("id").alias("event_id"),
+        F.expr("timestamp_seconds(1700000000 + id)").alias("ts"),
+        (F.col("id") % 9).alias("user_id"),
+        F.lit("purchase").alias("event_type"),
+        F.lit(0.5).alias("value"),
+        F.lit('{"k": 6}').alias("props"),
+    )
+    rows.unionByName(rows.limit(1)).write.parquet(f"{tmp_path}/events.parquet")
+    users = spark.range(5).select(F.col("id").alias("c_custkey"), F.lit("team").alias("c_mktsegment"))
+    users.write.parquet(f"{tmp_path}/customer.parquet")
+    first, again = driver_tables.write_logs(spark, str(tmp_path), str(tmp_path / "logs"))
+    staged = envelopes.stage(envelopes.read_lines(spark, [first, again])).where(envelopes.storable())
+    events = staged.select("id", "cost_usd", "user_practice", "event_ts")
+    normal = driver_tables.events(spark, str(tmp_path)).select(events.columns)
+    sent = normal.where(F.col("id").cast("long") >= 0)
+    resent = sent.where("floor(cast(id AS long) / 4) % 30 = 7").withColumn("cost_usd", F.lit(9999.0))
+    want = sent.unionByName(resent)
+    assert events.exceptAll(want).count() == want.exceptAll(events).count() == 0
+    files = spark.read.text(first).groupBy(F.col("_metadata.file_path")).count().collect()
+    assert all(r[0].endswith(".gz") and r[1] <= 100 for r in files)

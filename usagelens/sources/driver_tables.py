@@ -7,6 +7,8 @@ which fields are NULL or empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Which event type stands for which event name.
@@ -28,8 +30,8 @@ def _email(user: Column) -> Column:
     return F.concat(F.lit("u"), user.cast("string"), F.lit("@example.org"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised events; columns a caller does not read are pruned from the scan."""
+def _raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What events are made of: a few narrow columns."""
     raw = _table(spark, sf_dir, "events").select(
         "event_id",
         F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("event_ts"),
@@ -39,9 +41,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
     segment = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    joined = raw.join(segment, raw.user_id == segment.c_custkey, "left")
+    return raw.join(segment, raw.user_id == segment.c_custkey, "left").drop("c_custkey")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised events; columns a caller does not read are pruned from the scan."""
+    return _raw_events(spark, sf_dir).select(*_normalised(F.col))
 
-    kind, k, eid, uid = (F.col(c) for c in ("event_type", "k", "event_id", "user_id"))
+
+def _normalised(of: Callable[[str], Column]) -> list[Column]:
+    """The columns of an event from its raw ones, which ``of`` gives by name."""
+    kind, k, eid, uid = (of(c) for c in ("event_type", "k", "event_id", "user_id"))
 
     def only(condition: Column, value: Column) -> Column:
         return F.when(condition, value)
@@ -49,19 +59,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     purchase = kind == "purchase"
     name = F.coalesce(*[F.when(kind == a, F.lit(b)) for a, b in EVENT_NAMES.items()], kind)
     terminal = uid % 4
-    return joined.select(
+    return [
         eid.cast("string").alias("id"),
-        F.unix_millis("event_ts").alias("timestamp"),
-        F.date_format("event_ts", ISO_MILLIS).alias("event_timestamp"),
-        "event_ts",
+        F.unix_millis(of("event_ts")).alias("timestamp"),
+        F.date_format(of("event_ts"), ISO_MILLIS).alias("event_timestamp"),
+        of("event_ts").alias("event_ts"),
         name.alias("event_name"),
         F.lit("org-1").alias("organization_id"),
         only(
-            k != 99, F.concat_ws("-", uid.cast("string"), F.to_date("event_ts").cast("string"))
+            k != 99, F.concat_ws("-", uid.cast("string"), F.to_date(of("event_ts")).cast("string"))
         ).alias("session_id"),
         uid.cast("string").alias("user_id"),
         F.when(k == 98, F.lit("")).when(k != 97, _email(uid)).alias("user_email"),
-        only(k != 96, F.col("c_mktsegment")).alias("user_practice"),
+        only(k != 96, of("c_mktsegment")).alias("user_practice"),
         F.concat(F.lit("profile-"), (uid % 3).cast("string")).alias("user_profile"),
         F.when(terminal == 0, "vscode")
         .when(terminal == 1, "iterm")
@@ -75,7 +85,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         only(purchase, (k * 11 + eid % 53).cast("bigint")).alias("output_tokens"),
         only(purchase & (k % 4 == 0), (k * 2).cast("bigint")).alias("cache_creation_tokens"),
         only(purchase & (k % 3 == 0), (k * 5).cast("bigint")).alias("cache_read_tokens"),
-        only(purchase, F.col("value")).alias("cost_usd"),
+        only(purchase, of("value")).alias("cost_usd"),
         only(kind.isin("purchase", "signup"), eid % 1009).alias("duration_ms"),
         only(kind == "view", (k * 3).cast("bigint")).alias("prompt_length"),
         only(
@@ -87,7 +97,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("host-"), (uid % 5).cast("string")).alias("host_name"),
         F.lit("linux").alias("os_type"),
         F.lit("1.0.0").alias("service_version"),
-    )
+    ]
 
 
 def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +125,8 @@ def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
 # number, which the SQL checks repeat.
 
 EVENTS_PER_LINE = 4
+#: Lines of a compressed file, at most; some 230 MB of text.
+LINES_PER_FILE = 100_000
 BLANK, CUT_OFF, CONTROL, UNREADABLE, UNDATED, RESENT = (
     (50, 1),
     (40, 3),
@@ -157,30 +169,36 @@ def _hits(rule: tuple[int, int]) -> Column:
     return F.col("g") % rule[0] == rule[1]
 
 
-def _object(keys: dict[str, str]) -> Column:
-    return F.struct(*[F.col(c).alias(k) for k, c in keys.items()])
+def _message(event: Column, cost: Column | None) -> Column:
+    """A raw event as an object of an envelope; absent values are left out of the JSON."""
+    of = F.struct(*_normalised(lambda c: event[c]))
 
+    given = {c: of[c] for c in _ATTRIBUTES.values()}
+    if cost is not None:
+        given["cost_usd"] = cost
 
-def _messages(rows: DataFrame) -> DataFrame:
-    """Events as the raw objects of an envelope; absent values are left out of the JSON."""
     message = F.to_json(
         F.struct(
-            F.concat(F.lit("telemetry."), F.col("event_name")).alias("body"),
-            _object(_ATTRIBUTES).alias("attributes"),
-            _object(_RESOURCE).alias("resource"),
+            F.concat(F.lit("telemetry."), of["event_name"]).alias("body"),
+            F.struct(*[given[c].alias(k) for k, c in _ATTRIBUTES.items()]).alias("attributes"),
+            F.struct(*[of[c].alias(k) for k, c in _RESOURCE.items()]).alias("resource"),
         )
     )
-    number = F.col("id").cast("bigint")
-    return rows.select(
-        F.floor(number / EVENTS_PER_LINE).alias("g"),
-        number.alias("n"),
-        F.struct("id", "timestamp", message.alias("message")).alias("event"),
-    )
+    return F.struct(of["id"].alias("id"), of["timestamp"].alias("timestamp"), message.alias("message"))
+
 
+def _lines(raw: DataFrame, cost: Column | None = None) -> DataFrame:
+    """Envelopes of up to four events, with an unreadable or undated one added by rule.
 
-def _lines(messages: DataFrame) -> DataFrame:
-    """Envelopes of up to four events, with an unreadable or undated one added by rule."""
-    gathered = F.sort_array(F.collect_list(F.struct("n", "event")))
+    Raw columns are gathered, a tenth of the messages' size; those are made afterwards.
+    """
+    event = F.struct(F.col("event_id").alias("n"), F.struct(*raw.columns).alias("raw"))
+    gathered = F.sort_array(
+        F.transform(
+            "gathered",
+            lambda e: F.struct(e["n"].alias("n"), _message(e["raw"], cost).alias("event")),
+        )
+    )
     made_up = "struct<id:string,timestamp:bigint,message:string>"
 
     def added(prefix: str, stamp: Column, message: str) -> Column:
@@ -191,12 +209,12 @@ def _lines(messages: DataFrame) -> DataFrame:
     unreadable = F.when(_hits(UNREADABLE), added("bad-", F.lit(1).cast("bigint"), "nope"))
     undated = F.when(_hits(UNDATED), added("undated-", F.lit(None).cast("bigint"), "{}"))
     return (
-        messages.groupBy("g")
-        .agg(gathered.alias("gathered"))
+        raw.groupBy(F.floor(F.col("event_id") / EVENTS_PER_LINE).alias("g"))
+        .agg(F.collect_list(event).alias("gathered"))
         .select(
             "g",
             F.concat(
-                F.transform("gathered", lambda e: e["event"]),
+                F.transform(gathered, lambda e: e["event"]),
                 F.coalesce(unreadable, none),
                 F.coalesce(undated, none),
             ).alias("logEvents"),
@@ -212,10 +230,11 @@ def _envelope(kind: str) -> Column:
 def write_logs(spark: SparkSession, sf_dir: str, path: str) -> list[str]:
     """Write the events as raw log files; returns the folders in the order they are loaded.
 
-    The second folder sends some envelopes again at another cost: those copies lose.
+    The second folder sends some envelopes again at another cost: those copies lose. Files are
+    compressed as a whole, so none has more than :data:`LINES_PER_FILE`.
     """
-    rows = events(spark, sf_dir)
-    first = _lines(_messages(rows))
+    raw = _raw_events(spark, sf_dir)
+    first = _lines(raw)
     sent = _envelope("DATA_MESSAGE")
     extra = F.array_compact(
         F.array(
@@ -225,10 +244,10 @@ def write_logs(spark: SparkSession, sf_dir: str, path: str) -> list[str]:
         )
     )
     lines = first.select(F.explode(F.concat(F.array(sent), extra)).alias("value"))
-    again = _lines(_messages(rows.withColumn("cost_usd", F.lit(9999.0)))).where(_hits(RESENT))
+    again = _lines(raw, F.lit(9999.0)).where(_hits(RESENT))
     folders = [f"{path}/1-sent", f"{path}/2-sent-again"]
-    lines.write.text(folders[0])
-    again.select(sent.alias("value")).write.text(folders[1])
+    for rows, folder in zip((lines, again.select(sent.alias("value"))), folders):
+        rows.write.option("maxRecordsPerFile", LINES_PER_FILE).text(folder, compression="gzip")
     return folders
 
 
