@@ -335,3 +335,30 @@ def test_token_counts_at_the_limit_end_no_report(spark, make_events):
     few = events.where("input_tokens < 10")
     assert usage.token_usage_by_practice(few).first()["total_tokens"] == 9
     assert usage.token_usage_by_practice(events.where("output_tokens = 1 and input_tokens < 0")).first()["total_tokens"] == -2
+
+
+# --- writes that move and sort no whole rows -------------------------------------
+
+
+def test_a_flat_load_is_written_where_it_is_read(spark, tmp_path):
+    """Each task writes the lines it read: no shuffle brings the rows of files together."""
+    folder, table = tmp_path / "in", str(tmp_path / "events")
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.jsonl").write_text(line(*range(10 * i, 10 * i + 10)) + "\n")
+    store.append_lines(envelopes.read_lines(spark, str(folder)), table, "a", flat=True)
+    assert ids(spark, table) == numbered(*range(30))
+    written = store.read_events(spark, table).select("id", F.input_file_name().alias("at")).collect()
+    held = {}
+    for r in written:
+        held.setdefault(r["at"], set()).add(int(r["id"][1:]) // 10)
+    assert len(held) == 3 and all(len(of) == 1 for of in held.values())
+
+
+def test_rows_are_not_sorted_for_their_folders(spark, tmp_path):
+    spark.sql(f"CREATE TABLE in_folders (v STRING, kind STRING) USING parquet PARTITIONED BY (kind) LOCATION '{tmp_path}/t'")
+    try:
+        query = "SELECT CAST(id AS STRING), CAST(id % 3 AS STRING) FROM range(9)"
+        assert "Sort" not in spark.sql(f"EXPLAIN INSERT INTO in_folders {query}").first()[0]
+    finally:
+        spark.sql("DROP TABLE in_folders")

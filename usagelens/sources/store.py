@@ -81,15 +81,19 @@ def id_hash(name: str = "id") -> Column:
     return F.shiftrightunsigned(F.xxhash64(name), 16).alias("hash")
 
 
-def _write_rows(rows: DataFrame, folder: str, *more: str, flat: bool = False) -> None:
+def _write_rows(
+    rows: DataFrame, folder: str, *more: str, flat: bool = False, in_place: bool = False
+) -> None:
     """Write rows with a ``kind``, in folders by event name and day unless ``flat``.
 
     The rebalance hint lets adaptive execution split large and merge small
-    partitions, so a hot event type or day becomes several files of even size.
+    partitions, so a hot event type or day becomes several files of even size. Rows that are
+    read from files of a fair size need no shuffle to be written flat, ``in_place``.
     """
     stored = [c for c in _STORED.names if c != "part"]
     by = ("kind",) if flat else ("kind", "event_name", "event_date")
-    even = rows.select(*stored, *more, "kind").hint("rebalance", *by)
+    chosen = rows.select(*stored, *more, "kind")
+    even = chosen if in_place else chosen.hint("rebalance", *by)
     even.write.partitionBy(*by).parquet(folder)
 
 
@@ -236,7 +240,7 @@ def append_lines(lines: DataFrame, path: str, load_id: str, flat: bool = False)
     base = snapshots.current(spark, path)
     name = snapshots.new_name("load")
     marks = [c for c in _DRAFT.names if c not in (*_STORED.names, "kind")]
-    _write_rows(parsed(lines, load_id), _folder(path, name), *marks, flat=flat)
+    _write_rows(parsed(lines, load_id), _folder(path, name), *marks, flat=flat, in_place=flat)
     draft = spark.read.schema(_DRAFT).parquet(_folder(path, name))
 
     scratch = scratch_path(spark, "tallies")
