@@ -182,3 +182,32 @@ def test_pairs_whose_rare_shingles_many_texts_share(make_docs, words, monkeypatc
         pair = [by_id[group + 300], by_id[group + 700]]
         assert near.similar(*pair, rare) >= near.SIMILARITY > near.similar(pair[0], by_id[group], rare)
     assert found == {i: i - 400 if i % 1000 == 700 else i for i in by_id}
+
+
+def test_cells_hold_only_blocks_that_meet(spark):
+    """Of the cells of two blocks go those that lack a block, and any cell of one class."""
+    cells = {
+        (1, 4, 0, 0): [(False, 1), (False, 2)],  # a block with itself
+        (1, 5, 0, 0): [(False, 1), (False, 2)],  # no text of the next weight
+        (1, 3, 0, 0): [(True, 1), (True, 2)],
+        (2, 4, 0, 0): [(False, 3), (False, 3)],
+        (2, 4, 0, 1): [(False, 3), (True, 4)],
+        (2, 4, 1, 2): [(False, 3), (False, 4)],
+        (2, 5, 0, 1): [(False, 3), (True, 3)],
+        (3, 7, 0, 0): [(False, 3), (True, 4)],
+    }
+    rows = [(*cell, later, i, root, 1) for cell, held in cells.items() for i, (later, root) in enumerate(held)]
+    kinds = "code long, heft int, first int, second int, later boolean, node long, root long, nth int"
+    found = near.mixed_cells(spark.createDataFrame(rows, kinds)).collect()
+    assert len(found) == 6
+    assert {tuple(r[c] for c in near.CELL) for r in found} == {(1, 4, 0, 0), (2, 4, 0, 1), (3, 7, 0, 0)}
+
+
+def test_no_more_links_leave_the_classes(spark, monkeypatch):
+    links = spark.createDataFrame([(1, 2), (5, 6)], "a long, b long")
+    groups = components(links)
+    more = near._widened(groups, spark.createDataFrame([(2, 5), (8, 9)], "a long, b long"))
+    assert {r["node"]: r["root"] for r in more.collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}
+    monkeypatch.delattr(near, "components")
+    same = near._widened(groups, links.limit(0))
+    assert {r["node"]: r["root"] for r in same.collect()} == {1: 1, 2: 1, 5: 5, 6: 5}

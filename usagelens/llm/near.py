@@ -91,12 +91,12 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         .mapInArrow(count, "cell long, n long")
         .groupBy("cell")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .toArrow()
     )
+    cell, seen = (rows.column(name).to_numpy() for name in ("cell", "n"))
     out = np.zeros(1 << CELL_BITS, np.int64)
-    known = rows[rows["cell"] >= 0]
-    out[known["cell"]] = known["n"]
-    return out, int(rows.loc[rows["cell"] < 0, "n"].sum())
+    out[cell[cell >= 0]] = seen[cell >= 0]
+    return out, int(seen[cell < 0].sum())
 
 
 def rarity(cells: np.ndarray, n: int) -> np.ndarray:
@@ -459,6 +459,30 @@ class _Held:
             mine[place] = 0
 
 
+#: What names a cell, in which one block meets another or itself.
+CELL = ("code", "heft", "first", "second")
+
+
+def mixed_cells(placed: DataFrame) -> DataFrame:
+    """The rows of cells in which texts of different roots meet.
+
+    A cell of two blocks needs rows of both; an even ``heft`` with ``first`` = ``second`` is
+    a block that meets itself.
+    """
+    alone = (F.col("heft") % 2 == 0) & (F.col("first") == F.col("second"))
+    met = (
+        placed.groupBy(*CELL)
+        .agg(
+            F.min("root").alias("least"),
+            F.max("root").alias("most"),
+            F.bool_or("later").alias("some"),
+            F.bool_and("later").alias("only"),
+        )
+        .where((F.col("least") != F.col("most")) & (alone | (F.col("some") & ~F.col("only"))))
+    )
+    return placed.join(met, list(CELL), "left_semi")
+
+
 def crowded_links(
     postings: DataFrame, shared: DataFrame, bodies: DataFrame, rare: np.ndarray
 ) -> DataFrame:
@@ -475,7 +499,7 @@ def crowded_links(
     lists = joined.groupBy("node", "root").agg(F.sort_array(F.collect_list("code")).alias("codes"))
 
     def weigh(batch):
-        out = {c: [] for c in ("node", "root", "codes", "heft", "size", "shingles", "weights")}
+        out = {c: [] for c in ("node", "root", "codes", "heft", "size", "shingles", "counts")}
         for node, root, codes, text in zip(*(batch[c] for c in ("node", "root", "codes", "text"))):
             _, found, counts = shingles(next(pieces([text])))
             weight = weights(found, counts, rare)
@@ -483,13 +507,14 @@ def crowded_links(
             out["heft"].append(math.floor(math.log(total) / -math.log(SIMILARITY - 1e-6)))
             out["size"].append(len(found))
             out["shingles"].append(found.astype(np.uint64).tobytes())
-            out["weights"].append(weight.astype(np.float32).tobytes())
+            # Nearly all are 1, so they take less room on the way than the weights.
+            out["counts"].append(counts.astype(np.uint32).tobytes())
             for name, value in (("node", node), ("root", root), ("codes", codes)):
                 out[name].append(value)
         return out
 
     kinds = (
-        "node long, root long, codes array<long>, heft int, size long, shingles binary, weights binary"
+        "node long, root long, codes array<long>, heft int, size long, shingles binary, counts binary"
     )
     weighed = written(map_columns(lists.join(bodies, "node"), weigh, kinds), "near-weighed")
     each = weighed.select("node", "root", "heft", "size", F.posexplode("codes").alias("nth", "code"))
@@ -509,6 +534,7 @@ def crowded_links(
             F.expr(second).alias("second"),
             F.lit(not held).alias("later"),
             "node",
+            "root",
             "nth",
         )
 
@@ -544,26 +570,28 @@ def crowded_links(
                 run.clear()
 
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for *cell, is_later, node, root, earlier, codes, weight in zip(*columns):
+            for *cell, is_later, node, root, earlier, codes, counts in zip(*columns):
                 if run and (cell != held.cell or is_later != later):
                     flush()
                 if cell != held.cell:
                     held = _Held()
                     held.cell = cell
                 later = is_later
-                row = (np.frombuffer(codes, np.uint64), np.frombuffer(weight, np.float32))
-                run.append((node, root, np.array(earlier, np.int64), *row))
+                found_codes = np.frombuffer(codes, np.uint64)
+                weight = weights(found_codes, np.frombuffer(counts, np.uint32), rare)
+                run.append((node, root, np.array(earlier, np.int64), found_codes, weight))
             if run:
                 flush()
             if found:
                 yield record_batch({"a": [a for a, _ in found], "b": [b for _, b in found]}, arrow)
 
-    by = ["code", "heft", "first", "second"]
-    whole = placed.join(weighed.select("node", "root", "codes", "shingles", "weights"), "node")
-    ordered = whole.repartition(*by).sortWithinPartitions(*by, "later", "root", "node")
-    return ordered.select(
-        *by, "later", "node", "root", F.expr("slice(codes, 1, nth)").alias("earlier"), "shingles", "weights"
-    ).mapInArrow(compare, schema)
+    kept = mixed_cells(written(placed, "near-placed"))
+    whole = kept.join(weighed.select("node", "codes", "shingles", "counts"), "node")
+    told = whole.select(
+        *CELL, "later", "node", "root", F.expr("slice(codes, 1, nth)").alias("earlier"), "shingles", "counts"
+    )
+    ordered = told.repartition(*CELL).sortWithinPartitions(*CELL, "later", "root", "node")
+    return ordered.mapInArrow(compare, schema)
 
 
 def similar(one: str, other: str, rare: np.ndarray) -> float:
@@ -602,6 +630,14 @@ def _bodies(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(found.groupBy("node").agg(F.first("text").alias("text")), "near-bodies")
 
 
+def _widened(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with more ``links``; without any they stay as they are."""
+    if links.isEmpty():
+        return groups
+    stars = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(stars.unionByName(links))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``key``, ``class_id`` and ``copies`` of every row.
 
@@ -636,19 +672,20 @@ def classes(docs: DataFrame) -> DataFrame:
         .select("a", "b")
     )
     more = written(verified(rest, bodies, rare), "near-links")
-    groups = components(links.unionByName(more))
+    groups = _widened(joined, more)
     # What large buckets may have kept apart.
     members = written(divided(seen, groups), "near-divided")
     if not members.isEmpty():
         told = _bodies(docs, members.select("node"), nodes)
         postings = posted(members, told, cells, rare)
         shared = shared_codes(postings)
-        missed = rare_candidates(postings, shared, nodes).join(pairs, ["a", "b"], "left_anti")
-        crowded = crowded_links(postings, shared, told, rare)
-        late = written(verified(missed, told, rare).unionByName(crowded), "near-links")
-        if not late.isEmpty():
-            stars = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            groups = components(stars.unionByName(late))
+        most = shared.agg(F.max("n")).first()[0]
+        if most:
+            missed = rare_candidates(postings, shared, nodes).join(pairs, ["a", "b"], "left_anti")
+            late = verified(missed, told, rare)
+            if most > WINDOW:
+                late = late.unionByName(crowded_links(postings, shared, told, rare))
+            groups = _widened(groups, written(late, "near-links"))
     grouped = nodes.select("node", "key", "least").join(groups, "node")
     named = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
     class_of = spread_join(grouped, named, ["root"], "key").select("key", "class_id")
