@@ -116,3 +116,20 @@ def test_events_without_id_all_stay(spark, tmp_path):
         table = str(tmp_path / f"events{i}")
         done(ingest(live.stream_lines(spark, str(folder)), table, str(tmp_path / f"state{i}")))
         assert store.read_events(spark, table).count() == 2
+
+
+def test_batches_write_logs_of_their_changes(spark, tmp_path, arriving):
+    def run():
+        lines = live.stream_lines(spark, arriving, 1)
+        current = live.live_sessions(live.once_per_id(live.parsed_stream(lines)))
+        done(live.keep_changes(current, path, str(state), "session_id"))
+        return live.latest(spark, path, current.schema, "session_id").agg(F.sum("session_tokens")).first()[0]
+
+    path, state = str(tmp_path / "live"), tmp_path / "state"
+    assert run() == sum(i + 1 for i in range(40))
+    logged = {f.name for f in (state / "state").rglob("*.changelog")}
+    assert logged >= {f"{n}.changelog" for n in range(1, 6)}
+    # A restarted query reads its state back from the logs: copies are still known.
+    with open(f"{arriving}/9.jsonl", "w") as more:
+        more.write(line(*range(35, 45)))
+    assert run() == sum(i + 1 for i in range(45))
