@@ -4,12 +4,18 @@ Each page becomes a list of blocks and a stream of word tokens. The streams of a
 concatenated, a suffix array orders all positions by what follows, and neighbours in that
 order that agree for long enough but lie on different pages are boilerplate: menus,
 notices and footers that the host repeats. What they cover is removed and the unique
-runs are kept. The words of an article that a page marks as such are its content even
-where another page repeats them, so they stay and are not part of the streams; elements
-that are never content (menus, forms, scripts) do not count as text of their page.
+runs are kept. Elements that are never content (menus, forms, scripts) do not count as
+text of their page.
+
+The articles that pages mark as such have arrays of their own. An article may quote what
+others say, so there a run is boilerplate only if nearly all different articles of the host have
+it, and only whole blocks are removed: notices and calls to subscribe that no name gives away. An
+article that consists of such runs for the most part is a near copy of others and stays whole.
 
 A host is dealt into shards of bounded size, each with its own suffix array. Where a host
-has several shards, runs that repeat only across them are found by a join on their hashes.
+has several shards, runs that repeat only across them are found by a join on their hashes. A
+run that nearly all articles of a host have is one that nearly all of some shard have,
+so those the arrays find there are counted over the whole host.
 """
 
 import html
@@ -20,13 +26,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.llm.tables import arrow_schema, map_columns, record_batch, spread_join
 from usagelens.session import written
 
 #: Words of a repeated substring, at least (a power of two), and words of a shard, about.
 RUN, SHARD = 8, 500_000
+#: Of the different articles of a host: the share that has a run of boilerplate, and how many at least.
+SHARE, ARTICLES = 0.8, 6
+#: Copies of an article that may meet in a shard; of more than that one is looked at.
+COPIES = 64
 
 # --- fixed values: element names and marks of HTML --------------------------------------
 _RAW = set("script style noscript template svg iframe textarea title select".split())
@@ -141,13 +151,29 @@ def repeated(
     """Which positions lie in a run of :data:`RUN` tokens that some other page has too.
 
     Pages with one number in ``streams`` are copies of each other and count as one.
+    """
+    return covered(len(tokens), run_starts(tokens, pages, streams))
+
+
+def covered(n: int, starts: np.ndarray) -> np.ndarray:
+    """Which of ``n`` positions lie in a run that begins at one of ``starts``."""
+    depth = np.zeros(n + 1, np.int64)
+    np.add.at(depth, starts, 1)
+    np.add.at(depth, starts + RUN, -1)
+    return np.cumsum(depth[:n]) > 0
+
+
+def run_starts(
+    tokens: np.ndarray, pages: np.ndarray, streams: np.ndarray | None = None, least: float = 2
+) -> np.ndarray:
+    """Where the runs begin that at least ``least`` pages have.
+
     The suffix array is built by prefix doubling and stopped where suffixes agree in
     ``RUN`` tokens, which is all that decides about coverage.
     """
     n = len(tokens)
-    covered = np.zeros(n + 1, np.int64)
     if n < RUN:
-        return covered[:n] > 0
+        return np.zeros(0, np.int64)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     width = 1
     while width < RUN:
@@ -158,19 +184,28 @@ def repeated(
     inside = np.zeros(n, bool)
     inside[: n - RUN + 1] = pages[RUN - 1 :] == pages[: n - RUN + 1]
     suffixes = np.flatnonzero(inside)
-    suffixes = suffixes[np.argsort(rank[suffixes], kind="stable")]
     if not len(suffixes):
-        return covered[:n] > 0
-    ordered = rank[suffixes]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        return suffixes
     told = (pages if streams is None else streams)[suffixes]
-    least = np.minimum.reduceat(told, first)
-    most = np.maximum.reduceat(told, first)
-    shared = np.repeat(least != most, np.diff(np.append(first, len(suffixes))))
-    starts = suffixes[shared]
-    np.add.at(covered, starts, 1)
-    np.add.at(covered, starts + RUN, -1)
-    return np.cumsum(covered[:n]) > 0
+    order = np.lexsort((told, rank[suffixes]))
+    suffixes, told = suffixes[order], told[order]
+    ordered = rank[suffixes]
+    opens = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    first = np.flatnonzero(opens)
+    other = opens | np.concatenate(([True], told[1:] != told[:-1]))
+    having = np.add.reduceat(other.astype(np.int64), first)
+    shared = np.repeat(having >= least, np.diff(np.append(first, len(suffixes))))
+    return suffixes[shared]
+
+
+def run_codes(tokens: np.ndarray) -> np.ndarray:
+    """A hash of the run that begins at each position."""
+    tokens = np.asarray(tokens, np.int64).astype(np.uint64)
+    n = max(0, len(tokens) - RUN + 1)
+    code = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
+    return code.astype(np.int64)
 
 
 def _codes(words: list[str]) -> list[int]:
@@ -266,12 +301,9 @@ def _across(streams: DataFrame) -> DataFrame:
         out = {"host": [], "code": [], "row_id": [], "place": [], "declared": [], "same": []}
         columns = (batch[c] for c in ("host", "row_id", "stream", "declared", "same"))
         for host, row, stream, declared, same in zip(*columns):
-            tokens = np.array(stream, np.int64).astype(np.uint64)
-            n = max(0, len(tokens) - RUN + 1)
-            code = np.zeros(n, np.uint64)
-            for k in range(RUN):
-                code = code * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
-            out["code"] += code.astype(np.int64).tolist()
+            codes = run_codes(stream)
+            n = len(codes)
+            out["code"] += codes.tolist()
             out["place"] += range(n)
             once = {"host": host, "row_id": row, "declared": declared, "same": same}
             for name, value in once.items():
@@ -299,6 +331,96 @@ def _across(streams: DataFrame) -> DataFrame:
     )
 
 
+def _words(text: Column) -> Column:
+    return F.split(text, " ")
+
+
+def _few_copies(articles: DataFrame) -> DataFrame:
+    """The marked articles, of those that have many copies one."""
+    equal = articles.groupBy("same").agg(F.min("row_id").alias("kept"), F.count("*").alias("n"))
+    copied = written(equal.where(F.col("n") > COPIES).drop("n"), "copied-articles")
+    both = spread_join(articles, copied, ["same"], "row_id", "left")
+    return both.where("kept IS NULL OR kept = row_id").drop("kept")
+
+
+def common_runs(articles: DataFrame) -> DataFrame:
+    """By ``host``, the ``codes`` of the runs that nearly all of its different articles have.
+
+    The arrays are over half the bits of a word's code, so they find those runs and by chance some
+    more; whole codes are counted. What is small (figures of hosts, the runs) is written, so that
+    its joins need not move articles.
+    """
+    few = _few_copies(articles)
+    figures = [F.ceil(F.sum("words") / SHARD).alias("shards"), F.countDistinct("same").alias("articles")]
+    hosts = written(few.groupBy("host").agg(*figures).where(F.col("articles") >= ARTICLES), "hosts")
+
+    def find(shard: pd.DataFrame) -> pd.DataFrame:
+        own = shard.drop_duplicates("same")
+        page = np.repeat(np.arange(len(own)), own["halves"].map(len))
+        tokens = np.concatenate(own["halves"].to_list())
+        starts = run_starts(tokens, page, least=SHARE * len(own))
+        codes = np.unique(run_codes(tokens)[starts])
+        host = pd.Series([own["host"].iloc[0]] * len(codes), dtype=object)
+        return pd.DataFrame({"host": host, "code": codes})
+
+    def having(batch):
+        out = {"host": [], "code": [], "same": []}
+        columns = (batch[c] for c in ("host", "same", "stream", "codes"))
+        for host, same, stream, codes in zip(*columns):
+            asked = np.isin(run_codes(np.array(stream, np.int64) >> 16), codes)
+            own = np.unique(run_codes(stream)[asked])
+            out["host"] += [host] * len(own)
+            out["code"] += own.tolist()
+            out["same"] += [same] * len(own)
+        return out
+
+    codes = F.collect_set("code").alias("codes")
+    halves = F.transform("stream", lambda w: F.shiftright(w, 16).cast("short")).alias("halves")
+    dealt = F.pmod(F.xxhash64("same"), F.col("shards")).alias("shard")
+    streams = few.select("row_id", "host", "same", halves)
+    shards = spread_join(streams, hosts, ["host"], "row_id").select("host", dealt, "same", "halves")
+    found = shards.groupBy("host", "shard").applyInPandas(find, "host string, code long")
+    found = written(found.groupBy("host").agg(codes), "found-runs")
+    asked = spread_join(few, found, ["host"], "row_id").select("host", "same", "stream", "codes")
+    counted = map_columns(asked, having, "host string, code long, same long")
+    counts = counted.groupBy("host", "code").agg(F.countDistinct("same").alias("n"))
+    common = counts.join(hosts, "host").where(
+        (F.col("n") >= ARTICLES) & (F.col("n") >= SHARE * F.col("articles"))
+    )
+    return written(common.groupBy("host").agg(codes), "common-runs")
+
+
+def common_blocks(rows: DataFrame) -> DataFrame:
+    """``row_id`` and the places of the ``common`` blocks of marked articles that have any.
+
+    Common is a block that common runs cover, in an article that they cover by half at most.
+    """
+    text = F.array_join("candidates", " ")
+    articles = rows.where("declared").select(
+        "row_id",
+        "host",
+        "same",
+        "words",
+        F.transform(_words(text), lambda w: F.hash(w)).alias("stream"),
+        F.transform("candidates", lambda block: F.size(_words(block))).alias("sizes"),
+    )
+
+    def cover(batch):
+        out = {"row_id": [], "common": []}
+        columns = (batch[c] for c in ("row_id", "stream", "sizes", "codes"))
+        for row, stream, sizes, codes in zip(*columns):
+            inside = covered(len(stream), np.flatnonzero(np.isin(run_codes(stream), codes)))
+            whole = np.logical_and.reduceat(inside, np.cumsum(sizes) - sizes)
+            if whole.any() and 2 * inside.sum() <= len(inside):
+                out["row_id"].append(row)
+                out["common"].append(np.flatnonzero(whole).tolist())
+        return out
+
+    asked = spread_join(articles, common_runs(articles), ["host"], "row_id")
+    asked = asked.select("row_id", "stream", "sizes", "codes")
+    return written(map_columns(asked, cover, "row_id long, common array<int>"), "common-blocks")
+
+
 def unique_runs(candidates: list[str], places: list[int]) -> str:
     """The blocks without the words at ``places``, counted through all of them."""
     covered, at, out = set(places), 0, []
@@ -316,13 +438,16 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     White space inside a block is one space, blocks are joined by an empty line in page
     order, character references are decoded. A page with a marked article gives all of
-    that article but its menus, forms, comments and the like; any other page gives the
+    that article but its menus, forms, comments and the like, and blocks that nearly all
+    articles of its host have; any other page gives the
     runs of its text that its host does not repeat. Null and empty pages give an empty
     text. A row without a url belongs to one host of its own. Copies of a page with the
     same words count as one page, so they do not remove one another. Very long pages are read in
     linear time. Other columns are ignored; no row gives no row.
     """
-    rows = written(parsed(pages), "pages-parsed")
+    text = F.array_join("candidates", " ")
+    figures = {"same": F.xxhash64("host", "candidates"), "words": F.size(_words(text))}
+    rows = written(parsed(pages).withColumns(figures), "pages-parsed", compression="zstd")
     streams = _sharded(rows)
     places = _within(streams).unionByName(_across(streams))
     merged = places.groupBy("row_id").agg(
@@ -333,9 +458,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     def keep(candidates: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([unique_runs(c, p) for c, p in zip(candidates, places)])
 
-    whole = F.concat_ws("\n\n", "candidates")
+    left = F.filter("candidates", lambda _, i: ~F.array_contains("common", i))
+    own = F.when(F.col("common").isNull(), F.col("candidates")).otherwise(left)
     none = F.array().cast("array<long>")
-    marked = rows.where("declared").select("page_id", "url", whole.alias("text"))
+    marked = (
+        rows.where("declared")
+        .join(common_blocks(rows), "row_id", "left")
+        .select("page_id", "url", F.concat_ws("\n\n", own).alias("text"))
+    )
     other = (
         rows.where("NOT declared")
         .join(merged, "row_id", "left")
