@@ -68,3 +68,20 @@ def test_awkward_vectors(make_vectors):
     assert sorted(repeated) == sorted(rows)
     assert neighbours.nearest(make_vectors([])).count() == 0
     assert neighbours.nearest(make_vectors([(0, [1.0])])).count() == 0
+
+
+def test_tables_that_grow_are_not_broadcast(make_vectors, monkeypatch):
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    written = neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, *label: written(planned(df), *label))
+    rng = np.random.default_rng(53)
+    vectors = [(i, rng.normal(size=6).tolist()) for i in range(200)]
+    rows = planned(neighbours.nearest(make_vectors(vectors))).collect()
+    assert _check(rows, vectors, 20, 20) >= 0.95
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from usagelens.llm.tables import map_columns, spread_join
+from usagelens.llm.tables import map_columns, sorted_side, spread_join
 from usagelens.session import written
 
 #: Neighbours of a vector in the graph; rounds at most; share of new edges that ends them.
@@ -147,9 +147,9 @@ def _met(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     worst = edges.groupBy("node").agg(
         F.when(F.count("*") < DEGREE, float("-inf")).otherwise(F.min("sim")).alias("worst")
     )
-    known = nodes.select("node", "code").join(worst, "node").withColumnRenamed("node", "u")
+    known = nodes.select("node", "code").join(sorted_side(worst), "node").withColumnRenamed("node", "u")
     meetings = (
-        spread_join(around, known, ["u"], "v")
+        spread_join(around, known, ["u"], "v", grows=True)
         .groupBy("v")
         .agg(F.collect_list(F.struct("u", "code", "worst", "fresh")).alias("all"))
         .select("all")
@@ -209,10 +209,10 @@ def walked(starts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``query``, ``node``: the vectors that a greedy search from each start found nearest."""
     codes = nodes.select("node", "code")
     asked = starts.select(F.col("node").alias("query")).join(
-        codes.select(F.col("node").alias("query"), F.col("code").alias("ask")), "query"
+        sorted_side(codes.select(F.col("node").alias("query"), F.col("code").alias("ask"))), "query"
     )
     asked = written(asked, "walk")
-    seen = edges.join(asked.select("query"), F.col("node") == F.col("query")).select(
+    seen = edges.join(sorted_side(asked.select("query")), F.col("node") == F.col("query")).select(
         "query", F.col("nbr").alias("node"), "sim", F.lit(False).alias("left")
     )
     order = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
@@ -225,6 +225,7 @@ def walked(starts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
             "sim": np.einsum("ij,ij->i", one, other),
         }
 
+    links = edges.select(F.col("node").alias("from"), "nbr")
     for step in range(STEPS):
         ahead = (
             seen.where("NOT left")
@@ -234,17 +235,18 @@ def walked(starts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
         )
         ahead = written(ahead, "walk")
         reached = (
-            spread_join(ahead, edges.select(F.col("node").alias("from"), "nbr"), ["from"], "query")
+            spread_join(ahead, links, ["from"], "query", grows=True)
             .select("query", F.col("nbr").alias("node"))
             .distinct()
             .where("query <> node")
-            .join(seen.select("query", "node"), ["query", "node"], "left_anti")
+            .join(sorted_side(seen.select("query", "node")), ["query", "node"], "left_anti")
         )
-        pairs = spread_join(reached, codes, ["node"], "query").join(asked, "query")
+        measured = spread_join(reached, codes, ["node"], "query", grows=True)
+        pairs = measured.join(sorted_side(asked), "query")
         kinds = "query long, node long, sim double"
         found = map_columns(pairs.select("query", "node", "ask", "code"), measure, kinds)
         gone = ahead.withColumnRenamed("from", "node").withColumn("went", F.lit(True))
-        marked = seen.join(gone, ["query", "node"], "left").select(
+        marked = seen.join(sorted_side(gone), ["query", "node"], "left").select(
             "query", "node", "sim", (F.col("left") | F.coalesce("went", F.lit(False))).alias("left")
         )
         both = marked.unionByName(found.withColumn("left", F.lit(False)))
@@ -279,7 +281,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     nodes = written(map_columns(one_each.select("node", "body", "vector"), coded, kinds), "nodes")
     own = nodes.select("body", "node", F.col("vector").alias("same"))
     members = written(
-        spread_join(rows, own, ["body"], "vec_id")
+        spread_join(rows, own, ["body"], "vec_id", grows=True)
         .where(F.col("vector") == F.col("same"))
         .select("vec_id", "node"),
         "members",
@@ -294,15 +296,18 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         F.zip_with("asked", "vector", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x
     )
     scores = (
-        spread_join(found, exact, ["node"], "query")
-        .join(exact.select(F.col("node").alias("query"), F.col("vector").alias("asked")), "query")
+        spread_join(found, exact, ["node"], "query", grows=True)
+        .join(
+            sorted_side(exact.select(F.col("node").alias("query"), F.col("vector").alias("asked"))),
+            "query",
+        )
         .select("query", "node", product.alias("score"))
     )
     # Of equal vectors only the first rows can be among the nearest; one may be the query.
     few = _top(members, "node", [F.asc("vec_id")], k + 1)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     lists = (
-        spread_join(scores, few, ["node"], "query")
+        spread_join(scores, few, ["node"], "query", grows=True)
         .withColumn("at", F.row_number().over(best))
         .where(F.col("at") <= k + 1)
         .select("query", "vec_id", "score")
@@ -310,7 +315,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     ids = queries.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        spread_join(ids, lists, ["query"], "query_id")
+        spread_join(ids, lists, ["query"], "query_id", grows=True)
         .where("query_id <> vec_id")
         .withColumn("rank", F.row_number().over(final))
         .where(F.col("rank") <= k)
