@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from usagelens.operators import sessions, usage
-from usagelens.sources import envelopes, store
+from usagelens.sources import envelopes, snapshots, store
 from usagelens.streaming import live
 
 
@@ -133,3 +134,41 @@ def test_batches_write_logs_of_their_changes(spark, tmp_path, arriving):
     with open(f"{arriving}/9.jsonl", "w") as more:
         more.write(line(*range(35, 45)))
     assert run() == sum(i + 1 for i in range(45))
+
+
+def _states(state):
+    """Batches that committed state; each has a file in the log of commits."""
+    return [f.name for f in (state / "commits").iterdir() if f.name.isdigit()]
+
+
+@pytest.mark.parametrize("query", ["stream_ingest_with_state", "stream_cost_by_hour", "stream_session_rollup"])
+def test_registered_streams_take_a_file_for_each_core(spark, tmp_path, monkeypatch, query):
+    folders = [tmp_path / "logs" / "1-sent", tmp_path / "logs" / "2-sent-again"]
+    cores = spark.sparkContext.defaultParallelism
+    for folder in folders:
+        folder.mkdir(parents=True)
+    for i in range(2 * cores):
+        (folders[0] / f"{i:02d}.txt").write_text(line(*range(10 * i, 10 * i + 10)) + "\n")
+    again = json.loads(line(*range(0, 20 * cores, 3)))
+    for event in again["logEvents"]:
+        event["message"] = event["message"].replace('"cost_usd": ', '"cost_usd": 9')
+    (folders[1] / "00.txt").write_text(json.dumps(again) + "\n")
+    paths = {name: tmp_path / name for name in ("logs", "events", "live", "state")}
+    monkeypatch.setattr(entry, "_logs", lambda *_: [str(f) for f in folders])
+    monkeypatch.setattr(entry, "scratch_path", lambda _, label: str(paths[label]))
+
+    got = entry.queries()[query](spark, "")
+    # Two batches of what is sent, one of what is sent again, which is known by then.
+    assert len(_states(paths["state"])) == 3
+    batch = str(tmp_path / "batch")
+    store.ingest_jsonl(spark, str(folders[0]), batch)
+    events = store.read_events(spark, batch)
+    expected = {
+        "stream_ingest_with_state": events.select(entry._COMPARED),
+        "stream_cost_by_hour": usage.cost_over_time(events),
+        "stream_session_rollup": sessions.session_stats(events),
+    }[query]
+    assert rows(got, *expected.columns) == rows(expected, *expected.columns)
+    if query == "stream_ingest_with_state":
+        assert got.count() == 20 * cores
+        assert sum(len(p.loads) for p in snapshots.current(spark, str(paths["events"])).parts) == 3
