@@ -1,6 +1,8 @@
 """Streams store and report the same as a batch, also when a batch is repeated."""
 
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +155,7 @@ def test_registered_streams_take_a_file_for_each_core(spark, tmp_path, monkeypat
     for event in again["logEvents"]:
         event["message"] = event["message"].replace('"cost_usd": ', '"cost_usd": 9')
     (folders[1] / "00.txt").write_text(json.dumps(again) + "\n")
+    os.utime(folders[1] / "00.txt", (time.time() + 5,) * 2)
     paths = {name: tmp_path / name for name in ("logs", "events", "live", "state")}
     monkeypatch.setattr(entry, "_logs", lambda *_: [str(f) for f in folders])
     monkeypatch.setattr(entry, "scratch_path", lambda _, label: str(paths[label]))
